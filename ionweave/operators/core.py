@@ -70,11 +70,18 @@ def ordered_scan(df: DataFrame, group: Sequence[str], order: str, scans: Sequenc
     tiles = TILES if tiles is None else tiles
     group = list(group)
     base = materialize(df)
+    hot = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > tile_rows)
+    if hot.limit(1).count() == 0:
+        def frame(s: Scan):
+            w = W.partitionBy(*group).orderBy(F.desc(order) if s.reverse else F.asc(order))
+            return w.rowsBetween(W.unboundedPreceding, -1 if s.exclusive else 0)
+        plain = [getattr(F, s.fn)(s.col).over(frame(s)) for s in scans]
+        return base.select(*df.columns, *[
+            (F.coalesce(v, F.lit(0)) if s.fn == "sum" else v).alias(s.out) for s, v in zip(scans, plain)])
     cut_points = [i / tiles for i in range(1, tiles)]
     cuts = materialize(
-        base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"),
-                                 F.percentile_approx(F.col(order).cast("double"), cut_points, 10 * tiles).alias("_q"))
-        .filter(F.col("_n") > tile_rows).select(*group, F.array_distinct("_q").alias("_q")))
+        base.join(hot, group, "left_semi").groupBy(*group)
+        .agg(F.array_distinct(F.percentile_approx(F.col(order).cast("double"), cut_points, 10 * tiles)).alias("_q")))
     tiled = base.join(cuts, group, "left").withColumn(
         "_tile", F.when(F.col("_q").isNull(), F.lit(0))
         .otherwise(F.size(F.filter("_q", lambda q: q < F.col(order).cast("double"))))).drop("_q")
