@@ -27,7 +27,7 @@ def _tags(spark, sf):
     """Tags with flank masses: a spread of exact and shifted flanks of their own text."""
     t = V.db_tags(spark, sf)
     return t.withColumn("id0", F.col("idx") * 100000 + F.col("pos")).withColumn(
-        "nterm_mass", F.col("pos") * 7.5 % 900).withColumn("cterm_mass", F.col("pos") * 3.25 % 700)
+        "nterm_mass", F.col("pos") * 7.5 % 900).withColumn("cterm_mass", F.col("pos") * 3.25 % 700).drop("pos")
 
 
 @query("L1_locate", V.cte(**OCC) + "SELECT accession, reversed, count(*) AS n, sum(pos) AS s FROM occ GROUP BY 1, 2")
@@ -73,19 +73,19 @@ def l5(spark, sf):
 
 
 MODS = [("Oxidation", "M", 15.9949, 0), ("Phospho", "STY", 79.9663, 1), ("Carbamyl", "", 43.0058, 2), ("Methyl", "KR", 14.0157, 3), ("Deamidated", "NQ", 0.984, 4)]
-GAPS = ["l_orderkey * 10 + l_linenumber AS id", "round(l_extendedprice % 200 - 60, 2) AS delta_mass", "CASE l_returnflag WHEN 'A' THEN 'GMS' WHEN 'N' THEN 'KNV' ELSE 'WF' END AS region"]
+GAPS = ["round(l_extendedprice % 200 - 60, 2) AS delta_mass", "CASE l_returnflag WHEN 'A' THEN 'GMS' WHEN 'N' THEN 'KNV' ELSE 'WF' END AS region"]
 SUBS = [(x, y, K.RESIDUES[y] - K.RESIDUES[x], L.SUBSTITUTION_ORDER.index(y)) for x in K.RESIDUES for y in L.SUBSTITUTION_ORDER if x != y]
 
 
-@query("L6_interpret_delta", V.cte(g="SELECT " + ", ".join(GAPS) + " FROM lineitem", mods=V.literal(MODS, "name, residues, delta, ord"), subs=V.literal(SUBS, "x, y, delta, yo"),
+@query("L6_interpret_delta", V.cte(g0="SELECT DISTINCT " + ", ".join(GAPS) + " FROM lineitem", g="SELECT row_number() OVER (ORDER BY delta_mass, region) AS id, * FROM g0", mods=V.literal(MODS, "name, residues, delta, ord"), subs=V.literal(SUBS, "x, y, delta, yo"),
        c="SELECT id, abs(delta_mass - delta) AS err, 0 AS kind, ord, 'mod:' || name || '@' || CASE WHEN residues = '' THEN substr(region, 1, 1) ELSE (SELECT substr(region, i, 1) FROM (SELECT unnest([1, 2, 3]) AS i) WHERE i <= length(region) AND contains(residues, substr(region, i, 1)) ORDER BY i LIMIT 1) END AS interp FROM g JOIN mods ON abs(delta_mass - delta) <= 0.05 "
          "UNION ALL SELECT id, abs(delta_mass - delta), 1, instr(region, x) * 100 + yo, 'sub:' || x || '->' || y FROM g JOIN subs ON abs(delta_mass - delta) <= 0.05 AND contains(region, x)",
        b="SELECT id, interp, row_number() OVER (PARTITION BY id ORDER BY round(err, 9), kind, ord) AS r FROM c WHERE interp IS NOT NULL") +
-       "SELECT g.id, CASE WHEN abs(delta_mass) > 1e-6 THEN coalesce(b.interp, '?') ELSE '' END AS delta_interp FROM g LEFT JOIN b ON g.id = b.id AND b.r = 1")
+       "SELECT g.region, g.delta_mass, CASE WHEN abs(delta_mass) > 1e-6 THEN coalesce(b.interp, '?') ELSE '' END AS delta_interp FROM g LEFT JOIN b ON g.id = b.id AND b.r = 1")
 def l6(spark, sf):
-    g = V.table(spark, sf, "lineitem").selectExpr(*GAPS)
+    g = V.table(spark, sf, "lineitem").selectExpr(*GAPS).distinct().withColumn("id", F.struct("region", "delta_mass"))
     mods = spark.createDataFrame(MODS, "name string, residues string, delta double, ord int")
-    return L.interpret_delta(g, mods, 0.05).select("id", "delta_interp")
+    return L.interpret_delta(g, mods, 0.05).select("region", "delta_mass", "delta_interp")
 
 
 @query("L7_localize")
