@@ -160,7 +160,7 @@ def join_ids(census_df: DataFrame, psms: DataFrame, accept: str = "qvalue", fdr:
 def join_verdict(census_df: DataFrame, psms: DataFrame) -> DataFrame:
     """Per run: references, unmatched ones, and refuse (> 50 %), warn (> 1 %) or ok."""
     refs = psms.select("run_id", "ref").distinct().withColumn("_scan", S.scan_of("ref"))
-    ids = census_df.select("run_id", F.col("spectrum").alias("ref"), F.lit(True).alias("_e"))
+    ids = census_df.select("run_id", F.col("spectrum").alias("ref")).distinct().withColumn("_e", F.lit(True))
     scans = census_df.select("run_id", S.scan_of("spectrum").alias("_scan")).filter("_scan IS NOT NULL").distinct().withColumn("_s", F.lit(True))
     j = refs.join(ids, ["run_id", "ref"], "left").join(scans, ["run_id", "_scan"], "left")
     lost = F.coalesce("_e", "_s").isNull()

@@ -27,16 +27,18 @@ def delta_histogram(samples: DataFrame, width: float = BIN) -> DataFrame:
 
 
 def greedy_claim(rows: DataFrame, group: list[str], pos: str, weight: str, width: float, seedable: Column | None = None,
-                 max_rounds: int = 100) -> DataFrame:
+                 scale: float = 1.0, max_rounds: int = 100) -> DataFrame:
     """Adds ``seed``: the heaviest row within ``width`` that starts a group (ties to the lower position).
 
     A row starts a group unless a heavier starter lies within ``width``. Rounds settle all local maxima
     at once; rows then join their heaviest starter, which equals visiting the rows one by one. ``rows``
-    holds one row per (group, pos): a bounded table of bins.
+    holds one row per (group, pos): a bounded table of bins. ``scale`` turns positions into whole
+    units for the window frame.
     """
     seedable = F.lit(True) if seedable is None else seedable
     prio = F.struct(F.col(weight).cast("double").alias("w"), (-F.col(pos)).cast("double").alias("p"))
-    w = W.partitionBy(*group).orderBy(F.col(pos).cast("double")).rangeBetween(-float(width), float(width))
+    reach = int(round(width * scale))
+    w = W.partitionBy(*group).orderBy(F.round(F.col(pos) * scale).cast("long")).rangeBetween(-reach, reach)
     st = materialize(rows.withColumn("_prio", prio).withColumn("_start", F.when(~seedable, F.lit(False)).cast("boolean")))
     for _ in range(max_rounds):
         x = st.withColumn("_m", F.max(F.when(F.col("_start").isNull(), F.col("_prio"))).over(w))
@@ -232,7 +234,7 @@ def gap_peaks(hist: DataFrame, tol: float, min_spectra: int = 5, min_share: floa
     """
     h = hist.groupBy("run_id", "delta").agg(F.sum("spectra").alias("spectra"))
     placed = h.groupBy("run_id").agg(F.sum("spectra").alias("placed"))
-    c = greedy_claim(h, ["run_id"], "delta", "spectra", tol, F.abs("delta") > tol).filter("seed IS NOT NULL")
+    c = greedy_claim(h, ["run_id"], "delta", "spectra", tol, F.abs("delta") > tol, 1e6).filter("seed IS NOT NULL")
     p = c.groupBy("run_id", "seed").agg(F.sum("spectra").alias("spectra"), (F.sum(F.col("delta") * F.col("spectra")) / F.sum("spectra")).alias("delta"))
     thr = F.greatest(F.lit(float(min_spectra)), F.col("placed") * min_share)
     return p.join(placed, "run_id").filter((F.col("spectra") >= thr) & (F.abs("delta") > 2 * tol)).select("run_id", "seed", "delta", "spectra")
