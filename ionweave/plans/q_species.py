@@ -123,14 +123,18 @@ def _totals(spark, sf):
 
 @query("X10_enrichment")
 def x10(spark, sf):
-    e = X.enrichment(rolled(spark, sf), _background(spark, sf), _totals(spark, sf))
+    t = V.table(spark, sf, "lineitem").selectExpr("l_orderkey % 4 AS run_id", "l_orderkey AS idx", "l_suppkey AS taxid", "l_returnflag")
+    r = t.filter("l_returnflag = 'N'").groupBy("run_id", "taxid").agg(F.countDistinct("idx").alias("subtree"))
+    n = t.filter("l_returnflag = 'N'").groupBy("run_id").agg(F.countDistinct("idx").alias("n_total"))
+    bg = t.groupBy("taxid").agg(F.countDistinct("idx").alias("k")).join(F.broadcast(t.agg(F.countDistinct("idx").alias("t")))).select("taxid", (F.col("k") / F.col("t") / 2).alias("p"))
+    e = X.enrichment(r, bg, n)
     return e.select("run_id", "taxid", "subtree", F.round("expected", 6).alias("expected"), F.round("pvalue", 9).alias("pvalue"), F.round("qvalue", 9).alias("qvalue"))
 
 
-@query("X11_bh_qvalues", "WITH p AS (SELECT l_suppkey % 4 AS run_id, l_partkey AS taxid, avg(l_discount) * avg(l_tax) AS p FROM lineitem GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY run_id ORDER BY round(p, 6)) - 1 + count(*) OVER (PARTITION BY run_id, round(p, 6)) AS pos, count(*) OVER (PARTITION BY run_id) AS m FROM p) "
-       "SELECT run_id, taxid, round(least(1.0, min(round(p, 6) * m / pos) OVER (PARTITION BY run_id ORDER BY round(p, 6) DESC)), 7) AS qvalue FROM r")
+@query("X11_bh_qvalues", "WITH p AS (SELECT l_suppkey % 4 AS run_id, l_partkey AS taxid, (sum(l_linenumber) * 37 % 1009) / 1009.0 AS p FROM lineitem GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY run_id ORDER BY p) - 1 + count(*) OVER (PARTITION BY run_id, p) AS pos, count(*) OVER (PARTITION BY run_id) AS m FROM p) "
+       "SELECT run_id, taxid, round(least(1.0, min(p * m / pos) OVER (PARTITION BY run_id ORDER BY p DESC)), 7) AS qvalue FROM r")
 def x11(spark, sf):
-    p = V.table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 4).alias("run_id"), F.col("l_partkey").alias("taxid")).agg(F.round(F.avg("l_discount") * F.avg("l_tax"), 6).alias("p"))
+    p = V.table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 4).alias("run_id"), F.col("l_partkey").alias("taxid")).agg((F.sum("l_linenumber") * 37 % 1009 / 1009.0).alias("p"))
     return X.bh_qvalues(p, ["run_id"], "p").select("run_id", "taxid", F.round("qvalue", 7).alias("qvalue"))
 
 
