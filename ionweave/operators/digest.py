@@ -70,7 +70,8 @@ def composition(proteins: DataFrame, group: list[str], pseudo: float = 0.0) -> D
     x = proteins.select(*group, F.explode(F.split("sequence", "(?!^)(?=.)")).alias("residue")).filter("residue <> '#' AND residue <> ''")
     n = x.groupBy(*group, "residue").agg(F.count(F.lit(1)).alias("n"))
     tot = n.groupBy(*group).agg(F.sum("n").alias("_t"), F.count(F.lit(1)).alias("_k"))
-    return n.join(tot, group).select(*group, "residue", "n", ((F.col("n") + pseudo) / (F.col("_t") + pseudo * F.col("_k"))).alias("freq"))
+    j = n.join(tot, group) if group else n.crossJoin(F.broadcast(tot))   # one-row total
+    return j.select(*group, "residue", "n", ((F.col("n") + pseudo) / (F.col("_t") + pseudo * F.col("_k"))).alias("freq"))
 
 
 def protease_models(spark, background: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:

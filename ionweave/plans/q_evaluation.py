@@ -9,11 +9,11 @@ from ionweave.plans import q_tagging as QT, views as V
 from ionweave.plans.registry import query
 
 WATER = repr(K.WATER)
-Q_PEP = "SELECT p_partkey AS key, " + "translate(upper(regexp_replace(concat(p_name, p_type), '[^A-Za-z]', '', 'g')), 'IXBZJUO', 'LLLLLLL')" + " AS peptide FROM part"
+Q_PEP = "SELECT p_partkey AS key, " + "translate(upper(regexp_replace(concat(p_name, p_type), '[^A-Za-z]', '', 'g')), 'IXBZJUO', 'LLLLLLL')" + " AS peptide, p_size AS size FROM part"
 
 
 def peptides(spark, sf):
-    return V.table(spark, sf, "part").selectExpr("p_partkey AS key", "translate(upper(regexp_replace(concat(p_name, p_type), '[^A-Za-z]', '')), 'IXBZJUO', 'LLLLLLL') AS peptide")
+    return V.table(spark, sf, "part").selectExpr("p_partkey AS key", "translate(upper(regexp_replace(concat(p_name, p_type), '[^A-Za-z]', '')), 'IXBZJUO', 'LLLLLLL') AS peptide", "p_size AS size")
 
 
 def tags(spark, sf):
@@ -93,11 +93,11 @@ def v6(spark, sf):
 def _sets(spark, sf):
     p = peptides(spark, sf)
     truth = V.table(spark, sf, "part").selectExpr("p_partkey AS key", "p_brand AS brand", "p_size % 3 AS grp")
-    return E.score_candidate_sets(tags(spark, sf), p.filter("key % 4 <> 0"), truth)
+    return E.score_candidate_sets(tags(spark, sf), p.filter("size > 12"), truth)
 
 
-@query("V7_score_candidate_sets", V.cte(**TAGS, ok=Q_OK, m="SELECT t.key, t.rank, ok.correct AND t.key % 4 <> 0 AS c FROM t JOIN ok ON ok.key = t.key AND ok.pos = t.pos", g="SELECT key, count(*) AS n_tags, max(CASE WHEN rank = 1 AND c THEN 1 ELSE 0 END) AS top1, max(CASE WHEN rank <= 10 AND c THEN 1 ELSE 0 END) AS top10 FROM m GROUP BY 1") +
-       "SELECT p_partkey AS key, CASE WHEN p_partkey % 4 = 0 THEN 'no_pool_candidate' ELSE 'single' END AS size_label, coalesce(n_tags, 0) AS n_tags, coalesce(top1, 0) AS top1, coalesce(top10, 0) AS top10 FROM part LEFT JOIN g ON g.key = p_partkey")
+@query("V7_score_candidate_sets", V.cte(**TAGS, ok=Q_OK, m="SELECT t.key, t.rank, ok.correct AND pep.size > 12 AS c FROM t JOIN ok ON ok.key = t.key AND ok.pos = t.pos JOIN pep ON pep.key = t.key", g="SELECT key, count(*) AS n_tags, max(CASE WHEN rank = 1 AND c THEN 1 ELSE 0 END) AS top1, max(CASE WHEN rank <= 10 AND c THEN 1 ELSE 0 END) AS top10 FROM m GROUP BY 1") +
+       "SELECT p_partkey AS key, CASE WHEN p_size <= 12 THEN 'no_pool_candidate' ELSE 'single' END AS size_label, coalesce(n_tags, 0) AS n_tags, coalesce(top1, 0) AS top1, coalesce(top10, 0) AS top10 FROM part LEFT JOIN g ON g.key = p_partkey")
 def v7(spark, sf):
     return _sets(spark, sf).select("key", "size_label", "n_tags", "top1", "top10")
 
@@ -136,11 +136,15 @@ def v8d(spark, sf):
     return E.carryover_pools(V.table(spark, sf, "customer").selectExpr("c_name AS pool", "c_mktsegment AS set", "c_nationkey AS batch", "c_custkey % 500 AS num"))
 
 
-@query("V9_grouped_split", V.cte(e="SELECT DISTINCT 'p:' || CAST(l_suppkey AS VARCHAR) AS p, 'i:' || CAST(l_partkey AS VARCHAR) AS i FROM lineitem WHERE l_discount = 0.05 AND l_quantity > 45",
+POOLS = ["CAST(c_custkey AS {0}) AS pool", "'a' || CAST(c_custkey * 7919 % 4001 AS {0}) AS i1", "'b' || CAST(c_custkey * 104729 % 3001 AS {0}) AS i2"]
+
+
+@query("V9_grouped_split", V.cte(p="SELECT " + ", ".join(POOLS).format("VARCHAR") + " FROM customer", e="SELECT 'p:' || pool AS p, 'i:' || i1 AS i FROM p UNION SELECT 'p:' || pool, 'i:' || i2 FROM p",
        n="SELECT p AS node FROM e UNION SELECT i FROM e", g="SELECT p AS a, i AS b FROM e UNION ALL SELECT i, p FROM e", r="SELECT node AS src, node AS dst FROM n UNION SELECT r.src, g.b FROM r JOIN g ON g.a = r.dst",
        c="SELECT src AS node, min(dst) AS comp FROM r GROUP BY 1") + "SELECT substr(node, 3) AS pool, comp AS \"group\" FROM c WHERE node LIKE 'p:%'")
 def v9(spark, sf):
-    m = V.table(spark, sf, "lineitem").filter("l_discount = 0.05 AND l_quantity > 45").select(F.col("l_suppkey").cast("string").alias("pool"), F.col("l_partkey").alias("identity")).distinct()
+    p = V.table(spark, sf, "customer").selectExpr(*[e.format("STRING") for e in POOLS])
+    m = p.select("pool", F.explode(F.array("i1", "i2")).alias("identity"))
     return E.grouped_split(m, {"train": 0.7, "test": 0.3}).select("pool", "group")
 
 
@@ -317,18 +321,18 @@ def v25c(spark, sf):
     return E.cluster_permutation(p, "o_custkey", "d", 100).select(F.round("statistic", 2).alias("statistic"), "p")
 
 
-@query("V26_truth_overlap", V.cte(p=Q_PEP, a="SELECT key, peptide FROM p WHERE key % 3 <> 0", b="SELECT key, CASE WHEN key % 5 = 0 THEN peptide || 'K' ELSE peptide END AS peptide FROM p WHERE key % 2 = 0") +
+@query("V26_truth_overlap", V.cte(p=Q_PEP, a="SELECT key, peptide FROM p WHERE size > 15", b="SELECT key, CASE WHEN key % 5 = 0 THEN peptide || 'K' ELSE peptide END AS peptide FROM p WHERE size <= 35") +
        "SELECT count(*) FILTER (a.key IS NOT NULL AND b.key IS NOT NULL) AS both, count(*) FILTER (a.peptide = b.peptide) AS same_peptide, count(*) FILTER (b.key IS NULL) AS only_a, count(*) FILTER (a.key IS NULL) AS only_b FROM a FULL JOIN b ON a.key = b.key")
 def v26(spark, sf):
     p = peptides(spark, sf)
-    b = p.filter("key % 2 = 0").withColumn("peptide", F.when(F.col("key") % 5 == 0, F.concat("peptide", F.lit("K"))).otherwise(F.col("peptide")))
-    return E.truth_overlap(p.filter("key % 3 <> 0"), b)
+    b = p.filter("size <= 35").withColumn("peptide", F.when(F.col("key") % 5 == 0, F.concat("peptide", F.lit("K"))).otherwise(F.col("peptide")))
+    return E.truth_overlap(p.filter("size > 15"), b)
 
 
-@query("V27_union_clusters", V.cte(p="SELECT p_partkey AS key, 'PEP' || translate(CAST(p_partkey % 97 AS VARCHAR), '0123456789', 'GASPVTCLND') AS a, 'PEP' || translate(CAST(p_partkey * 7 % 89 + 200 AS VARCHAR), '0123456789', 'GASPVTCLND') AS b FROM part WHERE p_size < 5",
+@query("V27_union_clusters", V.cte(p="SELECT p_partkey AS key, 'PEP' || translate(CAST(p_partkey * 7919 % 4001 AS VARCHAR), '0123456789', 'GASPVTCLND') AS a, 'PEP' || translate(CAST(p_partkey * 104729 % 3001 + 5000 AS VARCHAR), '0123456789', 'GASPVTCLND') AS b FROM part",
        g="SELECT a, b FROM p UNION SELECT b, a FROM p", n="SELECT a AS node FROM p UNION SELECT b FROM p", r="SELECT node AS src, node AS dst FROM n UNION SELECT r.src, g.b FROM r JOIN g ON g.a = r.dst", c="SELECT src, min(dst) AS cluster FROM r GROUP BY 1") + "SELECT key, cluster FROM p JOIN c ON c.src = p.a")
 def v27(spark, sf):
-    p = V.table(spark, sf, "part").filter("p_size < 5").selectExpr("p_partkey AS key", "concat('PEP', translate(CAST(p_partkey % 97 AS STRING), '0123456789', 'GASPVTCLND')) AS pep1", "concat('PEP', translate(CAST(p_partkey * 7 % 89 + 200 AS STRING), '0123456789', 'GASPVTCLND')) AS pep2")
+    p = V.table(spark, sf, "part").selectExpr("p_partkey AS key", "concat('PEP', translate(CAST(p_partkey * 7919 % 4001 AS STRING), '0123456789', 'GASPVTCLND')) AS pep1", "concat('PEP', translate(CAST(p_partkey * 104729 % 3001 + 5000 AS STRING), '0123456789', 'GASPVTCLND')) AS pep2")
     return E.union_clusters(p)
 
 

@@ -90,8 +90,7 @@ def l6(spark, sf):
 
 @query("L7_localize")
 def l7(spark, sf):
-    p = _placements(spark, sf).filter("length(peptide) <= 60")
-    return L.localize(p, V.peaks(spark, sf), 0.5, charges=1)
+    return L.localize(_placements(spark, sf), V.peaks(spark, sf), 0.5, charges=1)
 
 
 @query("L8_classify_placement", "SELECT l_returnflag, l_linestatus, CASE WHEN nm AND cm THEN 'exact' WHEN (NOT nm AND cm AND abs(d - 4) <= 1.5) OR (nm AND NOT cm AND abs(d - 7) <= 0.5) THEN 'label_exact' ELSE 'gapped' END AS class, count(*) AS n "

@@ -192,14 +192,14 @@ def x17(spark, sf):
     return X.subsample_stability(hits(spark, sf).withColumnRenamed("taxid", "taxon"), 10, 0.5, 3).withColumn("mean", F.round("mean", 4))
 
 
-@query("X18_compare_reports", V.cte(r="SELECT l_orderkey % 4 AS run_id, l_suppkey AS taxid, count(*) AS subtree, count(*) FILTER (WHERE l_linestatus = 'O' AND l_suppkey % 3 <> 0) AS sb FROM lineitem GROUP BY 1, 2",
+@query("X18_compare_reports", V.cte(r="SELECT l_orderkey % 4 AS run_id, l_suppkey AS taxid, count(*) AS subtree, count(*) FILTER (WHERE l_linestatus = 'O' AND l_tax > 0.02) AS sb FROM lineitem GROUP BY 1, 2",
        a="SELECT run_id, taxid, subtree, row_number() OVER (PARTITION BY run_id ORDER BY subtree DESC, taxid) AS place FROM r", b="SELECT run_id, taxid, sb AS subtree, row_number() OVER (PARTITION BY run_id ORDER BY sb DESC, taxid) AS place FROM r WHERE sb > 0") +
        "SELECT run_id, count(*) FILTER (WHERE b.taxid IS NULL) AS only_a, 0 AS only_b, count(*) FILTER (WHERE b.taxid IS NOT NULL) AS both, count(*) FILTER (WHERE a.subtree = b.subtree) AS same_count, coalesce(bool_or(a.place = 1 AND b.place = 1), false) AS same_top FROM a LEFT JOIN b USING (run_id, taxid) GROUP BY 1")
 def x18(spark, sf):
-    t = V.table(spark, sf, "lineitem").selectExpr("l_orderkey % 4 AS run_id", "l_suppkey AS taxid", "l_linestatus")
+    t = V.table(spark, sf, "lineitem").selectExpr("l_orderkey % 4 AS run_id", "l_suppkey AS taxid", "l_linestatus", "l_tax")
     w = F.row_number().over(X.W.partitionBy("run_id").orderBy(F.desc("subtree"), "taxid"))
     a = t.groupBy("run_id", "taxid").agg(F.count(F.lit(1)).alias("subtree")).withColumn("place", w)
-    b = t.filter("l_linestatus = 'O' AND taxid % 3 <> 0").groupBy("run_id", "taxid").agg(F.count(F.lit(1)).alias("subtree")).withColumn("place", w)
+    b = t.filter("l_linestatus = 'O' AND l_tax > 0.02").groupBy("run_id", "taxid").agg(F.count(F.lit(1)).alias("subtree")).withColumn("place", w)
     return X.compare_reports(a, b)
 
 
