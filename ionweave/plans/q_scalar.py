@@ -1,13 +1,14 @@
 """Queries over scalar functions, sinks' table forms and streams run to completion."""
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ionweave.functions import constants as K, scalar as S
 from ionweave.plans import q_acquisition as QB, q_evaluation as QE, q_tagging as QT, tag_run, views as V
 from ionweave.plans.registry import query
+from ionweave.session import ensure_checkpoint_dir
 from ionweave.sources import writers as O
 from ionweave.streaming import streams as W
 
@@ -129,38 +130,43 @@ def _events_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def _finish(spark, df, mode: str, name: str):
-    """Runs a stream over what is there and returns the sink's table."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).trigger(availableNow=True).start()
+def _finish(spark, df, mode: str):
+    """Runs a stream over what is there into a table in the shared checkpoint folder and reads it back."""
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(batch, epoch):
+        # complete mode rewrites the whole result, append mode adds one folder per batch
+        batch.write.mode("overwrite").parquet(base + ("/out/all" if mode == "complete" else f"/out/batch-{epoch}"))
+    q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", base + "/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(base + "/out")
 
 
-EV = ["user_id AS run_id", "event_id AS idx", "ts", "event_type AS status"]
+EV = ["user_id AS run_id", "event_id AS idx", "CAST(ts AS TIMESTAMP) AS ts", "event_type AS status"]
 
 
 @query("W2_stream_progress", "SELECT user_id AS run_id, count(*) AS done, count(*) FILTER (event_type = 'click') AS tagged FROM events GROUP BY 1")
 def w2(spark, sf):
     s = _events_stream(spark, sf).selectExpr("user_id AS run_id", "CASE WHEN event_type = 'click' THEN 'tagged' ELSE event_type END AS status")
-    return _finish(spark, W.stream_progress(s), "complete", "w2_progress")
+    return _finish(spark, W.stream_progress(s), "complete")
 
 
 @query("W3_stream_census", "SELECT time_bucket(INTERVAL '6 hours', ts) AS start, user_id AS run_id, event_type AS status, count(*) AS n FROM events GROUP BY 1, 2, 3")
 def w3(spark, sf):
     s = _events_stream(spark, sf).selectExpr(*EV)
-    return _finish(spark, W.stream_census(s, "6 hours"), "complete", "w3_census").select("start", "run_id", "status", "n")
+    return _finish(spark, W.stream_census(s, "6 hours"), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "run_id", "status", "n")
 
 
 @query("W3_stream_sessions", V.cte(g="SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS n FROM events", s="SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g") + "SELECT min(ts) AS start, user_id AS run_id, count(*) AS n FROM s GROUP BY user_id, k")
 def w3b(spark, sf):
     s = _events_stream(spark, sf).selectExpr(*EV)
-    return _finish(spark, W.stream_census(s, session="2 hours"), "complete", "w3_sessions").select("start", "run_id", "n")
+    return _finish(spark, W.stream_census(s, session="2 hours"), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "run_id", "n")
 
 
 @query("W4_stream_dedupe", "SELECT DISTINCT user_id AS run_id, event_id AS idx FROM events")
 def w4(spark, sf):
     s = _events_stream(spark, sf).selectExpr(*EV)
-    return _finish(spark, W.stream_dedupe(s.unionByName(s), "3650 days").select("run_id", "idx"), "append", "w4_dedupe")
+    return _finish(spark, W.stream_dedupe(s.unionByName(s), "3650 days").select("run_id", "idx"), "append")
 
 
 SG = dict(s="SELECT user_id % 8 AS run_id, event_id AS pos, CAST(round(value) AS BIGINT) AS kx FROM events", p="SELECT *, lag(kx) OVER (PARTITION BY run_id ORDER BY pos) AS pk FROM s", e="SELECT run_id, kx, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS event FROM p WHERE pk IS NULL OR pk <> kx",
@@ -170,4 +176,4 @@ SG = dict(s="SELECT user_id % 8 AS run_id, event_id AS pos, CAST(round(value) AS
 @query("W5_stream_repeat_gaps", V.cte(**SG) + "SELECT run_id, kx, event, gap FROM g WHERE gap IS NOT NULL")
 def w5(spark, sf):
     s = _events_stream(spark, sf).selectExpr("user_id % 8 AS run_id", "event_id AS pos", "CAST(round(value) AS BIGINT) AS kx")
-    return _finish(spark, W.stream_repeat_gaps(s), "append", "w5_gaps")
+    return _finish(spark, W.stream_repeat_gaps(s), "append")

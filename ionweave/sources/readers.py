@@ -61,7 +61,7 @@ def parse_mgf_blocks(raw: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ mzML
 _CV = "array<struct<_accession:string,_value:string,_name:string,_unitName:string>>"
-_MZML = T.StructType.fromDDL(
+_MZML = (
     f"_index long, _id string, _defaultArrayLength long, cvParam {_CV}, "
     f"scanList struct<scan: array<struct<cvParam:{_CV}>>>, "
     f"precursorList struct<precursor: array<struct<isolationWindow:struct<cvParam:{_CV}>, selectedIonList:struct<selectedIon:array<struct<cvParam:{_CV}>>>, activation:struct<cvParam:{_CV}>>>>, "
@@ -156,7 +156,7 @@ def read_mod_catalogue(spark: SparkSession, unimod_xml: str | None = None, psimo
     cols = ["acc", "name", "origin", "term", "mass", "label"]
     out = None
     if unimod_xml:
-        schema = T.StructType.fromDDL("_record_id string, _title string, `umod:specificity` array<struct<_site:string,_position:string,_classification:string>>, `umod:delta` struct<_mono_mass:double>")
+        schema = ("_record_id string, _title string, `umod:specificity` array<struct<_site:string,_position:string,_classification:string>>, `umod:delta` struct<_mono_mass:double>")
         x = spark.read.format("xml").option("rowTag", "umod:mod").schema(schema).load(unimod_xml).withColumn("s", F.explode("umod:specificity"))
         pos = F.col("s._position")
         term = F.when(pos == "Anywhere", "anywhere").when(pos == "Any N-term", "n_term").when(pos == "Any C-term", "c_term").when(pos == "Protein N-term", "protein_n_term").when(pos == "Protein C-term", "protein_c_term")
