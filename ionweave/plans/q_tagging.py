@@ -249,7 +249,7 @@ def t6(spark, sf):
 @query("T7_extend")
 def t7(spark, sf):
     e = _edges(spark, sf).persist()
-    x = T.extend(T.walks(e, None, 3), e, 2)
+    x = T.extend(T.walks(e, None, 3).persist(), e, 2)
     return x.groupBy("run_id", F.size("path").alias("n_res"), "extended").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -259,7 +259,7 @@ def t8(spark, sf):
     res = T.alphabet(spark, PARAMS)
     e = T.residue_edges(prep, res, PARAMS).persist()
     pairs = T.residue_pairs(res)
-    w = T.walks(e, T.gap_edges(prep, pairs, e, PARAMS), 3)
+    w = T.walks(e, T.gap_edges(prep, pairs, e, PARAMS).persist(), 3).persist()
     x = T.gap_spellings(w, pairs, PARAMS)
     return x.groupBy("run_id", "gapped").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(T.spell("path")).alias("spellings"))
 
