@@ -7,6 +7,7 @@ from ionweave.functions import scalar as S
 from ionweave.operators import census as C
 from ionweave.plans import q_tagging as QT, tag_run, views as V
 from ionweave.plans.registry import query
+from ionweave.session import materialize
 
 KEY = ["run_id", "idx"]
 
@@ -74,9 +75,9 @@ def c5(spark, sf):
 @query("C5_census_of_tagging")
 def c5b(spark, sf):
     s, p = V.spectra(spark, sf), V.peaks(spark, sf)
-    prep = QT._prepared(spark, sf).persist()
-    edges = QT.T.residue_edges(prep, QT.T.alphabet(spark, QT.PARAMS), QT.PARAMS).persist()
-    tags = tag_run.tag_prepared(prep, QT.PARAMS).persist()
+    prep = materialize(QT._prepared(spark, sf))
+    edges = materialize(QT.T.residue_edges(prep, QT.T.alphabet(spark, QT.PARAMS), QT.PARAMS))
+    tags = materialize(tag_run.tag_prepared(prep, QT.PARAMS))
     c = C.census(s, C.gini(p), tag_run.tag_diagnostics(prep, edges, QT.PARAMS), tags)
     return c.groupBy("run_id", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("n_edges").alias("edges"), F.sum("n_compl").alias("compl"), F.round(F.sum("tag_cover"), 3).alias("cover"))
 

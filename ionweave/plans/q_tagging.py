@@ -7,6 +7,7 @@ from ionweave.functions import constants as K, scalar as S, stats
 from ionweave.operators import filters, ranking, scoring, tagging as T
 from ionweave.plans import tag_run, views as V
 from ionweave.plans.registry import query
+from ionweave.session import materialize
 
 KEY = ["run_id", "idx"]
 PARAMS = T.TagParams(frag_tol=0.3, tol_ppm=False, complement_tol=0.3)
@@ -56,7 +57,7 @@ def _prepared(spark, sf, params=PARAMS):
 
 
 def _edges(spark, sf, params=PARAMS):
-    return T.residue_edges(_prepared(spark, sf, params).persist(), T.alphabet(spark, params), params)
+    return T.residue_edges(materialize(_prepared(spark, sf, params)), T.alphabet(spark, params), params)
 
 
 # ------------------------------------------------------------------ filters
@@ -227,9 +228,9 @@ Q_GAP = ("SELECT run_id, idx, z, pa, pb, pair_a, pair_b, pair_mass FROM (SELECT
 
 @query("T5_gap_edges", pipe("edge", pr=PAIR_SQL, gap=Q_GAP) + "SELECT run_id, idx, CAST(z AS INT) AS z, count(*) AS n, sum(pa * 1000 + pb) AS s FROM gap GROUP BY 1, 2, 3")
 def t5(spark, sf):
-    prep = _prepared(spark, sf).persist()
+    prep = materialize(_prepared(spark, sf))
     res = T.alphabet(spark, PARAMS)
-    e = T.residue_edges(prep, res, PARAMS).persist()
+    e = materialize(T.residue_edges(prep, res, PARAMS))
     g = T.gap_edges(prep, T.residue_pairs(res), e, PARAMS)
     return g.groupBy(*KEY, "z").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a.p") * 1000 + F.col("b.p")).alias("s"))
 
@@ -242,31 +243,31 @@ Q_WALK = ("SELECT e1.run_id, e1.idx, e1.z, e1.pa AS p1, e1.pb AS p2, e2.pb AS p3
 
 @query("T6_walks", pipe("edge", walk=Q_WALK) + "SELECT run_id, idx, CAST(z AS INT) AS z, p1, p2, p3, p4, seq FROM walk")
 def t6(spark, sf):
-    w = T.walks(_edges(spark, sf), None, 3)
+    w = T.walks(materialize(_edges(spark, sf)), None, 3)
     return w.select(*KEY, "z", *[F.element_at("nodes", i).getField("p").alias(f"p{i}") for i in (1, 2, 3, 4)], T.spell("path").alias("seq"))
 
 
 @query("T7_extend")
 def t7(spark, sf):
-    e = _edges(spark, sf).persist()
-    x = T.extend(T.walks(e, None, 3).persist(), e, 2)
+    e = materialize(_edges(spark, sf))
+    x = T.extend(materialize(T.walks(e, None, 3)), e, 2)
     return x.groupBy("run_id", F.size("path").alias("n_res"), "extended").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("T8_gap_spellings")
 def t8(spark, sf):
-    prep = _prepared(spark, sf).persist()
+    prep = materialize(_prepared(spark, sf))
     res = T.alphabet(spark, PARAMS)
-    e = T.residue_edges(prep, res, PARAMS).persist()
+    e = materialize(T.residue_edges(prep, res, PARAMS))
     pairs = T.residue_pairs(res)
-    w = T.walks(e, T.gap_edges(prep, pairs, e, PARAMS).persist(), 3).persist()
+    w = materialize(T.walks(e, materialize(T.gap_edges(prep, pairs, e, PARAMS)), 3))
     x = T.gap_spellings(w, pairs, PARAMS)
     return x.groupBy("run_id", "gapped").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(T.spell("path")).alias("spellings"))
 
 
 @query("T9_spell", pipe("edge", walk=Q_WALK) + "SELECT seq, count(*) AS n FROM walk GROUP BY 1")
 def t9(spark, sf):
-    w = T.walks(_edges(spark, sf), None, 3)
+    w = T.walks(materialize(_edges(spark, sf)), None, 3)
     return w.groupBy(T.spell("path").alias("seq")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -307,7 +308,7 @@ def e1(spark, sf):
 
 
 def _facts(spark, sf):
-    w = T.walks(_edges(spark, sf), None, 3)
+    w = T.walks(materialize(_edges(spark, sf)), None, 3)
     return scoring.path_facts(T.extend(w, w, 0), PARAMS)
 
 

@@ -19,14 +19,13 @@ def stream_tags(stream: DataFrame, tag_path: str, error_path: str, checkpoint: s
     a batch repeated after a failure replaces its files.
     """
     def tag(batch: DataFrame, epoch: int) -> None:
-        batch, held = batch.persist(), []
+        batch = batch.persist()
         good = batch.filter(F.col("_corrupt").isNull()) if "_corrupt" in batch.columns else batch
         spectra = good.withColumn("spectrum", F.col("spectrum_id"))
-        tag_run.tag_spectra(spectra, peaks_of(good), params, held=held).write.mode("overwrite").parquet(f"{tag_path}/batch={epoch}")
+        tag_run.tag_spectra(spectra, peaks_of(good), params).write.mode("overwrite").parquet(f"{tag_path}/batch={epoch}")
         if "_corrupt" in batch.columns:
             batch.filter(F.col("_corrupt").isNotNull()).select("run_id", "idx", F.col("_corrupt").alias("error")).write.mode("overwrite").parquet(f"{error_path}/batch={epoch}")
-        for df in [batch, *held]:
-            df.unpersist()
+        batch.unpersist()
     return stream.writeStream.foreachBatch(tag).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
