@@ -20,8 +20,6 @@ Q_MASS = (f"SELECT *, precursor_mz * charge_used - charge_used * {PROTON!r} AS m
           "least(8, greatest(1, charge_used - 1)) AS n_z FROM spec")
 Q_CLEAN = (f"SELECT p.run_id, p.idx, p.mz, p.intensity, m.mass, m.charge_used, m.n_z FROM peaks p JOIN m USING (run_id, idx) "
            f"WHERE p.intensity > 0 AND p.mz <= m.mass + {PROTON + 1.5!r}")
-Q_COLL = ("SELECT run_id, idx, mz, max(intensity) AS intensity, min(mass) AS mass, min(charge_used) AS charge_used, "
-          "min(n_z) AS n_z FROM clean GROUP BY ALL HAVING true")
 Q_COLL = ("SELECT run_id, idx, mz, max(intensity) AS intensity, min(mass) AS mass, min(charge_used) AS charge_used, "
           "min(n_z) AS n_z FROM clean GROUP BY run_id, idx, mz")
 Q_BUDGET = ("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, idx ORDER BY intensity DESC, mz DESC) AS rk "
@@ -312,11 +310,6 @@ def _facts(spark, sf):
     return scoring.path_facts(T.extend(w, w, 0), PARAMS)
 
 
-def _rs_sql() -> str:
-    """Count of 2-subsets by rank sum, in plain SQL, for the k = 2 null."""
-    return ("ns AS (SELECT DISTINCT n_kept AS n FROM prep WHERE n_kept >= 2)")
-
-
 @query("E2_ranksum_null", pipe("prep", ns="SELECT DISTINCT n_kept AS n FROM prep WHERE n_kept >= 2",
        c="SELECT n, a + b AS s, count(*) AS ways FROM ns, (SELECT unnest(range(1, 101)) AS a), (SELECT unnest(range(1, 101)) AS b) WHERE a < b AND b <= n GROUP BY 1, 2") +
        "SELECT CAST(n AS INT) AS n, CAST(s AS INT) AS s, round(sum(ways) OVER (PARTITION BY n ORDER BY s) / sum(ways) OVER (PARTITION BY n), 9) AS cdf FROM c")

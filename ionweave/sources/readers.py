@@ -141,7 +141,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_taxdump(spark: SparkSession, nodes: str, names: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, names): scientific names only; malformed and repeated rows are skipped."""
-    part = lambda n: F.trim(F.get(F.split("value", r"\|"), F.lit(n)))
+    part = lambda n: F.regexp_replace(F.get(F.split("value", r"\|"), F.lit(n)), r"^\s+|\s+$", "")
     nd = spark.read.text(nodes).select(part(0).try_cast("long").alias("taxid"), part(1).try_cast("long").alias("parent"), part(2).alias("rank"))
     nm = spark.read.text(names).select(part(0).try_cast("long").alias("taxid"), part(1).alias("name"), part(3).alias("cls"))
     return (nd.filter("taxid IS NOT NULL AND parent IS NOT NULL").dropDuplicates(["taxid"]),
