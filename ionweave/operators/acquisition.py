@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ionweave.operators.census import quantiles
 from ionweave.operators.core import Scan, interval_union, ordered_scan
+from ionweave.session import materialize
 
 # Classification thresholds.
 MIN_GAPS, MIN_PERIODICITY, CYCLE_TOLERANCE, MIN_WINDOWS = 10, 0.2, 0.1, 5
@@ -113,7 +114,7 @@ def classify_acquisition(scans: DataFrame) -> DataFrame:
     """
     s = scans.withColumn("kx", F.round(F.col("x") * 10).cast("long")).withColumn(
         "klo", F.round(F.col("lower") * 100).cast("long")).withColumn("kup", F.round(F.col("upper") * 100).cast("long"))
-    ev = collapse_events(s)
+    ev = materialize(collapse_events(s))
     base = s.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_ms2"), F.avg(F.col("provenance").cast("int")).alias("frac_provenance"),
                                    F.avg((F.col("charge") <= 0).cast("int")).alias("frac_uncharged"))
     zc = s.filter("charge > 0").groupBy("run_id", "charge").agg(F.count(F.lit(1)).alias("c")).groupBy("run_id").agg(F.max("c").alias("top_z"))

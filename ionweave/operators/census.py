@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ionweave.functions import scalar as S
-from ionweave.operators.core import Scan, interval_union, mid_rank, ordered_scan, value_ranks
+from ionweave.operators.core import Scan, interval_union, ordered_scan, value_ranks
+from ionweave.session import materialize
 
 KEY = ["run_id", "idx"]
 
@@ -115,6 +116,7 @@ def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float]) -
 
 def census_summary(census_df: DataFrame) -> DataFrame:
     """(run_id, key, value): counts and shares per status, and quantiles of E-value, kept peaks and Gini."""
+    census_df = materialize(census_df)
     n = census_df.groupBy("run_id", "status").agg(F.count(F.lit(1)).alias("c"))
     tot = n.groupBy("run_id").agg(F.sum("c").alias("t"))
     rows = n.join(tot, "run_id").select("run_id", F.explode(F.array(
@@ -211,6 +213,7 @@ def mid_ranks(df: DataFrame, features: list[str], group: list[str] = ["run_id"],
 
 def ident_score(census_df: DataFrame) -> DataFrame:
     """Adds ``ident_score``: the frozen logistic model on per-run mid-ranks of twelve features."""
+    census_df = materialize(census_df)   # one row per spectrum, read by every step below
     raw = census_df.select(*KEY, *[raw_feature(f).alias(f) for f in MODEL_FEATURES])
     r = mid_ranks(raw, MODEL_FEATURES)
     z = F.lit(MODEL_INTERCEPT)
