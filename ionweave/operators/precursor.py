@@ -120,7 +120,8 @@ def preceding_ms1(scans: DataFrame) -> DataFrame:
 def ms1_charge(scans: DataFrame, peaks: DataFrame, ppm: float = MS1_PPM) -> DataFrame:
     """Isotope-spacing charge of MS2 precursors in the preceding MS1 scan (0 = none).
 
-    The highest charge with a strong +1/z peak and a -1/z or +2/z peak wins.
+    The highest charge with a strong +1/z peak and a -1/z or +2/z peak wins; ``spaced`` lists every
+    charge with a strong +1/z peak.
     """
     ms2 = preceding_ms1(scans).filter("ms_level = 2 AND ms1_idx IS NOT NULL AND precursor_mz > 0")
     zs = [(0, 0.0)] + [(z * 10 + j, m / z) for z in range(1, CHARGE_LIMIT + 1) for j, m in ((1, 1.0), (2, -1.0), (3, 2.0))]
@@ -137,7 +138,8 @@ def ms1_charge(scans: DataFrame, peaks: DataFrame, ppm: float = MS1_PPM) -> Data
     for z in range(1, CHARGE_LIMIT + 1):
         ok = (at(z * 10 + 1) >= MS1_FIRST_MIN * at(0)) & ((at(z * 10 + 2) >= MS1_SUPPORT_MIN * at(0)) | (at(z * 10 + 3) >= MS1_SUPPORT_MIN * at(0)))
         call = F.when(ok, z).otherwise(call)
-    per = per.select(*KEY, F.when(at(0) > 0, call).otherwise(0).alias("ms1_charge"))
+    spaced = F.array_compact(F.array(*[F.when((at(0) > 0) & (at(z * 10 + 1) >= MS1_FIRST_MIN * at(0)), F.lit(z)) for z in range(1, CHARGE_LIMIT + 1)]))
+    per = per.select(*KEY, F.when(at(0) > 0, call).otherwise(0).alias("ms1_charge"), spaced.alias("spaced"))
     return ms2.select(*KEY, "ms1_idx").join(per, KEY, "left").withColumn("ms1_charge", F.coalesce("ms1_charge", F.lit(0)))
 
 
@@ -158,8 +160,10 @@ def check_header_charge(peaks: DataFrame, spectra: DataFrame, tol: float, zmin:
     v = (F.when(F.col("src") == "ambiguous", amb).when((F.col("src") == "assumed") | (F.col("basis") == "none"), "no_call")
          .when(F.col("call") == F.col("header"), "agree").when(against, "disagree").otherwise("no_call"))
     if ms1 is not None:
-        j = j.join(ms1.select(*KEY, "ms1_charge"), KEY, "left")
-        v = F.when(F.col("ms1_charge") > 0, F.when(F.col("ms1_charge") == F.col("header"), "agree").otherwise("disagree")).otherwise(v)
+        # a header whose own +1/z peak is there stands against a higher MS1 call
+        j = j.join(ms1.select(*KEY, "ms1_charge", "spaced"), KEY, "left")
+        stands = (F.col("ms1_charge") == F.col("header")) | F.array_contains("spaced", F.col("header").cast("int"))
+        v = F.when(F.col("ms1_charge") > 0, F.when(stands, "agree").otherwise("disagree")).otherwise(v)
     return j.withColumn("verdict", v)
 
 

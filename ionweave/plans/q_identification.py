@@ -70,7 +70,7 @@ def _ms1_call() -> str:
        c=f"SELECT run_id, idx, {_ms1_call()} AS ms1_charge FROM h GROUP BY 1, 2") +
        "SELECT a.run_id, a.idx, a.ms1_idx, coalesce(c.ms1_charge, 0) AS ms1_charge FROM prev a LEFT JOIN c USING (run_id, idx) WHERE a.charge <> 4 AND a.ms1_idx IS NOT NULL")
 def h5(spark, sf):
-    return H.ms1_charge(_scan_levels(spark, sf), V.peaks(spark, sf), 500.0)
+    return H.ms1_charge(_scan_levels(spark, sf), V.peaks(spark, sf), 500.0).drop("spaced")
 
 
 @query("H6_check_header_charge")
