@@ -29,13 +29,17 @@ SIZES = (3, 4, 5)
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``sample``: labelled rows of each class that the model is trained on at most."""
+    """``sample``: labelled rows of each class that the model is trained on at most. Buckets that do not tell the
+    classes apart stay at zero: those whose document frequencies differ by less than ``contrast`` (phi coefficient)
+    or four standard errors; the ``features`` that differ most are trained."""
     sample: int = 1500
     buckets: int = 1 << 17
+    contrast: float = 0.146
+    features: int = 4096
     dim: int = 4
-    steps: int = 60
-    rate: float = 0.2
-    decay: float = 1e-5
+    steps: int = 200
+    rate: float = 0.05
+    decay: float = 1e-3
     seed: int = 7
 
 
@@ -86,45 +90,46 @@ class ToxicityModel:
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, params: ToxicityParams) -> ToxicityModel:
     """Adam on the mean cross-entropy over all bags. Classes are weighted alike; the bias then moves to ``prior``."""
-    if not len(labels) or labels.min() == labels.max():
-        share = min(max(prior, 1e-6), 1 - 1e-6)
-        return ToxicityModel(np.zeros(params.buckets, np.float32), float(np.log(share / (1 - share))))
+    share = min(max(prior, 1e-6), 1 - 1e-6)
+    shift = float(np.log(share / (1 - share)))
+    n = np.bincount(labels, minlength=2)
+    if not n.all():
+        return ToxicityModel(np.zeros(params.buckets, np.float32), shift)
+    frequency = [np.bincount(np.concatenate([b for (b, _), k in zip(bags, labels, strict=True) if k == c]), minlength=params.buckets) / n[c] for c in (0, 1)]
+    mean = (frequency[0] + frequency[1]) / 2
+    z = np.abs(frequency[1] - frequency[0]) / np.sqrt(mean * (1 - mean) * (1 / n[0] + 1 / n[1]) + 1e-9)
+    least = min(max(4.0, params.contrast * len(labels) ** 0.5), 8.0)
+    chosen = np.argsort(-z, kind="stable")[:params.features]
+    chosen = np.sort(chosen[z[chosen] >= least])
+    place = np.full(params.buckets, -1)
+    place[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(bags), len(chosen)), np.float32)
+    for row, (b, w) in zip(x, bags, strict=True):
+        kept = place[b] >= 0
+        row[place[b[kept]]] = w[kept]
+    scale = np.sqrt((x ** 2).mean(0)) + 1e-9
+    x /= scale
     rng = np.random.default_rng(params.seed)
-    sizes = np.array([len(b) for b, _ in bags])
-    doc = np.repeat(np.arange(len(bags)), sizes)
-    bucket = np.concatenate([b for b, _ in bags])
-    weight = np.concatenate([w for _, w in bags]).astype(np.float32)
-    used, column = np.unique(bucket, return_inverse=True)
-    by_column = np.argsort(column, kind="stable")
-    column_starts = np.concatenate([[0], np.cumsum(np.bincount(column))[:-1]])
-    full = sizes > 0
-    doc_starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-    emb = rng.normal(0, 0.1, (len(used), params.dim)).astype(np.float32)
-    layer = rng.normal(0, 0.1, (params.dim, 2)).astype(np.float32)
+    emb = rng.normal(0, 0.1, (len(chosen), params.dim)).astype(np.float32)
+    layer = rng.normal(0, 0.5, (params.dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     want = np.eye(2, dtype=np.float32)[labels]
-    each = (0.5 / np.bincount(labels, minlength=2))[labels].astype(np.float32)[:, None]
+    each = (0.5 / n)[labels].astype(np.float32)[:, None]
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, layer, bias)]
-    docs_sorted, weight_sorted = doc[by_column], weight[by_column][:, None]
     for t in range(1, params.steps + 1):
-        vec = np.zeros((len(bags), params.dim), np.float32)
-        if len(doc):
-            vec[full] = np.add.reduceat(emb[column] * weight[:, None], doc_starts, axis=0)
+        vec = x @ emb
         logits = vec @ layer + bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         g = (p - want) * each
-        gv = g @ layer.T
-        grads = [np.add.reduceat(gv[docs_sorted] * weight_sorted, column_starts, axis=0) + params.decay * emb if len(doc) else emb * 0,
-                 vec.T @ g, g.sum(0)]
+        grads = [x.T @ (g @ layer.T) + params.decay * emb, vec.T @ g, g.sum(0)]
         for param, grad, (m, v) in zip((emb, layer, bias), grads, state, strict=True):
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
             param -= params.rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
     value = np.zeros(params.buckets, np.float32)
-    value[used] = emb @ (layer[:, 1] - layer[:, 0])
-    prior = min(max(prior, 1e-6), 1 - 1e-6)
-    return ToxicityModel(value, float(bias[1] - bias[0] + np.log(prior / (1 - prior))))
+    value[chosen] = emb @ (layer[:, 1] - layer[:, 0]) / scale
+    return ToxicityModel(value, float(bias[1] - bias[0]) + shift)
 
 
 class WordValues(dict):
