@@ -156,28 +156,22 @@ class WordValues(dict):
         return (1 / (1 + np.exp(-np.clip(z, -50, 50)))).tolist()
 
 
-def fit(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Trains on (text, toxic) rows; at most ``params.sample`` rows of each class, those with the smallest hash of
-    their text, are turned into bags by tasks and trained on by the driver."""
-    rows = columns_only(labelled, "text", "toxic").filter("toxic is not null").withColumn("toxic", (F.col("toxic") > 0).cast("int"))
-    prior = rows.agg(F.avg("toxic")).first()[0]
-    order = F.xxhash64(F.coalesce("text", F.lit("")))
-    sampled = [rows.filter(F.col("toxic") == k).orderBy(order, "text").limit(params.sample) for k in (0, 1)]
-
+def fit(sampled: DataFrame, prior: float, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
+    """Trains on (text, toxic) rows, a bounded sample: tasks turn them into bags, the driver trains on these."""
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = [document_buckets(t, params.buckets) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"toxic": b["toxic"].cast(pa.int32()), "b": pa.array([x.astype(np.int32) for x, _ in pairs], pa.list_(pa.int32())),
                                               "w": pa.array([x.astype(np.float32) for _, x in pairs], pa.list_(pa.float32()))})
 
-    got = sampled[0].unionAll(sampled[1]).repartition(8).mapInArrow(bags, "toxic int, b array<int>, w array<float>").toArrow()
-    got = got.sort_by("toxic").combine_chunks()
-    out = [(np.asarray(b.values), np.asarray(w.values, np.float64)) for b, w in zip(got["b"], got["w"], strict=True)]
-    return train(out, got["toxic"].to_numpy().astype(np.int64), float(prior or 0.0), params)
+    got = sampled.select("text", "toxic").mapInArrow(bags, "toxic int, b array<int>, w array<float>").toArrow().combine_chunks()
+    out = sorted(zip(got["toxic"].to_pylist(), (np.asarray(b.values) for b in got["b"]), (np.asarray(w.values, np.float64) for w in got["w"]), strict=True),
+                 key=lambda x: (x[0], len(x[1]), x[1].tobytes()))        # the same order whichever task was first
+    return train([(b, w) for _, b, w in out], np.array([k for k, _, _ in out], np.int64), prior, params)
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``score`` (0 to 1); only ``text`` is looked at."""
+def score(docs: DataFrame, model: ToxicityModel, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the score (0 to 1) as ``name``; only ``text`` is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)   # one number per bucket: its size is a parameter
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in keep)
 
@@ -187,10 +181,10 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
             texts, scores = b["_scored_text"], []
             for i in range(0, len(texts), 500):
                 scores += values.scores(texts.slice(i, 500).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(scores, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(scores, pa.float64())], [*keep, name])
 
     cols = [F.col(f"`{n}`") for n in keep] + [F.col("text").alias("_scored_text")]
-    return docs.select(*cols).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*cols).mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def fold(doc_id: Column) -> Column:
@@ -199,10 +193,14 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit_on_labels(documents: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Trains on the labelled documents outside the held-out fold."""
+    """Trains on labelled documents outside the held-out fold: of each class those ``params.sample`` whose ids have the
+    smallest hash, read from the documents by a join with these few ids."""
     marks = (columns_only(labels, "doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id")) != 0)
-             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    return fit(columns_only(documents, "doc_id", "text").join(marks, "doc_id").select("text", "toxic"), params)
+             .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
+    prior = marks.agg(F.avg("toxic")).first()[0]
+    ids = [marks.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.sample) for k in (0, 1)]
+    sampled = columns_only(documents, "doc_id", "text").join(F.broadcast(ids[0].unionAll(ids[1])), "doc_id")
+    return fit(sampled, float(prior or 0.0), params)
 
 
 @query("op9_toxicity")
