@@ -1,5 +1,5 @@
 """Registers the queries of this subpackage."""
 from __future__ import annotations
 
-from ionweave.llm import idcoder, linededup, mixing, neardup, packing, toxicity  # noqa: F401
+from ionweave.llm import idcoder, licences, linededup, mixing, neardup, packing, toxicity  # noqa: F401
 from ionweave.llm.base import ORACLES, QUERIES  # noqa: F401
