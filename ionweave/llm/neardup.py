@@ -32,7 +32,7 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are hashed at once.
-_CHUNK = 8_000_000
+_CHUNK = 1_000_000
 
 
 @dataclass(frozen=True)
