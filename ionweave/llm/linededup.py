@@ -76,8 +76,8 @@ def recurring(docs: DataFrame, p: LineParams) -> DataFrame:
     return whole.unionAll(covered.join(often.select("leaf"), "leaf", "left_semi").select("h").distinct())
 
 
-def drop_recurring_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """``docs`` with ``text`` cleaned, and _lines and _dropped (numbers of lines)."""
+def drop_recurring_lines(docs: DataFrame, params: LineParams = LineParams(), lines: str = "_lines", dropped: str = "_dropped") -> DataFrame:
+    """``docs`` with ``text`` cleaned, and the numbers of lines and of dropped lines under these names."""
     columns = docs.columns
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], F.col("doc_id"), F.col("text"))
     found = written(recurring(own.select("doc_id", "text"), params), "recurring")
@@ -85,14 +85,13 @@ def drop_recurring_lines(docs: DataFrame, params: LineParams = LineParams()) ->
     hits = (_masked(own.select("doc_id", "text")).select(*key, F.explode(F.expr("array_distinct(filter(_masks, x -> x <> ''))")).alias("t"))
             .select("_id", "_hash", F.xxhash64("t").alias("h")).join(found, "h", "left_semi")
             .groupBy("_id", "_hash").agg(F.collect_set("h").alias("_drop")))                           # lines of one text at most
-    lines = F.split("text", "\n")
     stays = rf"filter(split(text, '\n'), x -> not coalesce(array_contains(_drop, xxhash64({MASK})), false))"
     return (own.select("*", *key).join(hits, ["_id", "_hash"], "left")
-            .withColumn("_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
+            .withColumn("_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))))
             .withColumn("_stay", F.when(F.col("_drop").isNull(), F.lit(None)).otherwise(F.expr(stays)))
             .withColumn("_dropped", F.when(F.col("_stay").isNull(), 0).otherwise(F.col("_lines") - F.size("_stay")))
             .withColumn("_clean", F.when(F.col("_stay").isNull(), F.col("text")).otherwise(F.array_join("_stay", "\n")))
-            .select(*[(F.col("_clean") if c == "text" else F.col(f"c{k}")).alias(c) for k, c in enumerate(columns)], "_lines", "_dropped"))
+            .select(*[(F.col("_clean") if c == "text" else F.col(f"c{k}")).alias(c) for k, c in enumerate(columns)], F.col("_lines").alias(lines), F.col("_dropped").alias(dropped)))
 
 
 SQL = r"""
