@@ -58,15 +58,26 @@ def log_factorial(n) -> Column:
     return F.when(n < 30, small).otherwise(big)
 
 
+def _reach(variance: Column) -> Column:
+    """Terms from the middle of a distribution until the rest is below the last digit: twelve deviations and more."""
+    return F.ceil(60 + 12 * F.sqrt(variance)).cast("long")
+
+
+def _fold(first: Column, steps: Column, ratio) -> Column:
+    """first + first r(1) + first r(1) r(2) + ... over ``steps`` further terms."""
+    return F.aggregate(F.when(steps > 0, F.sequence(F.lit(1).cast("long"), steps)).otherwise(F.array().cast("array<bigint>")),
+                       F.struct(first.alias("t"), first.alias("s")),
+                       lambda a, i: F.struct((a.t * ratio(i)).alias("t"), (a.s + a.t * ratio(i)).alias("s")), lambda a: a.s)
+
+
 def poisson_upper(o, lam) -> Column:
-    """P(X >= o) for a Poisson mean; sums the shorter side of the distribution."""
-    o, lam = _c(o).cast("int"), _c(lam).cast("double")
-    below = F.aggregate(_steps(o), F.struct(F.exp(-lam).alias("t"), F.lit(0.0).alias("s")),
-                        lambda a, i: F.struct((a.t * lam / (i + 1)).alias("t"), (a.s + a.t).alias("s")), lambda a: a.s)
-    first = F.exp(-lam + o * F.ln(lam) - log_factorial(o))
-    above = F.aggregate(F.sequence(F.lit(1), F.lit(400)), F.struct(first.alias("t"), first.alias("s")),
-                        lambda a, i: F.struct((a.t * lam / (o + i)).alias("t"), (a.s + a.t * lam / (o + i)).alias("s")),
-                        lambda a: a.s)
+    """P(X >= o) for a Poisson mean. Terms are summed away from the mean, from a first term taken in logs, so neither
+    large means nor large counts underflow and the work grows with the square root of the mean."""
+    o, lam = _c(o).cast("long"), _c(lam).cast("double")
+    pmf = lambda k: F.exp(-lam + k * F.ln(lam) - log_factorial(k))
+    far = _reach(F.greatest(lam, o.cast("double")))
+    above = _fold(pmf(o), far, lambda i: lam / (o + i))
+    below = _fold(pmf(o - 1), F.least(far, o - 1), lambda i: (o - i) / lam)
     return (F.when(o <= 0, 1.0).when(lam <= 0, 0.0).when(o > lam, F.least(above, F.lit(1.0)))
             .otherwise(F.greatest(1 - below, F.lit(0.0))))
 
@@ -82,20 +93,19 @@ def normal_upper(z) -> Column:
 
 
 def binomial_upper(n, k, p, exact_limit: int = 20000) -> Column:
-    """P(X >= k) of Binomial(n, p): exact sum, Poisson for small means, else normal."""
-    n, k, p = _c(n).cast("int"), _c(k).cast("int"), _c(p).cast("double")
-    lp, lq = F.ln(p), F.ln(1 - p)
-    base = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * lp + (n - k) * lq
-    first = F.exp(base)
-    tail = F.aggregate(
-        F.when(k < n, F.sequence(k + 1, n)).otherwise(F.array().cast("array<int>")),
-        F.struct(first.alias("t"), first.alias("s")),
-        lambda a, i: F.struct((a.t * (n - i + 1) / i * p / (1 - p)).alias("t"),
-                              (a.s + a.t * (n - i + 1) / i * p / (1 - p)).alias("s")), lambda a: a.s)
+    """P(X >= k) of Binomial(n, p): terms summed away from the mean up to ``exact_limit`` draws, beyond it Poisson for
+    small means, else normal."""
+    n, k, p = _c(n).cast("long"), _c(k).cast("long"), _c(p).cast("double")
+    pmf = lambda j: F.exp(log_factorial(n) - log_factorial(j) - log_factorial(n - j) + j * F.ln(p) + (n - j) * F.ln(1 - p))
+    odds = p / (1 - p)
+    far = _reach(n * p * (1 - p))
+    above = _fold(pmf(k), F.least(far, n - k), lambda i: (n - k - i + 1) / (k + i) * odds)
+    below = _fold(pmf(k - 1), F.least(far, k - 1), lambda i: (k - i) / (n - k + 1 + i) / odds)
+    tail = F.when(k > n * p, F.least(above, F.lit(1.0))).otherwise(F.greatest(1 - below, F.lit(0.0)))
     mean = n * p
     sd = F.sqrt(mean * (1 - p))
     return (F.when(k <= 0, 1.0).when(k > n, 0.0).when(p <= 0, 0.0).when(p >= 1, 1.0)
-            .when(n <= exact_limit, F.least(tail, F.lit(1.0)))
+            .when(n <= exact_limit, tail)
             .when(mean < 1000, poisson_upper(k, mean)).otherwise(normal_upper((k - 0.5 - mean) / sd)))
 
 

@@ -177,16 +177,17 @@ def lookback(df: DataFrame, group: Sequence[str], order: str, flag: Column, out:
             .withColumn(out, F.coalesce(F.max("_f").over(w), F.col("_prev"))).drop("_tile", "_f", "_prev"))
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): smallest label reachable over undirected edges (a, b).
 
-    Alternates neighbour minima with label jumping, so rounds grow with the logarithm of the diameter.
+    Alternates neighbour minima with label jumping up to the fixed point, so rounds grow with the logarithm of the
+    diameter.
     Each round's labels are pre-aggregated before the shuffle and written to the checkpoint folder.
     """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
                        .filter("a <> b").distinct())
     labels = materialize(nodes.select("node", F.col("node").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         near = (both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("_near"))
                 .withColumnRenamed("a", "node"))
         step = labels.join(near, "node", "left").select(
@@ -198,7 +199,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 6
         labels = nxt.select("node", "component")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def even_hash(*cols, seed: int) -> Column:

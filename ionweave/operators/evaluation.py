@@ -1,6 +1,9 @@
 """Scoring against known truth: tag correctness, precision and recall, controls, intervals, agreement."""
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ionweave.functions import constants as K, scalar as S, stats
@@ -149,13 +152,21 @@ def byproducts(peptides: DataFrame, min_len: int = 5) -> DataFrame:
 
 
 def decoy_pool(peptides: DataFrame, seed: int = 1) -> DataFrame:
-    """(peptide, decoy): residues in hashed order with the last one kept, never a target's identity."""
+    """(peptide, decoy): residues in hashed order with the last one kept, never a target's identity.
+
+    Five orders are tried, then every rotation of the first; a peptide for which none will do keeps its row with a
+    NULL decoy.
+    """
     letters = F.split(F.expr("substring(peptide, 1, length(peptide) - 1)"), "(?!^)(?=.)")
-    tries = F.explode(F.sequence(F.lit(1), F.lit(5)))
-    d = peptides.select("peptide").distinct().withColumn("t", tries).withColumn("decoy", F.concat(F.array_join(F.transform(F.array_sort(F.transform(
-        letters, lambda c, i: F.struct(F.xxhash64("peptide", "t", i, F.lit(seed)).alias("h"), c.alias("c")))), lambda x: x.c), ""), F.expr("right(peptide, 1)")))
+    tries = F.explode(F.sequence(F.lit(1), F.lit(5) + F.length("peptide")))
+    order = F.array_join(F.transform(F.array_sort(F.transform(
+        letters, lambda c, i: F.struct(F.xxhash64("peptide", F.when(F.col("t") > 5, F.lit(1)).otherwise(F.col("t")), i, F.lit(seed)).alias("h"), c.alias("c")))), lambda x: x.c), "")
+    d = peptides.select("peptide").distinct().withColumn("t", tries).withColumn("_o", order)
+    turned = F.expr("concat(substring(_o, greatest(t - 5, 0) + 1), substring(_o, 1, greatest(t - 5, 0)), right(peptide, 1))")
+    d = d.withColumn("decoy", turned).drop("_o")
     d = d.withColumn("_n", S.normalize_peptide("decoy")).join(peptides.select(S.normalize_peptide("peptide").alias("_n")).distinct(), "_n", "left_anti")
-    return d.groupBy("peptide").agg(F.min_by("decoy", "t").alias("decoy"))
+    found = d.groupBy("peptide").agg(F.min_by("decoy", "t").alias("decoy"))
+    return peptides.select("peptide").distinct().join(found, "peptide", "left")
 
 
 def pool_swap(pools: DataFrame, seed: int = 1) -> DataFrame:
@@ -271,6 +282,10 @@ def top_precision(df: DataFrame, group: list[str], score: str, label: str, frac:
     return g.select(*group, "k", (F.col("hits") / F.col("k")).alias("precision"), (F.col("hits") / F.nullif(F.col("_P"), F.lit(0))).alias("recovery"))
 
 
+#: Distribution function of a Poisson variable of mean one, up to the last that differs from one.
+POISSON_ONE = [x for x in itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(25)) if x < 1.0]
+
+
 def cluster_bootstrap(df: DataFrame, by: list[str], cluster: str, value: str, B: int = 200, seed: int = 1) -> DataFrame:
     """Percentile interval of a mean by resampling clusters.
 
@@ -279,8 +294,7 @@ def cluster_bootstrap(df: DataFrame, by: list[str], cluster: str, value: str, B:
     """
     c = df.groupBy(*by, cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
     u = even_hash(cluster, "b", seed=seed)
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    mult = sum(((u >= x).cast("int") for x in cdf), F.lit(0))
+    mult = sum(((u >= x).cast("int") for x in POISSON_ONE), F.lit(0))
     d = c.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B)))).withColumn("m", mult).filter("m > 0")
     per = d.groupBy(*by, "b").agg((F.sum(F.col("s") * F.col("m")) / F.sum(F.col("n") * F.col("m"))).alias("mean"))
     est = c.groupBy(*by).agg((F.sum("s") / F.sum("n")).alias("estimate"), F.count(F.lit(1)).alias("clusters"))
@@ -297,7 +311,7 @@ def paired_stats(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
                                F.count_if(F.col(a) & ~F.col(b)).alias("b01"), F.count_if(~F.col(a) & F.col(b)).alias("b10"))
     lo, hi = stats.wilson("ka", "n")
     m, k = F.col("b01") + F.col("b10"), F.least("b01", "b10")
-    lower = 1 - stats.binomial_upper(m, k + 1, F.lit(0.5))
+    lower = stats.binomial_upper(m, m - k, F.lit(0.5))   # the lower tail, by symmetry
     p = F.when(m == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.when(m > k, lower).otherwise(1.0)))
     g = g.withColumn("low", lo).withColumn("high", hi).withColumn("p", p)
     w = W.orderBy("p", *by)
@@ -415,7 +429,7 @@ def two_group_boot(df: DataFrame, group: str, cluster: str, value: str, B: int =
     """Difference of the two groups' means with a cluster-resampling interval (group is boolean)."""
     c = df.groupBy(group, cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
     u = even_hash(cluster, "b", group, seed=seed)
-    mult = sum(((u >= x).cast("int") for x in [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]), F.lit(0))
+    mult = sum(((u >= x).cast("int") for x in POISSON_ONE), F.lit(0))
     d = c.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B)))).withColumn("m", F.when(F.col("b") == 0, 1).otherwise(mult))
     mean = lambda g: F.sum(F.when(F.col(group) == g, F.col("s") * F.col("m"))) / F.sum(F.when(F.col(group) == g, F.col("n") * F.col("m")))
     per = d.groupBy("b").agg((mean(True) - mean(False)).alias("diff"))

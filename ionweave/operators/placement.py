@@ -79,21 +79,28 @@ def digest_windows(occ: DataFrame, sites: DataFrame, missed: int = 0) -> DataFra
     return w.join(a, ["accession", "sa"]).join(b, ["accession", "sb"]).drop("s0", "s1", "sa", "sb")
 
 
-def windows_by_mass(occ: DataFrame, proteins: DataFrame, tol: float, max_side: int = 60) -> DataFrame:
-    """Windows whose flank masses fit want_n or want_c of the occurrence, within ``max_side`` residues.
+#: Mass of the lightest residue, glycine (Da).
+LIGHTEST = 57.02146372
 
-    Flanks are walked over the residues next to the occurrence; both flanks must fit.
+
+def windows_by_mass(occ: DataFrame, proteins: DataFrame, tol: float) -> DataFrame:
+    """Windows whose flank masses fit want_n or want_c of the occurrence; both flanks must fit.
+
+    Flanks are walked over the residues next to the occurrence, as far as the lightest residue could reach the
+    wanted mass.
     """
     p = occ.join(proteins.select("accession", "sequence"), "accession")
-    left = F.reverse(F.expr(f"substring(sequence, greatest(1, pos + 1 - {max_side}), least(pos, {max_side}))"))
-    right = F.expr(f"substring(sequence, pos + len + 1, {max_side})")
+    reach = lambda want: F.ceil((F.greatest(F.coalesce(F.col(want), F.lit(0.0)), F.lit(0.0)) + tol) / LIGHTEST).cast("int") + 1
+    p = p.withColumn("_n", reach("want_n")).withColumn("_c", reach("want_c"))
+    left = F.reverse(F.expr("substring(sequence, greatest(1, pos + 1 - _n), least(pos, _n))"))
+    right = F.expr("substring(sequence, pos + len + 1, _c)")
     fits = lambda seq, want: F.filter(
         F.transform(S.prefix_masses(seq), lambda m, i: F.when(F.abs(m - want) <= tol, i)), lambda i: i.isNotNull())
     p = p.withColumn("_l", F.when(F.length(left) > 0, fits(left, F.col("want_n"))).otherwise(F.when(F.col("want_n") <= tol, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))))
     p = p.withColumn("_r", F.when(F.length(right) > 0, fits(right, F.col("want_c"))).otherwise(F.when(F.col("want_c") <= tol, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))))
     p = p.withColumn("_a", F.explode("_l")).withColumn("_b", F.explode("_r"))
     return p.withColumn("start", F.col("pos") - F.col("_a")).withColumn("end", F.col("pos") + F.col("len") + F.col("_b")).drop(
-        "_l", "_r", "_a", "_b", "sequence")
+        "_l", "_r", "_a", "_b", "_n", "_c", "sequence")
 
 
 def _cut_at(before: Column, after: Column, enzyme: str) -> Column:

@@ -87,8 +87,8 @@ def sort_view(df: DataFrame, col: str, desc: bool = False, numeric: bool = True)
 
 
 def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
-    """A window of at most 1000 rows of the ordered view (a top-k report)."""
-    return df.orderBy(*order).offset(offset).limit(min(limit, 1000))
+    """``limit`` rows of the ordered view from ``offset`` on (a top-k report)."""
+    return df.orderBy(*order).offset(offset).limit(limit)
 
 
 def row_position(df: DataFrame, value: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """k-mer to taxon tables, tag support, taxonomy roll-up, enrichment and species calls."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ionweave.functions import stats
@@ -43,26 +46,27 @@ def group_overlap(kmer_taxa: DataFrame, groups: DataFrame) -> DataFrame:
     return pairwise_overlap(g)
 
 
-def tag_support(tags: DataFrame, kmer_taxa: DataFrame, k: int = 7, share_cap: int = 1000, margin: float = 0.0) -> DataFrame:
+def tag_support(tags: DataFrame, kmer_taxa: DataFrame, k: int = 7, share_cap: int | None = None, margin: float = 0.0) -> DataFrame:
     """(seq, taxon): taxa carrying every evaluated k-mer of a tag.
 
-    A k-mer in no taxon ends the tag; k-mers of more than ``share_cap`` taxa are not evaluated, which
-    bounds the join's fan-out. Each distinct sequence is looked up once.
+    A k-mer in no taxon ends the tag. With ``share_cap``, k-mers of more taxa are not evaluated; without, all are.
+    Each distinct sequence is looked up once.
     """
     seqs = tags.select("seq").distinct().filter(F.length("seq") >= k)
     km = seqs.select("seq", F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?=(.{{{k}}}))"), F.lit(1))).alias("i", "kmer"))
     wanted = kmer_taxa.join(km.select("kmer").distinct(), "kmer", "left_semi")
     n = wanted.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n"))
     ev = km.join(n, "kmer", "left")
-    ok = ev.groupBy("seq").agg(F.min(F.coalesce("_n", F.lit(0))).alias("_least"), F.count_if(F.col("_n") <= share_cap).alias("n_eval")).filter("_least > 0 AND n_eval > 0")
-    hits = ev.filter(F.col("_n") <= share_cap).select("seq", "i", "kmer").join(wanted, "kmer").groupBy("seq", "taxon").agg(F.count(F.lit(1)).alias("c"))
+    wide = F.col("_n") > share_cap if share_cap is not None else F.lit(False)
+    ok = ev.groupBy("seq").agg(F.min(F.coalesce("_n", F.lit(0))).alias("_least"), F.count_if(F.col("_n").isNotNull() & ~wide).alias("n_eval")).filter("_least > 0 AND n_eval > 0")
+    hits = ev.filter(F.col("_n").isNotNull() & ~wide).select("seq", "i", "kmer").join(wanted, "kmer").groupBy("seq", "taxon").agg(F.count(F.lit(1)).alias("c"))
     j = hits.join(ok.select("seq", "n_eval"), "seq")
     runner = j.groupBy("seq").agg(F.max(F.when(F.col("c") < F.col("n_eval"), F.col("c"))).alias("runner"))
     full = j.filter("c = n_eval").join(runner, "seq")
     return full.filter((F.col("n_eval") - F.coalesce("runner", F.lit(0))) / F.col("n_eval") >= margin).select("seq", "taxon")
 
 
-def oriented_support(tags: DataFrame, kmer_taxa: DataFrame, k: int = 7, share_cap: int = 1000, margin: float = 0.0, both: bool = True) -> DataFrame:
+def oriented_support(tags: DataFrame, kmer_taxa: DataFrame, k: int = 7, share_cap: int | None = None, margin: float = 0.0, both: bool = True) -> DataFrame:
     """(seq, taxon, orientation): forward, reverse, intersection or palindrome; disjoint readings give nothing."""
     s = tags.select("seq").distinct()
     if not both:
@@ -95,20 +99,23 @@ def decoy_tags(tags: DataFrame, n_decoys: int = 1) -> DataFrame:
     mix = F.array_join(F.transform(F.array_sort(F.transform(letters, lambda c, i: F.struct(
         F.xxhash64("seq", "decoy", i).alias("h"), c.alias("c")))), lambda x: x.c), "")
     d = d.withColumn("_m", mix)
-    cands = F.array(F.col("_m"), *[F.expr(f"concat(substring(_m, {k + 1}, 100), substring(_m, 1, {k}))") for k in range(1, 6)])
+    cands = F.expr("transform(sequence(0, greatest(length(_m) - 1, 0)), k -> concat(substring(_m, k + 1), substring(_m, 1, k)))")
     ok = F.get(F.filter(cands, lambda s: (s != F.col("seq")) & (s != F.reverse("seq"))), F.lit(0))
     return d.withColumn("decoy_seq", ok).drop("_m").filter("decoy_seq IS NOT NULL")
 
 
-def ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(nodes: DataFrame) -> DataFrame:
     """(taxid, anc, dist): every node with itself and all its ancestors, by pointer doubling.
 
-    Paths double in length each round, so a tree of depth d takes log2(d) joins.
+    Paths double in length each round, so a tree of depth d takes log2(d) joins. Parents that form a cycle raise
+    ValueError.
     """
     jump = materialize(nodes.filter("taxid <> parent").select("taxid", F.col("parent").alias("anc"), F.lit(1).alias("dist")))
     known = jump
-    step = 1
-    while step < max_depth:
+    step, size = 1, nodes.count()
+    while True:
+        if step > 2 * size:
+            raise ValueError("the parents form a cycle")
         hop = known.filter(F.col("dist") == step).select(
             F.col("taxid").alias("t2"), F.col("anc").alias("mid"), F.col("dist").alias("d1"))
         far = known.filter(F.col("dist") <= step).join(hop, F.col("taxid") == F.col("mid")).select(
@@ -139,24 +146,63 @@ def enrichment(rolled: DataFrame, background: DataFrame, totals: DataFrame) -> D
     return bh_qvalues(t, ["run_id"], "pvalue")
 
 
-def deconvolve(overlap: DataFrame, sizes: DataFrame, observed: DataFrame, rounds: int = 30) -> DataFrame:
-    """(run_id, taxon, n_hat): non-negative counts whose expected sharing explains the observed ones.
+def nnls(p: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """The non-negative n with the least |p n - o|: columns enter by their gradient and leave at the bound until no
+    gradient is positive beyond rounding."""
+    n, free = np.zeros(p.shape[1]), np.zeros(p.shape[1], bool)
+    tol = 1e-12 * max(1.0, float(np.abs(p.T @ o).max(initial=0.0)))
+    best = np.inf
+    while not free.all():
+        g = p.T @ (o - p @ n)
+        g[free] = -np.inf
+        j = int(np.argmax(g))
+        if g[j] <= tol:
+            break
+        free[j] = True
+        while True:
+            z = np.zeros_like(n)
+            z[free] = np.linalg.lstsq(p[:, free], o, rcond=None)[0]
+            low = free & (z <= 0)
+            if not low.any():
+                break
+            step = (n[low] / np.maximum(n[low] - z[low], 1e-300)).min()
+            n = n + step * (z - n)
+            free &= n > tol
+            n[~free] = 0.0
+            if not free.any():
+                z = np.zeros_like(n)
+                break
+        n = z
+        left = float(((p @ n - o) ** 2).sum())
+        if left >= best:                       # the same set again: equal columns
+            break
+        best = left
+    return n
+
 
-    ``overlap``: a, b, shared (a <= b, diagonal included). Every round is a join and a sum for all runs
-    at once: n_j <- n_j * sum_i P_ij o_i / sum_i P_ij (P n)_i with P_ij = shared(i, j) / size(j).
+def deconvolve(overlap: DataFrame, sizes: DataFrame, observed: DataFrame) -> DataFrame:
+    """(run_id, taxon, n_hat): non-negative counts whose expected sharing explains the observed ones best.
+
+    ``overlap``: a, b, shared (a <= b, diagonal included). A run is solved by itself to the optimum: a group is the
+    sharing P_ij = shared(i, j) / size(j) among the taxa it observed, which the taxonomy bounds.
     """
     sym = overlap.select("a", "b", "shared").unionByName(overlap.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-    P = materialize(sym.join(sizes.select(F.col("taxon").alias("b"), "kmers"), "b").select(F.col("a").alias("i"), F.col("b").alias("j"), (F.col("shared") / F.col("kmers")).alias("p")))
-    obs = materialize(observed.select("run_id", F.col("taxon").alias("i"), F.col("observed").cast("double").alias("o")))
-    top = obs.join(P, "i").groupBy("run_id", "j").agg(F.sum(F.col("p") * F.col("o")).alias("num"))
-    cur = materialize(obs.select("run_id", F.col("i").alias("j"), F.col("o").alias("n")))
-    for r in range(rounds):
-        pn = cur.join(P, "j").groupBy("run_id", "i").agg(F.sum(F.col("p") * F.col("n")).alias("pn"))
-        den = pn.join(P, "i").groupBy("run_id", "j").agg(F.sum(F.col("p") * F.col("pn")).alias("den"))
-        cur = cur.join(top, ["run_id", "j"]).join(den, ["run_id", "j"]).select("run_id", "j", F.when(F.col("den") > 0, F.col("n") * F.col("num") / F.col("den")).otherwise(0.0).alias("n"))
-        if r % 5 == 4:
-            cur = materialize(cur)
-    return cur.select("run_id", F.col("j").alias("taxon"), F.col("n").alias("n_hat"))
+    P = sym.join(sizes.select(F.col("taxon").alias("b"), "kmers"), "b").select(F.col("a").alias("i"), F.col("b").alias("j"), (F.col("shared") / F.col("kmers")).alias("p"))
+    obs = materialize(observed.select("run_id", "taxon", F.col("observed").cast("double").alias("o")))
+    cells = obs.select("run_id", F.col("taxon").alias("j"), "o").join(P, "j").join(obs.select("run_id", F.col("taxon").alias("i")), ["run_id", "i"])
+    rows = cells.select("run_id", "i", "j", "p", F.lit(None).cast("double").alias("o")).unionByName(
+        obs.select("run_id", F.col("taxon").alias("i"), F.col("taxon").alias("j"), F.lit(None).cast("double").alias("p"), "o"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen = pdf[pdf["o"].notna()].sort_values("i")
+        at = {t: k for k, t in enumerate(seen["i"])}
+        p = np.zeros((len(at), len(at)))
+        part = pdf[pdf["p"].notna()]
+        p[part["i"].map(at), part["j"].map(at)] = part["p"]
+        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "taxon": seen["i"], "n_hat": nnls(p, seen["o"].to_numpy(float))})
+
+    kinds = obs.schema
+    return rows.groupBy("run_id").applyInPandas(solve, f"run_id {kinds['run_id'].dataType.simpleString()}, taxon {kinds['taxon'].dataType.simpleString()}, n_hat double")
 
 
 def species_null(genera: DataFrame, decoys: int, trials: DataFrame) -> DataFrame:
@@ -183,31 +229,32 @@ def _evaluate(g: DataFrame, C: DataFrame, alpha: float, tau: float, n_min: int)
     return e.withColumn("qualifies", tested & (F.col("qvalue") <= alpha) & (F.col("share") >= tau) & (F.col("observed") >= n_min))
 
 
-def call_species(genera: DataFrame, C: DataFrame, alpha: float = 0.01, tau: float = 0.005, n_min: int = 10, min_units: int = 50,
-                 max_rounds: int = 60) -> DataFrame:
+def call_species(genera: DataFrame, C: DataFrame, alpha: float = 0.01, tau: float = 0.005, n_min: int = 10, min_units: int = 50) -> DataFrame:
     """present, no_call or not_detected per run and genus, from a self-consistent present set.
 
     ``genera``: run_id, taxid, observed, share, random_expected, n_hat, n_units. ``C``: g, h, c (share of
-    genus h's spectra that also fit g). The set map is iterated from the empty set until it repeats; on
-    a cycle of two the common members are kept and shrunk until every member qualifies.
+    genus h's spectra that also fit g). The set map is iterated from the empty set until a set of the run repeats;
+    of the sets on that cycle, however long, the common members are kept and shrunk until every member qualifies.
     """
     C = materialize(C.filter("c > 0"))
-    st = materialize(genera.withColumn("present", F.lit(False)).withColumn("before", F.lit(False)))
-    for r in range(max_rounds):
-        e = _evaluate(st, C, alpha, tau, n_min)
-        nxt = materialize(e.withColumn("now", F.col("qualifies")))
-        moved = nxt.groupBy("run_id").agg(F.max((F.col("now") != F.col("present")).cast("int")).alias("a"), F.max((F.col("now") != F.col("before")).cast("int")).alias("b"))
-        open_ = moved.filter("a = 1 AND b = 1").limit(1).count()
-        if not open_ and r > 0:
-            st = nxt.withColumn("present", F.col("present") & F.col("now")).drop("now", "before")
+    st = materialize(genera.withColumn("present", F.lit(False)).withColumn("before", F.array().cast("array<boolean>")).withColumn("settled", F.lit(False)))
+    r = 0
+    while True:
+        e = materialize(_evaluate(st, C, alpha, tau, n_min).withColumn("before", F.when(F.col("settled"), F.col("before")).otherwise(F.concat("before", F.array("present")))))
+        # sets 0 .. r have been seen; the next is that of the qualifying genera
+        same = e.filter("NOT settled").groupBy("run_id").agg(*[F.every(F.col("before")[k] == F.col("qualifies")).alias(f"_{k}") for k in range(r + 1)])
+        start = same.select("run_id", F.coalesce(*[F.when(F.col(f"_{k}"), F.lit(k)) for k in range(r + 1)]).alias("_from"))
+        j = e.join(start, "run_id", "left")
+        common = F.forall(F.slice("before", F.col("_from") + 1, F.size("before")), lambda x: x)
+        st = materialize(j.withColumn("present", F.when(F.col("settled"), F.col("present")).when(F.col("_from").isNotNull(), common).otherwise(F.col("qualifies")))
+                         .withColumn("settled", F.col("settled") | F.col("_from").isNotNull()).drop("_from"))
+        r += 1
+        if st.filter("NOT settled").limit(1).count() == 0:
             break
-        st = materialize(nxt.withColumn("before", F.col("present")).withColumn("present", F.col("now")).drop("now"))
-    else:
-        raise RuntimeError("present sets did not repeat; raise max_rounds")
-    for _ in range(max_rounds):
+    st = st.drop("before", "settled")
+    while True:
         e = materialize(_evaluate(st, C, alpha, tau, n_min))
-        lost = e.filter("present AND NOT qualifies").limit(1).count()
-        if not lost:
+        if e.filter("present AND NOT qualifies").limit(1).count() == 0:
             break
         st = e.withColumn("present", F.col("present") & F.col("qualifies"))
     p_rand = stats.poisson_upper("observed", "random_expected")

@@ -153,7 +153,7 @@ def _observed(spark, sf):
 @query("X13_deconvolve")
 def x13(spark, sf):
     kt = X.materialize(kmer_taxa(spark, sf))
-    d = X.deconvolve(X.pairwise_overlap(kt), X.postings(kt), _observed(spark, sf), 10)
+    d = X.deconvolve(X.pairwise_overlap(kt), X.postings(kt), _observed(spark, sf))
     return d.select("run_id", "taxon", F.round("n_hat", 4).alias("n_hat"))
 
 

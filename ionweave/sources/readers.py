@@ -23,7 +23,7 @@ SPECTRA_SCHEMA = T.StructType([
 def _field(lines, name: str):
     """Value of ``NAME=value`` among a block's lines, or NULL."""
     hit = F.get(F.filter(lines, lambda l: F.startswith(F.upper(l), F.lit(name + "="))), F.lit(0))
-    return F.trim(F.substring(hit, len(name) + 2, 100000))
+    return F.trim(F.substr(hit, F.lit(len(name) + 2)))
 
 
 def read_mgf(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +69,10 @@ _MZML = (
 
 
 def read_mzml(spark: SparkSession, path: str) -> DataFrame:
-    """Spectra of mzML files: XML rows by the built-in source, base64 arrays decoded in Arrow batches."""
+    """Spectra of mzML files: XML rows by the built-in source, base64 arrays decoded in Arrow batches.
+
+    A spectrum whose m/z and intensity arrays differ in length has NULL peaks, as opposed to none.
+    """
     x = (spark.read.format("xml").option("rowTag", "spectrum").schema(_MZML).load(path)
          .withColumn("run_id", S.run_stem(F.input_file_name())))
     val = lambda ps, acc: F.get(F.filter(F.coalesce(ps, F.array().cast(_CV)), lambda p: p._accession == acc), F.lit(0))._value
@@ -103,13 +106,18 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ptype = pa.list_(pa.struct([("mz", pa.float64()), ("intensity", pa.float32())]))
         for b in batches:
-            peaks = []
-            for m, y in zip(b.column("_m").to_pylist(), b.column("_i").to_pylist()):
+            mz, intensity, size = [np.zeros(0)], [np.zeros(0)], [0]
+            unequal = np.zeros(b.num_rows, bool)
+            for k, (m, y) in enumerate(zip(b.column("_m").to_pylist(), b.column("_i").to_pylist(), strict=True)):
                 a, c = one(m), one(y)
-                n = min(len(a), len(c))
-                o = np.argsort(a[:n], kind="stable")
-                peaks.append([{"mz": float(a[k]), "intensity": float(c[k])} for k in o])
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(peaks, ptype)], names=[*names, "peaks"])
+                unequal[k] = len(a) != len(c)
+                o = np.argsort(a, kind="stable") if not unequal[k] else []
+                mz.append(a[o] if len(o) else a[:0])
+                intensity.append(c[o] if len(o) else c[:0])
+                size.append(len(o))
+            flat_peaks = pa.StructArray.from_arrays([pa.array(np.concatenate(mz)), pa.array(np.concatenate(intensity).astype(np.float32))], fields=list(ptype.value_type))
+            offsets = pa.array(np.cumsum(size).astype(np.int32), mask=np.append(unequal, False))
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.ListArray.from_arrays(offsets, flat_peaks)], names=[*names, "peaks"])
 
     return flat.mapInArrow(decode, out)
 
