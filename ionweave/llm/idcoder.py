@@ -39,13 +39,13 @@ _U = np.uint64
 @dataclass(frozen=True)
 class CoderParams:
     end_id: int = 2
-    block: int = 2048
+    block: int = 1024
     frame: int = 4_000_000
 
 
 class Model:
     """Predictions of every lane; ``lanes`` shrinks when the last, shorter block ends."""
-    SLOTS1, SLOTS2 = 1024, 2048
+    SLOTS1, SLOTS2 = 512, 512
 
     def __init__(self, lanes: int):
         self.table1 = np.zeros(lanes * self.SLOTS1, np.uint32)          # id, and above bit 28 the confidence
@@ -150,8 +150,9 @@ def encode_blocks(ids: np.ndarray, block: int, values: np.ndarray, share: np.nda
     grid = np.ascontiguousarray(grid.reshape(count, block).T)
     last = len(ids) - (count - 1) * block
     below = np.concatenate([[0], np.cumsum(share)[:-1]]).astype(np.uint64)
-    wide, start0 = np.zeros(int(values[-1]) + 1, np.uint64), np.zeros(int(values[-1]) + 1, np.uint64)
-    wide[values], start0[values] = share, below
+    table = np.zeros((int(values[-1]) + 1, 2), np.uint32)
+    table[values, 0], table[values, 1] = share, below
+    wide, start0 = table[grid, 0], table[grid, 1]
     model = Model(count)
     low, span = np.zeros(count, np.uint64), np.full(count, 0xFFFFFFFFFFFFFFFF, np.uint64)
     words = np.zeros((count, 3 * block + 8), np.uint16)
@@ -172,8 +173,8 @@ def encode_blocks(ids: np.ndarray, block: int, values: np.ndarray, share: np.nda
         lo += r * start
         r *= width
         r0 = r >> _U(ORDER0_BITS)
-        lo += r0 * start0[x] * miss
-        sp[:] = np.where(miss, r0 * wide[x], r)
+        lo += r0 * start0[t, :n] * miss
+        sp[:] = np.where(miss, r0 * wide[t, :n], r)
         model.update(n, x, hit2, hit1)
         for lanes in _settle(lo, sp):
             words[lanes, at[lanes]] = lo[lanes] >> _U(48)
