@@ -1,11 +1,12 @@
 """Mass-shift survey: histograms, bin groups, catalogue names, isobars and combinations."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ionweave.functions import constants as K
 from ionweave.operators.core import range_join
-from ionweave.session import materialize
 
 BIN = 0.0005
 C13 = 1.00335483
@@ -26,30 +27,45 @@ def delta_histogram(samples: DataFrame, width: float = BIN) -> DataFrame:
     return samples.groupBy("run_id", F.round(F.col("delta") / width).cast("long").alias("bin"), "interp").agg(F.count(F.lit(1)).alias("n"))
 
 
-def greedy_claim(rows: DataFrame, group: list[str], pos: str, weight: str, width: float, seedable: Column | None = None,
-                 scale: float = 1.0, max_rounds: int = 100) -> DataFrame:
+#: Rows that one ordered fold takes, about; a stretch without a gap stays together.
+BLOCK_ROWS = 50_000
+
+
+def greedy_claim(rows: DataFrame, group: list[str], pos: str, weight: str, width: float, seedable: Column | None = None, scale: float = 1.0) -> DataFrame:
     """Adds ``seed``: the heaviest row within ``width`` that starts a group (ties to the lower position).
 
-    A row starts a group unless a heavier starter lies within ``width``. Rounds settle all local maxima
-    at once; rows then join their heaviest starter, which equals visiting the rows one by one. ``rows``
-    holds one row per (group, pos): a bounded table of bins. ``scale`` turns positions into whole
-    units for the window frame.
+    Rows are visited from the heaviest down; a row starts a group unless a starter lies within ``width``, and every
+    row joins its heaviest starter. ``rows`` holds one row per (group, pos): a table of bins, which the value range
+    bounds. It is cut at gaps wider than ``width``, across which nothing is claimed, and each block is one fold.
+    ``scale`` turns positions into whole units.
     """
-    seedable = F.lit(True) if seedable is None else seedable
-    prio = F.struct(F.col(weight).cast("double").alias("w"), (-F.col(pos)).cast("double").alias("p"))
     reach = int(round(width * scale))
-    w = W.partitionBy(*group).orderBy(F.round(F.col(pos) * scale).cast("long")).rangeBetween(-reach, reach)
-    st = materialize(rows.withColumn("_prio", prio).withColumn("_start", F.when(~seedable, F.lit(False)).cast("boolean")))
-    for _ in range(max_rounds):
-        x = st.withColumn("_m", F.max(F.when(F.col("_start").isNull(), F.col("_prio"))).over(w))
-        x = x.withColumn("_new", F.col("_start").isNull() & (F.col("_m") == F.col("_prio")))
-        x = x.withColumn("_hit", F.max(F.col("_new").cast("int")).over(w) == 1)
-        x = x.withColumn("_start", F.when(F.col("_new"), True).when(F.col("_start").isNull() & F.col("_hit"), False).otherwise(F.col("_start")))
-        st = materialize(x.select(*rows.columns, "_prio", "_start"))
-        if st.filter("_start IS NULL").limit(1).count() == 0:
-            best = F.max(F.when(F.col("_start"), F.col("_prio"))).over(w)
-            return st.withColumn("_b", best).withColumn("seed", (-F.col("_b.p")).cast(rows.schema[pos].dataType)).drop("_b", "_prio", "_start")
-    raise RuntimeError("bins did not settle; raise max_rounds")
+    w = W.partitionBy(*group).orderBy("_u")
+    cut = rows.select(*group, F.col(pos).alias("_pos"), F.round(F.col(pos) * scale).cast("long").alias("_u"), F.col(weight).cast("double").alias("_w"),
+                      F.coalesce(F.lit(True) if seedable is None else seedable, F.lit(False)).alias("_may"))
+    cut = cut.withColumn("_row", F.row_number().over(w)).withColumn("_first", F.when(F.coalesce(F.col("_u") - F.lag("_u").over(w) > reach, F.lit(True)), F.col("_row")))
+    cut = cut.withColumn("_block", F.expr(f"last(_first, true) OVER (PARTITION BY {', '.join(group)} ORDER BY _u ROWS UNBOUNDED PRECEDING) div {BLOCK_ROWS}"))
+
+    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_u", kind="stable")
+        u, may = pdf["_u"].to_numpy(), pdf["_may"].to_numpy(bool)
+        heavy = pdf["_w"].fillna(-np.inf).to_numpy(float)
+        lo, hi = np.searchsorted(u, u - reach, side="left"), np.searchsorted(u, u + reach, side="right")
+        covered, seed = np.zeros(len(u), bool), np.full(len(u), -1)
+        for i in np.lexsort((u, -heavy)):
+            if may[i] and not covered[i]:
+                covered[lo[i]:hi[i]] = True
+                near = seed[lo[i]:hi[i]]
+                near[near < 0] = i                       # starters come heaviest first
+        out = pdf[[*group, "_pos"]].copy()
+        at = pdf["_pos"].to_numpy()
+        out["seed"] = pd.Series([at[i] if i >= 0 else None for i in seed], index=out.index, dtype=object)
+        return out
+
+    kind = rows.schema[pos].dataType.simpleString()
+    schema = ", ".join([*[f"{g} {rows.schema[g].dataType.simpleString()}" for g in group], f"_pos {kind}", f"seed {kind}"])
+    seeds = cut.drop("_row", "_first").groupBy(*group, "_block").applyInPandas(claim, schema)
+    return rows.join(seeds.withColumnRenamed("_pos", pos), [*group, pos])
 
 
 def group_bins(bins: DataFrame, width: int = 0) -> DataFrame:
