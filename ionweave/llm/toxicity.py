@@ -135,7 +135,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
 class WordValues(dict):
     """Word -> mean value of its buckets; at most ``most`` words are kept."""
 
-    def __init__(self, model: ToxicityModel, most: int = 500_000):
+    def __init__(self, model: ToxicityModel, most: int = 200_000):
         super().__init__()
         self.model, self.most = model, most
 
@@ -179,8 +179,8 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str], name: str = "s
         values = WordValues(shared.value)
         for b in batches:
             texts, scores = b["_scored_text"], []
-            for i in range(0, len(texts), 500):
-                scores += values.scores(texts.slice(i, 500).to_pylist())
+            for i in range(0, len(texts), 250):
+                scores += values.scores(texts.slice(i, 250).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(scores, pa.float64())], [*keep, name])
 
     cols = [F.col(f"`{n}`") for n in keep] + [F.col("text").alias("_scored_text")]
