@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ionweave.functions import scalar as S
-from ionweave.operators.core import Scan, interval_union, ordered_scan, value_ranks
+from ionweave.operators.core import Scan, ordered_scan, value_ranks
 from ionweave.session import materialize
 
 KEY = ["run_id", "idx"]
@@ -24,23 +24,24 @@ STATUSES = ["empty", "no_precursor", "no_signal", "bad_precursor", "too_few_peak
 def gini(peaks: DataFrame) -> DataFrame:
     """(run_id, idx, n_peaks, int_gini) over finite, non-negative intensities; NULL without a positive one.
 
-    Intensities are counted before they are ordered, and a spectrum with very many distinct ones is
-    scanned in tiles.
+    One shuffle: the intensities of a spectrum are sorted and folded in its row.
     """
     ok = peaks.filter((F.col("intensity") >= 0) & (F.col("intensity") < float("inf")) & ~F.isnan("mz"))
-    c = ok.groupBy(*KEY, F.col("intensity").cast("double").alias("intensity")).agg(F.count(F.lit(1)).alias("m"))
-    r = ordered_scan(c, KEY, "intensity", [Scan("before", "sum", "m", exclusive=True)])
-    # m equal values at positions before+1 .. before+m
-    weighted = F.col("intensity") * (F.col("m") * F.col("before") + F.col("m") * (F.col("m") + 1) / 2)
-    g = r.groupBy(*KEY).agg(F.sum("m").alias("n"), F.sum(F.when(F.col("intensity") > 0, F.col("m"))).alias("n_peaks"),
-                            F.sum(F.col("intensity") * F.col("m")).alias("s"), F.sum(weighted).alias("w"))
-    return g.select(*KEY, F.coalesce("n_peaks", F.lit(0)).alias("n_peaks"),
-                    F.when(F.col("s") > 0, 2 * F.col("w") / (F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")).alias("int_gini"))
+    g = ok.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.col("intensity").cast("double"))).alias("_a"))
+    start = F.struct(F.lit(1.0).alias("i"), F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
+    fold = F.aggregate("_a", start, lambda t, x: F.struct((t.i + 1).alias("i"), (t.s + x).alias("s"), (t.w + t.i * x).alias("w")))
+    n = F.size("_a")
+    g = g.withColumn("_f", fold)
+    return g.select(*KEY, F.size(F.filter("_a", lambda x: x > 0)).cast("long").alias("n_peaks"),
+                    F.when(F.col("_f.s") > 0, 2 * F.col("_f.w") / (n * F.col("_f.s")) - (n + 1) / n).alias("int_gini"))
 
 
 def tag_cover(tags: DataFrame) -> DataFrame:
-    """Length of the union of the tags' m/z ranges per spectrum."""
-    return interval_union(tags, KEY, "low_mz", "high_mz", "tag_cover")
+    """Length of the union of the tags' m/z ranges per spectrum, whose tags fit in its row."""
+    g = tags.filter("low_mz IS NOT NULL").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct(F.col("low_mz").cast("double").alias("lo"), F.col("high_mz").cast("double").alias("hi")))).alias("_a"))
+    start = F.struct(F.lit(float("-inf")).alias("end"), F.lit(0.0).alias("sum"))
+    step = lambda t, x: F.struct(F.greatest(t.end, x.hi).alias("end"), (t.sum + F.greatest(x.hi - F.greatest(t.end, x.lo), F.lit(0.0))).alias("sum"))
+    return g.select(*KEY, F.aggregate("_a", start, step, lambda t: t.sum).alias("tag_cover"))
 
 
 def best_tag(tags: DataFrame, order: str = "rank") -> DataFrame:
@@ -223,20 +224,26 @@ def ident_score(census_df: DataFrame) -> DataFrame:
 
 
 def sorted_census(census_df: DataFrame, score: str = "ident_score") -> DataFrame:
-    """Adds ``ident_rank`` per run: by score, highest first, input order on ties."""
-    r = value_ranks(census_df, ["run_id"], score).select("run_id", score, F.col("above").alias("_above"))
+    """Adds ``ident_rank`` per run: by score, highest first, input order on ties; rows without a score come last."""
+    scored = census_df.filter(F.col(score).isNotNull())
+    r = value_ranks(scored, ["run_id"], score).select("run_id", score, F.col("above").alias("_above"))
+    n = scored.groupBy("run_id").agg(F.count(F.lit(1)).alias("_scored"))
     w = W.partitionBy("run_id", score).orderBy("idx")
-    return (census_df.join(r, ["run_id", score]).withColumn("ident_rank", F.col("_above") + F.row_number().over(w))
-            .drop("_above"))
+    j = census_df.join(r, ["run_id", score], "left").join(n, "run_id", "left")
+    above = F.coalesce("_above", "_scored", F.lit(0))
+    return j.withColumn("ident_rank", above + F.row_number().over(w)).drop("_above", "_scored")
 
 
 def repeat_clusters(census_df: DataFrame, ppm: float = 10.0, rt_span: float = 60.0) -> DataFrame:
     """Spectra of equal charge within 10 ppm and 60 s of a cluster's first spectrum; weight 1/size.
 
     The greedy pass runs in islands: per charge, neighbours more than the window apart in m/z never
-    share a cluster, nor do spectra of one m/z island with a time gap above the span.
+    share a cluster, nor do spectra of one m/z island with a time gap above the span. Spectra without m/z,
+    charge or time are clusters of their own.
     """
-    df = census_df.withColumn("_k", F.round(F.col("precursor_mz"), 9))
+    whole = F.col("precursor_mz").isNotNull() & F.col("charge_used").isNotNull() & F.col("rt").isNotNull()
+    alone = census_df.filter(~whole).select("run_id", "idx", F.col("idx").cast("bigint").alias("cluster"), F.lit(1.0).alias("weight"))
+    df = census_df.filter(whole).withColumn("_k", F.round(F.col("precursor_mz"), 9))
     keys = df.select("run_id", "charge_used", "_k").distinct()
     w = W.partitionBy("run_id", "charge_used").orderBy("_k")
     new = F.when(F.col("_k") > F.lag("_k").over(w) * (1 + ppm * 1e-6), 1).otherwise(0)
@@ -259,17 +266,22 @@ def repeat_clusters(census_df: DataFrame, ppm: float = 10.0, rt_span: float = 60
             F.concat(acc.of, F.array(F.struct(x.idx.cast("bigint").alias("idx"), lead.cast("bigint").alias("cluster")))).alias("of"))
     of = per.select("run_id", F.explode(F.aggregate("all", start, step, lambda a: a.of)).alias("c")).select("run_id", "c.*")
     size = of.groupBy("run_id", "cluster").agg(F.count(F.lit(1)).alias("size"))
-    return of.join(size, ["run_id", "cluster"]).select("run_id", "idx", "cluster", (1 / F.col("size")).alias("weight"))
+    return of.join(size, ["run_id", "cluster"]).select("run_id", "idx", "cluster", (1 / F.col("size")).alias("weight")).unionByName(alone)
 
 
 def fit_ident_model(ranked: DataFrame, label: str, weight: str, features: list[str], ridge: float = 1.0):
-    """Weighted ridge logistic regression on mid-ranks, every run with equal total weight."""
+    """Weighted ridge logistic regression on mid-ranks, every run with equal total weight.
+
+    The penalty is half of ``ridge`` times the squared coefficients beside the weighted sum of the losses; Spark divides
+    that sum by the weights, so its parameter is divided alike.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     tot = ranked.groupBy("run_id").agg(F.sum(weight).alias("_w"))
     d = ranked.join(tot, "run_id").withColumn("_wt", F.col(weight) / F.col("_w")).withColumn("_y", F.col(label).cast("double"))
+    total = d.agg(F.sum("_wt")).first()[0]
     d = VectorAssembler(inputCols=features, outputCol="_x").transform(d)
-    return LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_wt", regParam=ridge, elasticNetParam=0.0,
+    return LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_wt", regParam=ridge / total, elasticNetParam=0.0,
                               standardization=False).fit(d)
 
 

@@ -50,25 +50,43 @@ def stated_resolution(scans: DataFrame) -> DataFrame:
     return quantiles(scans.filter("stated_resolution > 0"), ["run_id", "analyzer"], "stated_resolution", [0.5]).withColumnRenamed("q50", "resolution")
 
 
-def measured_resolution(peaks: DataFrame, scans: DataFrame, per_class: int = 32) -> DataFrame:
-    """Median m/z over full width at half maximum per run, analyser, level and m/z band.
+def half_widths(mz: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(apex m/z, full width at half maximum) of the peaks of a profile in m/z order.
 
-    At most ``per_class`` evenly spread profile scans per class are measured, as the operator is a sample
-    by definition: a scan is taken by its hash position among the class's counted scans.
+    From each local maximum one walks to the first sample at or below half height on either side and interpolates
+    between it and the sample before; a peak that does not come down on both sides has no width.
     """
-    c = scans.filter(F.coalesce("profile", F.lit(True)))
-    n = c.groupBy("run_id", "analyzer", "ms_level").agg(F.count(F.lit(1)).alias("_n"))
-    c = c.join(n, ["run_id", "analyzer", "ms_level"]).withColumn("_h", even_hash(*KEY, seed=11)).filter(F.col("_h") < F.lit(2.0 * per_class) / F.col("_n"))
-    w = W.partitionBy("run_id", "analyzer", "ms_level").orderBy("_h", "idx")
-    c = c.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_class).select(*KEY, "analyzer", "ms_level")
-    p = peaks.join(F.broadcast(c), KEY)
-    o = W.partitionBy(*KEY).orderBy("mz")
-    side = lambda f, d: F.struct(f("mz", d).over(o).alias("mz"), f("intensity", d).over(o).alias("y"))
-    p = p.withColumn("l", side(F.lag, 1)).withColumn("r", side(F.lead, 1))
-    top = p.filter((F.col("intensity") > F.col("l.y")) & (F.col("intensity") >= F.col("r.y")) & (F.col("intensity") > 0))
-    half = F.col("intensity") / 2
-    cross = lambda s: F.col("mz") + (F.col(f"{s}.mz") - F.col("mz")) * (F.col("intensity") - half) / F.nullif(F.col("intensity") - F.col(f"{s}.y"), F.lit(0.0))
-    m = top.withColumn("fwhm", cross("r") - cross("l")).filter("fwhm > 0").withColumn("band", S.mz_band("mz")).filter("band IS NOT NULL")
+    top = np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] >= y[2:]) & (y[1:-1] > 0)) + 1
+    cross = []
+    for step in (-1, 1):
+        at = top + step
+        while True:
+            on = (at >= 0) & (at < len(y))
+            on[on] = y[at[on]] > y[top[on]] / 2
+            if not on.any():
+                break
+            at[on] += step
+        inside = (at >= 0) & (at < len(y))
+        a, b = np.clip(at, 0, len(y) - 1), np.clip(at - step, 0, len(y) - 1)
+        share = (y[b] - y[top] / 2) / np.where(y[b] != y[a], y[b] - y[a], 1.0)
+        cross.append(np.where(inside, mz[b] + (mz[a] - mz[b]) * share, np.nan))
+    width = cross[1] - cross[0]
+    return mz[top], width
+
+
+def measured_resolution(peaks: DataFrame, scans: DataFrame) -> DataFrame:
+    """Median m/z over full width at half maximum per run, analyser, level and m/z band, over all profile scans."""
+    c = scans.filter(F.coalesce("profile", F.lit(True))).select(*KEY, "analyzer", "ms_level")
+    p = peaks.select(*KEY, F.col("mz").cast("double").alias("mz"), F.col("intensity").cast("double").alias("intensity"))
+    runs = p.schema["run_id"].dataType.simpleString()
+
+    def widths(pdf: pd.DataFrame) -> pd.DataFrame:       # one scan
+        pdf = pdf.sort_values("mz")
+        mz, fwhm = half_widths(pdf["mz"].to_numpy(), pdf["intensity"].to_numpy()) if len(pdf) > 2 else (np.zeros(0), np.zeros(0))
+        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "idx": pdf["idx"].iloc[0], "mz": mz, "fwhm": fwhm})
+
+    m = p.join(c.select(*KEY), KEY, "left_semi").groupBy(*KEY).applyInPandas(widths, f"run_id {runs}, idx {p.schema['idx'].dataType.simpleString()}, mz double, fwhm double")
+    m = m.filter("fwhm > 0 AND NOT isnan(fwhm)").join(c, KEY).withColumn("band", S.mz_band("mz")).filter("band IS NOT NULL")
     m = m.withColumn("res", F.col("mz") / F.col("fwhm"))
     return quantiles(m, ["run_id", "analyzer", "ms_level", "band"], "res", [0.5]).withColumnRenamed("q50", "resolution")
 
@@ -81,7 +99,7 @@ def _channels(spark) -> DataFrame:
 def reporters_seen(peaks: DataFrame) -> DataFrame:
     """(run_id, idx, channel, family): channels whose strongest peak is three times the median intensity."""
     pos = peaks.filter("intensity > 0")
-    med = quantiles(pos, KEY, "intensity", [0.5]).select(*KEY, F.col("q50").alias("bg"))
+    med = pos.groupBy(*KEY).agg(F.median("intensity").alias("bg"))
     ch = _channels(peaks.sparkSession)
     look = ch.withColumn("_lo", F.col("channel_mz") * (1 - REPORTER_PPM * 1e-6)).withColumn("_hi", F.col("channel_mz") * (1 + REPORTER_PPM * 1e-6))
     look = look.withColumn("_k", F.explode(F.sequence(F.floor("_lo").cast("long"), F.floor("_hi").cast("long"))))

@@ -5,7 +5,9 @@ import pytest
 import __spark_entry__ as entry
 from tests.check_queries import TABLES, compare
 
-SLOW = {"T11_tag_spectra_gapped", "R4_diversify", "T8_gap_spellings", "A4_alkylation_tags"}
+
+#: Their conditions are met by no row of the smallest tables.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -16,11 +18,11 @@ def con(sf):
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in entry.queries()])
 def test_query(spark, con, sf, name):
     verdict, n, _, note = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), sf)
     spark.catalog.clearCache()
-    assert verdict in ("ok", "rows", "EMPTY"), f"{verdict} {note}"
+    assert verdict in ("ok", "rows") or (verdict == "EMPTY" and name in MAY_BE_EMPTY), f"{verdict} {note}"
 
 
 def test_names_match():
