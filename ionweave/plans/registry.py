@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from ionweave.plans import (q_acquisition, q_census, q_evaluation, q_identification, q_placement, q_quality, q_scalar, q_shifts, q_species, q_tagging)  # noqa: F401
+    from ionweave.plans import (q_acquisition, q_census, q_evaluation, q_files, q_identification, q_placement, q_quality, q_scalar, q_shifts, q_species, q_tagging)  # noqa: F401

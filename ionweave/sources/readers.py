@@ -40,7 +40,7 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
 def parse_mgf_blocks(raw: DataFrame) -> DataFrame:
     """Columns file, idx and value (one block each) to spectra; also used on streams."""
     text = F.regexp_replace(F.regexp_replace("value", r"\r", ""), r"(?s)^.*?BEGIN IONS", "BEGIN IONS")
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda l: (l != "") & ~l.rlike(r"^[#;!/]"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda l: F.trim(l)), lambda l: (l != "") & ~l.rlike(r"^[#;!/]"))
     d = raw.withColumn("_l", lines).filter(F.size("_l") > 0)
     body = F.filter("_l", lambda l: ~F.contains(l, F.lit("=")) & (l != "BEGIN IONS"))
     nums = F.transform(body, lambda l: F.split(l, r"\s+"))
