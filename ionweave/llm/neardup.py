@@ -8,7 +8,7 @@
 3. Bands of coordinates are hashed. Band width follows from the threshold so that a pair at the threshold is missed
    with a probability of at most ``miss``. Classes that share no band with another are settled.
 4. The rest is verified on full sets, without listing pairs of a group: shingles are ordered by rarity, so that two
-   linked sets share a shingle within their prefixes. All members of such a bucket are compared with one pivot;
+   linked sets share a shingle within their prefixes. Such buckets are cut by set size, and all members are compared with one pivot;
    buckets whose other members are still in several components are compared in blocks of bounded size.
 5. Links give components by alternating large-star and small-star steps.
 
@@ -18,12 +18,13 @@ the component's smallest. An empty table gives an empty result.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ionweave.llm.base import columns_only, query, table, written
@@ -184,6 +185,14 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
         F.explode(F.expr("transform(slice(s, 1, _long), x -> x.shingle)")).alias("shingle"), "rep", "n")
 
 
+def by_size(members: DataFrame, percent: int) -> DataFrame:
+    """Buckets cut by set size: linked sets differ in size by the threshold's ratio at most, so they are in the same
+    class of that ratio or in neighbouring ones. Each member goes to the two windows of two classes that hold it."""
+    ratio = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    size = F.floor(F.ln("n") / ratio).cast("long")
+    return members.withColumn("shingle", F.explode(F.array(F.xxhash64("shingle", size - 1), F.xxhash64("shingle", size))))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     a, b = (sets.select(F.col("rep").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
@@ -194,20 +203,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every linked node; the component is its smallest node. Rounds go on to the fixed point."""
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    state = None
+    def counted(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = written(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "edges")
+        return out, (seen.get["n"], seen.get["h"])
+
+    edges, state = counted(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     while True:
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        state = tuple(seen)
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select("b", "m").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        edges, now = counted(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct())
+        if now == state:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
+                edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        state = now
 
 
 def _unresolved(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -220,14 +232,27 @@ def _unresolved(members: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(open_, "shingle").select("shingle", "m", "rep", "component")
 
 
+def _gathered(members: DataFrame, params: NearDupParams) -> DataFrame:
+    """Buckets that share members, put together where that makes a group of a few blocks: a family of near copies has
+    many buckets in common, and its pairs are then compared once. Larger families stay with their single buckets."""
+    first = members.groupBy("shingle").agg(F.min("rep").alias("_first"))
+    family = components(members.join(first, "shingle").select(F.col("rep").alias("a"), F.col("_first").alias("b"))).withColumnRenamed("component", "_family")
+    named = members.join(family.withColumnRenamed("node", "rep"), "rep")
+    size = family.groupBy("_family").agg(F.count("*").alias("_m"))
+    named = named.join(size, "_family")
+    small = F.col("_m") <= 4 * params.block
+    return named.select(F.when(small, F.col("_family")).otherwise(F.col("shingle")).alias("shingle"), F.when(small, F.col("_m")).otherwise(F.col("m")).alias("m"),
+                        small.alias("_whole"), "rep", "component").distinct()
+
+
 def _blockwise(members: DataFrame, sets: DataFrame, params: NearDupParams) -> DataFrame:
     """Links between members of a bucket in different components. A bucket is cut into blocks of about ``block``
     members, and every two blocks meet in one group of bounded size, which returns a spanning forest of its links."""
     parts = F.expr(f"cast(ceil(m / {params.block}) as int)")
     own = F.pmod(F.xxhash64("rep"), parts)
     rows = (members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
-            .select("shingle", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), "rep", "component")
-            .join(sets, "rep").repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi"))
+            .select("_whole", "shingle", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), "rep", "component")
+            .join(sets, "rep").repartition("_whole", "shingle", "lo", "hi").sortWithinPartitions("_whole", "shingle", "lo", "hi"))
 
     def links(group: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
         reps, comps, shingles = zip(*group, strict=True)
@@ -264,12 +289,12 @@ def _blockwise(members: DataFrame, sets: DataFrame, params: NearDupParams) -> Da
         for b in batches:
             sets_ = b["shingles"]
             values, offsets = sets_.values.to_numpy(), sets_.offsets.to_numpy()
-            for k, row in enumerate(zip(*(b[c].to_pylist() for c in ("shingle", "lo", "hi", "rep", "component")), strict=True)):
-                if row[:3] != key:
+            for k, row in enumerate(zip(*(b[c].to_pylist() for c in ("_whole", "shingle", "lo", "hi", "rep", "component")), strict=True)):
+                if row[:4] != key:
                     if group:
                         yield out(group)
-                    key, group = row[:3], []
-                group.append((row[3], row[4], values[offsets[k]:offsets[k + 1]]))
+                    key, group = row[:4], []
+                group.append((row[4], row[5], values[offsets[k]:offsets[k + 1]]))
         if group:
             yield out(group)
 
@@ -285,7 +310,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     shared = keys.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
     candidates = written(keys.join(shared, "key", "left_semi").select("rep").distinct().join(classes, "rep").select("rep", "f1"), "candidates")
     sets = written(full_sets(docs, candidates, params), "sets")
-    members = prefixes(sets, params.percent)
+    members = by_size(prefixes(sets, params.percent), params.percent)
     pivots = members.groupBy("shingle").agg(F.min("rep").alias("pivot"), F.count("*").alias("_n")).filter("_n > 1").select("shingle", "pivot")
     members = written(members.join(pivots, "shingle").select("shingle", "rep", "n", "pivot"), "members")
     sizes = sets.select(F.col("rep").alias("b"), F.size("shingles").alias("nb"))
@@ -293,7 +318,8 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
              .filter(f"100 * least(n, nb) >= {params.percent} * greatest(n, nb)").select("a", "b"))
     links = written(verified(pairs, sets, params.percent), "links")
     found = components(links)
-    more = written(_blockwise(_unresolved(members, found), sets, params), "links")
+    open_ = written(_unresolved(members, found), "unresolved")
+    more = written(_blockwise(_gathered(open_, params), sets, params), "links")
     found = components(links.unionAll(more))
     named = (classes.select("n", "f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
              .select("n", "f1", "f2", F.coalesce("component", "rep").alias("_component")))
