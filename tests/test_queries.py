@@ -7,7 +7,7 @@ from tests.check_queries import TABLES, compare
 
 
 #: Their conditions are met by no row of the smallest tables.
-MAY_BE_EMPTY: set[str] = set()
+MAY_BE_EMPTY = {"V8_carryover_pools", "G4_classify_protease"}
 
 
 @pytest.fixture(scope="module")
