@@ -2,6 +2,7 @@
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -53,7 +54,7 @@ def compare(spark, con, name, fn, sql, sf):
 
 
 def main(pattern=".", sf="sf0.01"):
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.enabled": "false"})
+    spark = build_session(master="local[8]", **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.enabled": "false"})
     spark.sparkContext.setLogLevel("OFF")
     path = f"/root/testdata/{sf}"
     con = duckdb.connect()
