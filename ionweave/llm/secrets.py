@@ -4,13 +4,16 @@ Base patterns are reported as they match. Everything else is a candidate first:
 dotted tokens are decoded, and only what parses is reported:
 
 * jwt: three dotted base64url parts whose header is a JSON object with an ``alg`` and whose payload is a JSON object;
-* pem: an armoured block whose body decodes to a key encoding;
+* pem: an armoured block whose body, header lines skipped, decodes to a key encoding or a PGP key packet, or, if the
+  header names a cipher, to whole cipher blocks under an initial vector of the block size;
 * der: bytes that are one ASN.1 sequence, every nested length filling its parent, with an integer in front as key
   encodings have (at its own level or one down);
 * ssh: length-prefixed fields that tile the bytes, the first naming a key type, or a private key container;
 * nested: an encoding of text in which the base patterns or one of the above are found.
 
-Decoding goes ``DEPTH`` levels down. Null and empty texts have no spans. Whole texts are scanned, rows by themselves.
+Runs start at the shortest encoding of a base match, and whatever is not of their alphabet may stand before and after
+them. Lines of nothing but such characters are also decoded together: all that follow each other, and lines of one width
+with a line of any width before and a shorter one after. Decoding goes ``DEPTH`` levels down. Null and empty texts have no spans. Whole texts are scanned, rows by themselves.
 """
 from __future__ import annotations
 
@@ -37,9 +40,14 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
 _HEX_RUN = re.compile(r"[0-9a-f]{24,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_ENCODED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(?<![A-Za-z0-9_-]\.)([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-]|\.[A-Za-z0-9_-])")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[^-]|-(?!----))*+)-----END \1-----")
+_PEM_HEADER = re.compile(r"([A-Za-z][A-Za-z0-9-]*):[ \t]*(\S*)")
+#: Characters of the shortest base64 text that holds a base match: an assignment to the shortest name.
+_SHORTEST = -(-4 * min(len("token=") + ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST) // 3)
+_ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+={0,2}" % _SHORTEST)
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t\r]*+\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]++={0,2}")
 _ANY_HEX = re.compile(r"\A(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _KEY_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-", b"sk-ssh-")
 
@@ -59,6 +67,10 @@ def decoded(run: str) -> bytes | None:
     """Bytes of a hex or base64 run in either alphabet, or None."""
     if _ANY_HEX.match(run):
         return bytes.fromhex(run) if len(run) % 2 == 0 else None
+    return unbase64(run)
+
+
+def unbase64(run: str) -> bytes | None:
     body = run.rstrip("=")
     if len(body) % 4 == 1 or ("-" in body or "_" in body) and ("+" in body or "/" in body):
         return None
@@ -132,7 +144,7 @@ def is_ssh(data: bytes) -> bool:
 
 def is_jwt(header: str, payload: str) -> bool:
     for part, needs in ((header, "alg"), (payload, None)):
-        raw = decoded(part) if not _ANY_HEX.match(part) else None
+        raw = unbase64(part)
         try:
             value = json.loads(raw.decode("utf-8")) if raw else None
         except (ValueError, RecursionError):
@@ -142,31 +154,115 @@ def is_jwt(header: str, payload: str) -> bool:
     return True
 
 
+def is_pgp(data: bytes) -> bool:
+    """A secret or public key packet of a known version comes first and stays within ``data``."""
+    if len(data) < 8 or not data[0] & 0x80:
+        return False
+    if data[0] & 0x40:
+        tag, first = data[0] & 0x3F, data[1]
+        if first < 192:
+            n, start = first, 2
+        elif first < 224:
+            n, start = ((first - 192) << 8) + data[2] + 192, 3
+        else:
+            n, start = int.from_bytes(data[2:6], "big"), 6
+            if first != 255:
+                return False
+    else:
+        tag, size = data[0] >> 2 & 0x0F, 1 << (data[0] & 3)
+        if size == 8:
+            return False
+        n, start = int.from_bytes(data[1:1 + size], "big"), 1 + size
+    return tag in (5, 6) and n > 6 and start + n <= len(data) and 2 <= data[start] <= 6
+
+
+def is_armoured(label: str, body: str) -> bool:
+    """Whether the body of an armoured block is a key; line ends may be written as escapes."""
+    lines = [x.strip(" \t\r\"'\\") for x in body.replace("\\r", "").replace("\\n", "\n").strip().split("\n")]
+    fields = {}
+    if ":" in lines[0]:
+        if "" in lines:
+            head, lines = " \n".join(lines[:lines.index("")]), lines[lines.index("") + 1:]
+            fields = dict(_PEM_HEADER.findall(head))
+        else:
+            fields = dict(_PEM_HEADER.findall("\n".join(lines)))
+            lines = [_PEM_HEADER.sub("", x) for x in lines]
+    run = "".join("".join(lines).split())
+    if label.startswith("PGP "):
+        raw = unbase64(re.sub(r"=[A-Za-z0-9+/]{4}\Z", "", run))
+        return bool(raw) and is_pgp(raw)
+    raw = decoded(run)
+    if not raw:
+        return False
+    if "DEK-Info" in fields:
+        vector = fields["DEK-Info"].partition(",")[2]
+        return bool(_ANY_HEX.match(vector)) and len(vector) in (16, 32) and len(raw) % (len(vector) // 2) == 0
+    return is_der(raw) or is_ssh(raw)
+
+
+def findings(run: str, depth: int) -> tuple[str, int]:
+    """Kind of an encoded run and how much was found in it; 0 if nothing was."""
+    body = decoded(run)
+    if body is None:
+        return "", 0
+    if is_der(body):
+        return "der", 1
+    if is_ssh(body):
+        return "ssh", 1
+    if depth > 1:
+        try:
+            inner = body.decode("utf-8")
+        except UnicodeDecodeError:
+            return "", 0
+        return "nested", len(base_spans(inner)) + len(confirmed(inner, depth - 1))
+    return "", 0
+
+
+def wraps(widths: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of lines that may be one run: all of them, and lines of one width with the one before and a shorter one
+    after, or without."""
+    yield 0, len(widths)
+    i = 0
+    while i < len(widths):
+        j = i + 1
+        while j < len(widths) and widths[j] == widths[i]:
+            j += 1
+        for a in (i - 1, i):
+            for z in (j + 1, j):
+                if a >= 0 and z - a > 1 and (z == j or j < len(widths) and widths[j] < widths[i]):
+                    yield a, z
+        i = j
+
+
 def confirmed(text: str, depth: int = DEPTH) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what decodes and parses."""
     out: list[tuple[int, int, str]] = []
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            body = decoded("".join(m[2].split()))
-            if body and (is_der(body) or is_ssh(body)):
-                out.append((m.start(), m.end(), "pem"))
+        out += [(m.start(), m.end(), "pem") for m in _PEM.finditer(text) if is_armoured(m[1], m[2])]
     if text.count(".") >= 2:
         out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_jwt(m[1], m[2])]
+    whole, single = list(out), []
     for m in _ENCODED.finditer(text):
-        body = decoded(m[0])
-        if body is None or any(a <= m.start() and m.end() <= z for a, z, _ in out):
+        kind, n = findings(m[0], depth)
+        if n and not any(a <= m.start() and m.end() <= z for a, z, _ in whole):
+            single.append((m.start(), m.end(), n))
+            out.append((m.start(), m.end(), kind))
+    if "\n" not in text:
+        return out
+    for m in _WRAPPED.finditer(text):
+        if m.end() - m.start() <= _SHORTEST or any(a <= m.start() and m.end() <= z for a, z, _ in whole):
             continue
-        if is_der(body):
-            out.append((m.start(), m.end(), "der"))
-        elif is_ssh(body):
-            out.append((m.start(), m.end(), "ssh"))
-        elif depth > 1:
-            try:
-                inner = body.decode("utf-8")
-            except UnicodeDecodeError:
+        lines = list(_LINE.finditer(text, m.start(), m.end()))
+        end = 0
+        for a, z in wraps([len(x[0].rstrip("=")) for x in lines]):
+            start, stop = lines[a].start(), lines[z - 1].end()
+            run = "".join(x[0] for x in lines[a:z])
+            if start < end or len(run) < _SHORTEST:
                 continue
-            if base_spans(inner) or confirmed(inner, depth - 1):
-                out.append((m.start(), m.end(), "nested"))
+            kind, n = findings(run, depth)
+            if n > sum(k for b, e, k in single if start <= b and e <= stop):
+                out.append((start, stop, kind))
+                end = stop
     return out
 
 
