@@ -3,16 +3,19 @@
 Lengths lie between 1 and the capacity, so the whole corpus is described by a histogram of at most ``capacity``
 rows. Bin completion works on that histogram: around the largest remaining length it enumerates the undominated
 fillings of the rest, takes the one that wastes least, and applies it as often as the counts allow, so the number
-of steps is bounded by the capacity and not by the corpus. Branch and bound then looks for fewer sequences, with
-this best-fit solution as the incumbent and the waste bound for pruning, within ``search_nodes`` nodes; it ends at
-once when the incumbent meets the lower bound, as it does on large inputs. Spark ranks the pieces of each length
-and reads a piece's sequence and place off the plan.
+of steps is bounded by the capacity and not by the corpus. Branch and bound then looks for fewer sequences, at every
+size: it tries one other choice at each level of this plan with a completion after it, and then goes back along the
+best plan and tries, level by level, other fillings and fewer repeats, a filling with its repeats being one level. It
+prunes by a lower bound that counts lengths above half the capacity one by one, and ends when the plan meets that bound
+or each of the two has taken ``search_nodes`` nodes; a plan above the bound is logged with its gap, as it may
+not be the fewest. Spark ranks the pieces of each length and reads a piece's sequence and place off the plan.
 
 A null or empty text is a document of the end id alone. Only documents longer than the capacity are cut. Repeated
 rows are packed one by one. No documents give no rows.
 """
 from __future__ import annotations
 
+import logging
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -109,42 +112,129 @@ def completion(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, .
     return plan
 
 
+def lower_bound(hist: np.ndarray) -> int:
+    """Sequences that the lengths need at least; ``hist``: how often each length from 0 to the capacity occurs.
+
+    For every k up to half the capacity: lengths above capacity - k stand without any of k or more; those above one half
+    each need a sequence, and lengths from k to one half fill their room first.
+    """
+    capacity, half = len(hist) - 1, (len(hist) - 1) // 2
+    lengths = np.arange(capacity + 1)
+    sums = np.concatenate([[0], np.cumsum(hist * lengths)])
+    large = int(hist[half + 1:].sum())
+    k = np.arange(half + 1)
+    number = np.concatenate([[0], np.cumsum(hist)])
+    room = capacity * (number[capacity - k + 1] - number[half + 1]) - (sums[capacity - k + 1] - sums[half + 1])
+    over = sums[half + 1] - sums[k] - room
+    return large + max(0, int(-(-over.max() // capacity)))
+
+
 def pack(counts: dict[int, int], capacity: int, search_nodes: int) -> list[tuple[tuple[int, ...], int]]:
-    """The plan with the fewest sequences found; optimal when it meets the bound or the search ends within its nodes."""
+    """The plan with the fewest sequences found; optimal when it meets the lower bound."""
     plan = completion(counts, capacity)
-    best = sum(t for _, t in plan)
-    total = sum(s * n for s, n in counts.items())
+    best, used = sum(t for _, t in plan), 0
     nodes = search_nodes
-    if best <= -(-total // capacity):
-        return plan
+    hist = np.zeros(capacity + 1, np.int64)
+    for s, n in counts.items():
+        hist[s] = n
+    least = lower_bound(hist)
     left = dict(counts)
 
-    def search(used: int, rest: int, done: list[tuple[int, ...]]) -> None:
-        nonlocal plan, best, nodes
-        if rest == 0:
-            if used < best:
-                best, plan = used, [(p, 1) for p in done]
-            return
-        nodes -= 1
-        if nodes < 0 or used + -(-rest // capacity) >= best or best <= -(-total // capacity):
-            return
+    def apply(pattern: tuple[int, ...], times: int) -> None:
+        nonlocal used
+        used += times
+        for s in pattern:
+            left[s] -= times
+            hist[s] -= times
+
+    def choices(skip: tuple[tuple[int, ...], int] | None, banned: frozenset, last: tuple[int, ...], most: int) -> Iterator[tuple[tuple[int, ...], int, frozenset]]:
+        """Fillings around the largest length with their repeats, and the fillings not to take up again after them: those
+        before them, so that an order of fillings is met once. ``last`` may follow itself with ``most`` repeats."""
         sizes = [s for s in sorted(left) if left[s] > 0]
         top = sizes[-1]
         left[top] -= 1
         options = fillings(sizes, left, capacity - top, 50, 500)
         left[top] += 1
-        for waste, chosen in options:
-            if used + 1 + -(-(rest - (capacity - waste)) // capacity) >= best:
-                break                                  # more waste only raises the bound
-            pattern = (top, *chosen)
-            for s in pattern:
-                left[s] -= 1
-            search(used + 1, rest - (capacity - waste), [*done, pattern])
-            for s in pattern:
-                left[s] += 1
-
-    if best <= 500:                                    # the search goes a level deeper for each sequence
-        search(0, total, [])
+        for _, rest in options:
+            pattern = (top, *rest)
+            if pattern in banned:
+                continue
+            times = min(left[s] // pattern.count(s) for s in pattern)
+            times = min(times, most) if pattern == last else times
+            while times > 0:
+                if (pattern, times) != skip:
+                    yield pattern, times, banned
+                times //= 2
+            banned |= {pattern}
+
+    at = used = 0
+    while at < len(plan) and best > least and nodes > 0:         # one other choice at each level, then completion again
+        nodes -= 1
+        tries = list(choices(plan[at], frozenset(), (), 0)) if used + lower_bound(hist) < best else []
+        for pattern, times, _ in tries:
+            if nodes <= 0:
+                break
+            apply(pattern, times)
+            if used + lower_bound(hist) < best:
+                rest = completion(left, capacity)
+                nodes -= len(rest)
+                if used + sum(t for _, t in rest) < best:
+                    best, plan = used + sum(t for _, t in rest), [*plan[:at], (pattern, times), *rest]
+                    apply(pattern, -times)
+                    at = -1
+                    break
+            apply(pattern, -times)
+        if at < 0:                                               # a better plan: from the top
+            used = 0
+            left.update(counts)
+            for s, n in counts.items():
+                hist[s] = n
+            at = 0
+            continue
+        apply(*plan[at])
+        at += 1
+    used, nodes = 0, search_nodes
+    left.update(counts)
+    for s, n in counts.items():
+        hist[s] = n
+
+    path: list[list] = [[None, *step] for step in plan]         # choices left, filling, repeats; the plan is the first descent
+    for step in plan if best > least else ():
+        apply(*step)
+    used = best
+    while path and best > least:
+        options, pattern, times = path[-1]
+        if pattern:
+            apply(pattern, -times)
+        if used + lower_bound(hist) >= best:
+            path.pop()
+            continue
+        if options is None:
+            if nodes <= 0:
+                break
+            nodes -= 1
+            options = path[-1][0] = choices((pattern, times), frozenset(), (), 0)
+        for pattern, times, banned in options:
+            apply(pattern, times)
+            path[-1][1:] = pattern, times
+            if used + lower_bound(hist) >= best:
+                apply(pattern, -times)
+                continue
+            if not hist.any():
+                best, plan = used, [(p, t) for _, p, t in path]
+                apply(pattern, -times)
+                continue
+            if nodes <= 0:
+                path.clear()
+                break
+            nodes -= 1
+            same = left[pattern[0]] > 0
+            path.append([choices(None, banned if same else frozenset(), pattern if same else (), times), (), 0])
+            break
+        else:
+            path.pop()
+    if best > least:
+        logging.getLogger(__name__).warning("%d sequences, lower bound %d: the plan may not be the fewest", best, least)
     return plan
 
 

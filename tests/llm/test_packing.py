@@ -46,6 +46,28 @@ def test_large_counts_take_few_steps():
     assert len(plan) <= 2 * 4096 and sum(t for _, t in plan) <= 1.001 * total / 4096
 
 
+def test_search_at_every_size(caplog):
+    counts = {2223: 1384, 719: 1127, 873: 1649, 1423: 1477, 1486: 443, 1689: 1878, 2575: 905, 2781: 926}
+    first = sum(t for _, t in P.completion(counts, 4096))
+    plan = P.pack(counts, 4096, 2000)
+    total = Counter()
+    for p, t in plan:
+        assert sum(p) <= 4096
+        total.update({s: n * t for s, n in Counter(p).items()})
+    assert total == Counter(counts) and 500 < sum(t for _, t in plan) < first and "lower bound 3947" in caplog.text
+
+
+def test_lower_bound(caplog):
+    rng = random.Random(8)
+    for _ in range(60):
+        capacity = rng.choice([20, 21, 50])
+        items = [rng.randint(1, capacity) for _ in range(rng.randint(0, 10))]
+        hist = np.bincount(items, minlength=capacity + 1).astype(np.int64)
+        assert -(-sum(items) // capacity) <= P.lower_bound(hist) <= fewest(items, capacity)
+    plan = P.pack({3000: 100_000, 2100: 50_000, 900: 1000}, 4096, 2000)     # the sum bound is below, the lengths above half are not
+    assert sum(t for _, t in plan) == 150_000 and not caplog.text
+
+
 def test_query_on_edges(spark, tmp_path):
     rows = P.op7_packing(spark, saved(spark, tmp_path, documents=edge(spark))).collect()
     tok = Tokenizer.from_file(default_tokenizer())
