@@ -2,7 +2,8 @@
 
 A text becomes its words (ASCII letters lowered, everything that is no letter or digit or beyond ASCII separates).
 Rules are hand-written names of licences put into hand-written forms of speech: a notice, a grant, an identifier, an
-address, a bare name. A rule runs only on texts that hold one of a few root words and its own keyword. Every detection is an
+address, a bare name. Names that carry the licence word, a version or an acronym stand for themselves. A rule
+runs only on texts that hold its keyword, and texts without the gate of any rule run none. Every detection is an
 interval of words; it is suppressed if a detection of higher priority (or of the same rule's priority, but longer)
 contains it. What is left gives the labels, its strongest rule the score.
 
@@ -60,6 +61,19 @@ FAMILIES = [
     ("postgresql", "postgresql", "postgresql"),
     ("python-2.0", "python", f"python software foundation(?: {LICENCE})?(?:{VERSION} 2)?"),
     ("openssl", "openssl", "openssl"),
+    ("mpl-1.1", "mpl", f"mpl{VERSION} ?v?1 [01]"),
+    ("mpl-2.0", "mpl", f"mpl{VERSION} ?v?2 0"),
+    ("epl-1.0", "epl", f"epl{VERSION} ?v?1 0"),
+    ("epl-2.0", "epl", f"epl{VERSION} ?v?2 0"),
+    ("cddl", "cddl", f"cddl(?:{VERSION} ?v?1 [01])?"),
+    ("cpl", "cpl", f"cpl{VERSION} ?v?1 0"),
+    ("eupl", "eupl", f"eupl(?:{VERSION} ?v?1 [012])?"),
+    ("boost", "bsl", f"bsl{VERSION} ?v?1 0"),
+    ("ofl-1.1", "ofl", f"(?:sil )?ofl{VERSION} ?v?1 [01]"),
+    ("odbl", "odbl", f"odbl(?:{VERSION} ?v?1 0)?"),
+    ("gfdl", "gfdl", f"gfdl(?:{VERSION} ?v?1 [123])?"),
+    ("ms-pl", "ms pl", "ms pl"),
+    ("python-2.0", "2 0", "(?:python|psf) 2 0"),
     ("ofl-1.1", "open font", f"(?:sil )?open font {LICENCE}(?:{VERSION} 1 1)?"),
     ("odbl", "open database", f"open database {LICENCE}(?:{VERSION} 1 0)?"),
     ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
@@ -84,8 +98,17 @@ FORMS = [
     ("name", f"{{}} {LICENCE}", 40, 0.8),
 ]
 
+#: Labels whose names carry the licence word, a version or an acronym of the licence: they need no such word after them.
+BARE = {"gpl-2.0", "gpl-3.0", "gpl", "lgpl-2.1", "lgpl-3.0", "lgpl", "agpl-3.0", "gfdl", "mpl-1.1", "mpl-2.0", "epl-1.0", "epl-2.0", "cddl", "cpl", "eupl", "boost", "ofl-1.1", "odbl",
+        "0bsd", "unlicense", "wtfpl", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "cc0", "cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd"}
+#: A bare name is not the end of the name of a relative.
+NOT_AFTER = "(?<!lesser )(?<!library )(?<!affero )"
+
 #: Label, keyword, pattern, priority, weight.
 PHRASES = [
+    ("apache-2.0", "apache", f"apache(?: software)? {LICENCE}{VERSION} 2(?: 0)?", 40, 0.8),
+    ("apache-2.0", "apache", "apache(?: version)?(?: v)? 2 0(?! [0-9])", 40, 0.8),
+    ("ms-pl", "microsoft", f"microsoft public {LICENCE}", 40, 0.8),
     ("apache-2.0", "apache", "(?:www )?apache org licenses license 2 0(?: txt| html)?", 85, 1.0),
     ("mit", "opensource", "(?:www )?opensource org licenses mit(?: license)?(?: php| html)?", 85, 1.0),
     ("gpl", "gnu", "(?:www )?gnu org licenses(?: old licenses)?(?: gpl)?(?: [23] 0)?(?: txt| html)?", 85, 0.9),
@@ -96,7 +119,7 @@ PHRASES = [
     ("mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy", 75, 1.0),
     ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose", 75, 0.9),
     ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification", 75, 0.9),
-    ("warranty", "warranty", "without(?: any)? warrant(?:y|ies)(?: of any kind)?", 20, 0.3),
+    ("warranty", "warrant", "without(?: any)? warrant(?:y|ies)(?: of any kind)?", 20, 0.3),
     ("warranty", "as is", "provided as is", 20, 0.3),
     ("public-domain", "public domain", "(?:dedicated to|released (?:in)?to|placed in(?:to)?|in)(?: the)? public domain", 50, 0.8),
     ("public-domain", "public domain", "public domain", 10, 0.5),
@@ -104,22 +127,32 @@ PHRASES = [
     ("copyright", "copyrighted", "copyrighted(?: material| works?)?", 10, 0.3),
     ("proprietary", "proprietary", f"proprietary(?: and confidential| {LICENCE})", 50, 0.8),
     ("reserved", "rights reserved", "(?:all|some|no) rights reserved", 35, 0.5),
-    ("no-derivatives", "reproduc", "(?:may|must) not be (?:reproduced|copied|redistributed)(?: in any form)?", 35, 0.5),
+    ("no-derivatives", "not be ", "(?:may|must) not be (?:reproduced|copied|redistributed)(?: in any form)?", 35, 0.5),
     ("unlicense", "free and unencumbered", "free and unencumbered software released into the public domain", 85, 1.0),
 ]
 
-#: Texts without any of these run no rule.
-ROOTS = ("licen[sc]", "rights reserved", "copyright", "cc by", "general public", "public domain", "creativecommons", "creative commons",
-         "opensource org", "gnu org", "warrant", "provided as is", "permission (?:is|to)", "redistribution and use", "proprietary", "not be (?:repro|copied|redis)",
-         "spdx", "(?:under|subject to|governed by|according to) ")
+#: What a text must hold for rules of these keywords, where the keyword itself is too common or not always a word.
+GATES = {"2": "gpl|general public", "3": "gpl|general public", "g": "gpl|general public", "l": "lgpl|general public", "a": "agpl|general public", "2 1": "lgpl|general public",
+         "bsd": "bsd", "mit": r"\bmit\b", "isc": r"\bisc\b", "x11": r"\bx11\b", "mpl": r"\bmpl", "epl": r"\bepl", "cpl": r"\bcpl", "bsl": r"\bbsl", "ofl": r"\bofl", "ms pl": r"\bms pl\b",
+         "2 0": r"(?:python|psf) 2 0", "documentation": "free documentation", "common": "common development", "python": "python software", "gnu": "gnu org", "opensource": "opensource org",
+         "as is": "provided as is", "proprietary": "proprietary (?:and|licen[sc])", "not be ": "not be (?:repro|copied|redis)"}
+
+
+def gate(keyword: str) -> str:
+    return GATES.get(keyword, keyword)
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, keyword, pattern, priority, weight) of every rule, in order of priority."""
-    out = [(label, keyword, form.format(name), priority, weight) for label, keyword, name in FAMILIES for _, form, priority, weight in FORMS]
+    out = [(label, keyword, f"{NOT_AFTER}{name}(?: {LICENCE})?" if form == "name" and label in BARE else words.format(name), priority, weight)
+           for label, keyword, name in FAMILIES for form, words, priority, weight in FORMS]
     return sorted(out + PHRASES, key=lambda r: -r[3])
 
 
+#: Texts without any of these run no rule: the gates of all rules, and the base phrases.
+ROOTS = tuple(dict.fromkeys([*(gate(r[1]) for r in rules()), *BASE]))
+
+
 def pattern(words: str) -> str:
     """The pattern of whole words in a text that has a space before and after each word."""
     return f" {words}(?= )"

@@ -56,6 +56,23 @@ def test_rules_are_many_and_gated():
         assert label and keyword and re.compile(pattern)
 
 
+def test_each_family_is_found_by_its_names(spark):
+    want = {"Mozilla Public License 2.0": "mpl-2.0", "SPDX-License-Identifier: MPL-2.0": "mpl-2.0", "SPDX-License-Identifier: EPL-2.0": "epl-2.0", "SPDX-License-Identifier: BSL-1.0": "boost",
+            "SPDX-License-Identifier: CDDL-1.0": "cddl", "SPDX-License-Identifier: OFL-1.1": "ofl-1.1", "SPDX-License-Identifier: EUPL-1.2": "eupl", "SPDX-License-Identifier: MS-PL": "ms-pl",
+            "GNU General Public License version 3": "gpl,gpl-3.0", "GPLv3": "gpl-3.0", "GPL": "gpl", "LGPL-2.1": "lgpl-2.1", "AGPLv3": "agpl-3.0", "Library General Public License version 2": "gpl,lgpl",
+            "Eclipse Public License 1.0": "epl-1.0", "Common Public License": "cpl", "European Union Public Licence 1.2": "eupl", "Boost Software License": "boost", "Microsoft Public License": "ms-pl",
+            "SIL Open Font License": "ofl-1.1", "Open Database License": "odbl", "GNU Free Documentation License": "gfdl", "under MPL 2.0": "mpl-2.0", "Apache 2.0": "apache-2.0", "Apache 2.4.1": "",
+            "see MIT for details": "mit", "read zlib for the terms": "zlib", "without warranties": "warranty", "must not be copied": "no-derivatives", "CC BY-SA 4.0": "cc-by,cc-by-sa"}
+    got = {r.doc_id: r.labels for r in L.scan(spark.createDataFrame([(t,) for t in want], "doc_id string").selectExpr("doc_id", "doc_id AS text"), ["doc_id"]).collect()}
+    assert got == want and all(licences_by_hand(t)[5] == v for t, v in want.items())
+
+
+def test_every_gate_is_among_the_roots():
+    roots = re.compile("|".join(L.ROOTS))
+    for _, keyword, _, _, _ in L.rules():
+        assert L.gate(keyword) in L.ROOTS and (keyword in L.GATES or roots.search(keyword))
+
+
 def test_higher_priority_suppresses_what_it_contains(spark):
     labels = L.scan(spark.createDataFrame([(1, "released under the MIT License")], "doc_id long, text string"), ["doc_id"]).first()
     assert labels.labels == "mit" and labels.score == 0.95
