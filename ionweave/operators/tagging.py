@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ionweave.functions import constants as K, scalar as S
 from ionweave.operators import filters
 from ionweave.operators.core import range_join, values
+from ionweave.operators.isotopes import deisotope
 
 KEY = ["run_id", "idx"]
 
@@ -88,80 +89,6 @@ def intensity_rank(peaks: DataFrame) -> DataFrame:
     return peaks.withColumn("rk", F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc("intensity"), F.desc("mz"))))
 
 
-# Isotope clusters.
-ISOTOPE_MIN_PEAKS, ISOTOPE_MAX_PEAKS, DEISOTOPE_MAX_Z = 2, 10, 3
-DEISOTOPE_FLOOR, DEISOTOPE_FLOOR_REF = 0.05, 1e6
-
-
-def _averagine_ratio(mass: Column) -> Column:
-    """Expected intensity of the second isotope relative to the first at a neutral mass."""
-    return mass * F.lit(0.000594) - F.lit(0.03091)
-
-
-def deisotope(peaks: DataFrame, tol: float, ppm: bool) -> DataFrame:
-    """Collapse isotope clusters (2..10 peaks, charge 1..3) to their monoisotopic peak on the 1+ scale.
-
-    A chain of isotope steps is kept while the shape stays plausible: the second peak must not fall
-    below a quarter nor exceed four times the averagine expectation, later peaks must not rise once
-    past the mode. Peaks claimed by no cluster stay. A moved peak merges into a neighbour within the
-    tolerance, keeping the stronger. One ordered fold over the spectrum's own peak array.
-    """
-    dtol = min(tol, 100.0) if ppm else min(tol, 0.1)
-    step_tol = (lambda mz: mz * F.lit(dtol * 1e-6)) if ppm else (lambda mz: F.lit(dtol))
-    base = peaks.withColumn("_base", F.max("intensity").over(W.partitionBy(*KEY)))
-    floor_ = F.least(F.lit(DEISOTOPE_FLOOR), F.lit(DEISOTOPE_FLOOR) * F.col("_base") / F.lit(DEISOTOPE_FLOOR_REF))
-    base = base.filter(F.col("intensity") >= floor_).drop("_base")
-    rest = [c for c in base.columns if c not in (*KEY, "mz", "intensity")]
-    p = base.withColumn("_i", F.row_number().over(W.partitionBy(*KEY).orderBy("mz")))
-    arr = "array<struct<i:int,mz:double,y:double>>"
-
-    # links: the nearest peak one isotope step above, per charge
-    nodes = p.select(*KEY, F.col("_i").alias("i"), "mz", F.col("intensity").cast("double").alias("y"))
-    probe = nodes.withColumn("z", F.explode(F.sequence(F.lit(1), F.lit(DEISOTOPE_MAX_Z))))
-    probe = probe.withColumn("_t", F.col("mz") + F.lit(K.ISOTOPE_STEP) / F.col("z"))
-    tgt = nodes.select(*KEY, F.col("i").alias("j"), F.col("mz").alias("mz_j"), F.col("y").alias("y_j"))
-    link = range_join(probe, tgt, KEY, F.col("_t") - step_tol(F.col("_t")), F.col("_t") + step_tol(F.col("_t")),
-                      "mz_j", 1.0).groupBy(*KEY, "i", "z").agg(
-        F.first("mz").alias("mz"), F.first("y").alias("y"),
-        F.min_by(F.struct("j", "y_j"), F.struct(F.abs(F.col("mz_j") - F.col("_t")), F.col("mz_j"))).alias("n")).persist()
-    chain = link.select(*KEY, "i", "z", "mz", F.array("i", "n.j").alias("members"),
-                        F.array("y", "n.y_j").alias("ys"), F.col("n.j").alias("tail"))
-    ratio = F.element_at("ys", 2) / F.element_at("ys", 1)
-    expect = F.greatest(_averagine_ratio(F.col("mz") * F.col("z")), F.lit(0.05))
-    chain = chain.filter(ratio.between(expect / 4, expect * 4))
-    hop = link.select(*KEY, F.col("i").alias("tail"), "z", F.col("n.j").alias("nj"), F.col("n.y_j").alias("ny"))
-    out = chain
-    for k in range(3, ISOTOPE_MAX_PEAKS + 1):
-        last, prev = F.element_at("ys", -1), F.element_at("ys", -2)
-        ok = F.col("nj").isNotNull() & (F.size("members") == k - 1) & ~((last < prev) & (F.col("ny") > last))
-        out = (out.join(hop, [*KEY, "tail", "z"], "left")
-               .withColumn("members", F.when(ok, F.concat("members", F.array("nj"))).otherwise(F.col("members")))
-               .withColumn("ys", F.when(ok, F.concat("ys", F.array("ny"))).otherwise(F.col("ys")))
-               .withColumn("tail", F.when(ok, F.col("nj")).otherwise(F.col("tail"))).drop("nj", "ny"))
-    # clusters claim peaks from low m/z upward, longer clusters first; a claimed peak starts no cluster
-    per = out.groupBy(*KEY).agg(F.array_sort(F.collect_list(
-        F.struct("i", (-F.size("members")).alias("neg"), "z", "members"))).alias("cl"))
-    start = F.struct(F.array().cast("array<int>").alias("used"),
-                     F.array().cast("array<struct<i:int,z:int>>").alias("mono"))
-    def claim(acc, c):
-        free = F.size(F.array_intersect(acc.used, c.members)) == 0
-        return F.struct(
-            F.when(free, F.concat(acc.used, c.members)).otherwise(acc.used).alias("used"),
-            F.when(free, F.concat(acc.mono, F.array(F.struct(c.i.alias("i"), c.z.alias("z"))))).otherwise(acc.mono).alias("mono"))
-    per = per.select(*KEY, F.aggregate("cl", start, claim).alias("r"))
-    mono = per.select(*KEY, F.explode("r.mono").alias("m")).select(*KEY, F.col("m.i").alias("_i"), F.col("m.z").alias("_z"))
-    used = per.select(*KEY, F.explode("r.used").alias("_i")).withColumn("_used", F.lit(True))
-    q = p.join(mono, [*KEY, "_i"], "left").join(used, [*KEY, "_i"], "left")
-    q = q.filter(F.col("_used").isNull() | F.col("_z").isNotNull())
-    q = q.withColumn("_moved", F.coalesce(F.col("_z") > 1, F.lit(False))).withColumn(
-        "mz", F.when(F.col("_z") > 1, F.col("mz") * F.col("_z") - (F.col("_z") - 1) * F.lit(K.PROTON)).otherwise(F.col("mz")))
-    w = W.partitionBy(*KEY).orderBy("mz", "_i")
-    near = (F.col("mz") - F.lag("mz").over(w) <= step_tol(F.col("mz"))) & (F.col("_moved") | F.lag("_moved").over(w))
-    q = q.withColumn("_g", F.sum(F.when(near, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    top = F.row_number().over(W.partitionBy(*KEY, "_g").orderBy(F.desc("intensity"), "mz"))
-    return q.withColumn("_t", top).filter("_t = 1").select(*KEY, "mz", "intensity", *rest)
-
-
 def complement_flags(peaks: DataFrame, params: TagParams) -> DataFrame:
     """Adds ``compl``: fragment charges at which the peak has a partner other than itself.
 

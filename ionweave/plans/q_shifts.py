@@ -145,7 +145,7 @@ def _peaks(spark, sf):
        walk="SELECT run_id, 0::BIGINT AS r, max(m) AS m, []::BIGINT[] AS seeds FROM hr GROUP BY 1 UNION ALL SELECT w.run_id, w.r + 1, w.m, CASE WHEN len(list_filter(w.seeds, lambda s: abs(s - x.b) <= 3)) = 0 THEN list_append(w.seeds, x.b) ELSE w.seeds END FROM walk w JOIN hr x ON x.run_id = w.run_id AND x.r = w.r + 1",
        sd="SELECT run_id, unnest(seeds) AS b FROM walk WHERE r = m", cl="SELECT h.*, (SELECT s.b FROM sd s JOIN hr q ON q.run_id = s.run_id AND q.b = s.b WHERE s.run_id = h.run_id AND abs(s.b - h.b) <= 3 ORDER BY q.r LIMIT 1) AS seed FROM h",
        p="SELECT run_id, seed, sum(spectra) AS spectra, sum(delta * spectra) / sum(spectra) AS delta FROM cl WHERE seed IS NOT NULL GROUP BY 1, 2") +
-       "SELECT run_id, round(delta, 6) AS delta, spectra FROM p WHERE abs(delta) > 0.07")
+       "SELECT run_id, round(delta, 6) AS delta, spectra FROM p JOIN (SELECT run_id, sum(spectra) AS placed FROM h GROUP BY 1) USING (run_id) WHERE abs(delta) > 0.07 AND spectra >= greatest(5, 0.001 * placed)")
 def m12(spark, sf):
     return _peaks(spark, sf).select("run_id", F.round("delta", 6).alias("delta"), "spectra")
 
