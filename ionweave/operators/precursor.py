@@ -1,10 +1,13 @@
 """Precursor charge and isotope hypotheses, header checks and the complement tolerance estimate."""
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ionweave.functions import constants as K
 from ionweave.operators.core import Scan, lookback, ordered_scan, range_join
+from ionweave.session import materialize
 
 KEY = ["run_id", "idx"]
 
@@ -39,25 +42,30 @@ def top_peaks(peaks: DataFrame, n: int = TOP_PEAKS) -> DataFrame:
     return peaks.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
-def complement_excess(top: DataFrame, masses: DataFrame, tol: float, delta: float = 0.0) -> DataFrame:
+def complement_excess(top: DataFrame, masses: DataFrame, tol: float, delta: float = 0.0, charge_aware: bool = False) -> DataFrame:
     """Adds to every row of ``masses`` (run_id, idx, M, labels) the pair excess at M + 2 protons.
 
     The excess is the number of lower peaks with a partner at the pair sum, minus the mean number at
-    six off-target sums.
+    six off-target sums. ``charge_aware`` (rows carry the precursor charge ``z``) adds, from charge 3, the excess of pairs of a
+    singly and a (z - 1) times charged ion, which sum to M + z protons with the latter weighted by its charge.
     """
     labels = [c for c in masses.columns if c not in (*KEY, "M")]
     shifts = F.explode(F.array(*[F.lit(x) for x in [0.0, *OFF_TARGET]])).alias("shift")
-    t = masses.select(*KEY, *labels, "M", shifts).withColumn(
-        "sum", F.col("M") + F.lit(2 * K.PROTON + delta) + F.col("shift"))
+    t = masses.select(*KEY, *labels, "M", F.lit(1).alias("_w"), (F.col("M") + F.lit(2 * K.PROTON + delta)).alias("_sum"))
+    if charge_aware:
+        high = masses.filter("z >= 3").select(*KEY, *labels, "M", (F.col("z") - 1).cast("int").alias("_w"), (F.col("M") + F.col("z") * F.lit(K.PROTON) + F.lit(delta)).alias("_sum"))
+        t = t.unionByName(high)
+    t = t.select(*KEY, *labels, "_w", "_sum", shifts).withColumn("sum", F.col("_sum") + F.col("shift")).drop("_sum")
     mz = top.select(*KEY, "mz").distinct()
-    probe = t.join(mz, KEY).withColumn("want", F.col("sum") - F.col("mz")).filter("want > mz")
+    probe = t.join(mz, KEY).withColumn("want", F.col("sum") - F.col("_w") * F.col("mz")).filter(F.when(F.col("_w") == 1, F.col("want") > F.col("mz")).otherwise(F.col("want") > 0))
     hit = range_join(probe, mz.withColumnRenamed("mz", "mz_j"), KEY, F.col("want") - tol, F.col("want") + tol, "mz_j", 2.0)
-    n = hit.filter("mz_j > mz").select(*KEY, *labels, "shift", "mz").distinct().groupBy(*KEY, *labels).agg(
+    hit = hit.filter(F.when(F.col("_w") == 1, F.col("mz_j") > F.col("mz")).otherwise(F.col("mz_j") != F.col("mz")))
+    n = hit.select(*KEY, *labels, "_w", "shift", "mz").distinct().groupBy(*KEY, *labels).agg(
         (F.count_if(F.col("shift") == 0) - F.count_if(F.col("shift") != 0) / F.lit(float(len(OFF_TARGET)))).alias("excess"))
     return masses.join(n, [*KEY, *labels], "left").withColumn("excess", F.coalesce("excess", F.lit(0.0)))
 
 
-def best_isotope(top: DataFrame, candidates: DataFrame, isotopes: list[int], tol: float) -> DataFrame:
+def best_isotope(top: DataFrame, candidates: DataFrame, isotopes: list[int], tol: float, charge_aware: bool = False) -> DataFrame:
     """Per (run_id, idx, z): the isotope error with the largest excess, ties to small |k|, then small k.
 
     ``candidates`` carries precursor_mz and z.
@@ -65,7 +73,7 @@ def best_isotope(top: DataFrame, candidates: DataFrame, isotopes: list[int], tol
     k = F.explode(F.array(*[F.lit(x) for x in isotopes])).alias("k")
     m = candidates.select(*KEY, "z", "precursor_mz", k)
     m = m.withColumn("M", F.col("precursor_mz") * F.col("z") - F.col("z") * F.lit(K.PROTON) - F.col("k") * F.lit(K.ISOTOPE_STEP))
-    e = complement_excess(top, m.select(*KEY, "z", "k", "M"), tol)
+    e = complement_excess(top, m.select(*KEY, "z", "k", "M"), tol, charge_aware=charge_aware)
     return e.groupBy(*KEY, "z").agg(
         F.max_by("k", F.struct(F.round("excess", 9), -F.abs("k"), -F.col("k"))).alias("iso"), F.max("excess").alias("excess"))
 
@@ -79,16 +87,18 @@ def one_plus_share(peaks: DataFrame, spectra: DataFrame) -> DataFrame:
 
 
 def infer_charge(peaks: DataFrame, spectra: DataFrame, candidates: DataFrame, tol: float, isotopes: list[int] = [0],
-                 margin: float = INFER_MARGIN) -> DataFrame:
+                 margin: float = INFER_MARGIN, charge_aware: bool = False) -> DataFrame:
     """Charge call per spectrum: charge, src (inferred, ambiguous, assumed), basis, runner_up, excess.
 
     1+ when almost no intensity lies above the precursor; charges whose fragment ceiling lies below a
     strong peak are ruled out (unless all are); then the largest excess wins, ambiguous inside ``margin``.
+    Excesses are compared in their own unit, one off-target pair, so no rounding decides.
     """
+    unit = float(len(OFF_TARGET))
     top = top_peaks(peaks)
     high = top.groupBy(*KEY).agg(F.max("mz").alias("top_mz"))
     c = candidates.select(*KEY, "z").distinct().join(spectra.select(*KEY, "precursor_mz"), KEY)
-    c = c.join(best_isotope(top, c, isotopes, tol), [*KEY, "z"]).join(high, KEY, "left")
+    c = c.join(best_isotope(top, c, isotopes, tol, charge_aware), [*KEY, "z"]).join(high, KEY, "left")
     over = F.coalesce("top_mz", F.lit(0.0)) > F.col("z") * F.col("precursor_mz") - (F.col("z") - 1) * F.lit(K.PROTON) + CEILING_MARGIN
     w = W.partitionBy(*KEY)
     c = c.withColumn("_ok", ~over).withColumn("_any", F.max("_ok").over(w)).withColumn("_left", F.col("_ok") | ~F.col("_any"))
@@ -96,20 +106,20 @@ def infer_charge(peaks: DataFrame, spectra: DataFrame, candidates: DataFrame, to
     s = c.groupBy(*KEY).agg(
         F.min("_zmin").alias("z_low"), F.min(F.when(F.col("_left"), F.col("z"))).alias("left_low"),
         F.max(F.when(F.col("_left") & (F.col("z") == 2), 1).otherwise(0)).alias("two_left"),
-        F.reverse(F.array_sort(F.collect_list(F.when(F.col("_left"), F.struct(F.round("excess", 9).alias("e"), (-F.col("z")).alias("nz")))))).alias("best"))
+        F.reverse(F.array_sort(F.collect_list(F.when(F.col("_left"), F.struct(F.round(F.col("excess") * unit).cast("long").alias("e"), (-F.col("z")).alias("nz")))))).alias("best"))
     s = s.join(one_plus_share(peaks, spectra), KEY, "left")
     e1, e2 = F.get("best", F.lit(0)), F.get("best", F.lit(1))
     range_min = F.when(F.col("left_low") != F.col("z_low"), F.col("left_low"))
     none = ~(e1.e > 0)
     one = (F.col("z_low") == 1) & (F.col("above_share") < ONE_PLUS_SHARE)
-    close = e2.e.isNotNull() & (e1.e - e2.e < margin)
+    close = e2.e.isNotNull() & (e1.e - e2.e < unit * margin)
     call = (F.when(one, F.struct(F.lit(1).alias("charge"), F.lit("inferred").alias("src"), F.lit("one_plus").alias("basis")))
             .when(none & range_min.isNotNull(), F.struct(range_min.alias("charge"), F.lit("inferred").alias("src"), F.lit("range").alias("basis")))
             .when(none, F.struct(F.when(F.col("two_left") == 1, 2).otherwise(F.col("left_low")).alias("charge"), F.lit("assumed").alias("src"), F.lit("none").alias("basis")))
             .otherwise(F.struct((-e1.nz).alias("charge"), F.when(close, "ambiguous").otherwise("inferred").alias("src"), F.lit("complement").alias("basis"))))
     return s.withColumn("c", call).select(
         *KEY, "c.charge", "c.src", "c.basis", F.when(F.col("c.src") == "ambiguous", -e2.nz).alias("runner_up"),
-        e1.e.alias("excess"), F.when(F.col("c.src") == "ambiguous", e2.e).alias("runner_excess"), "above_share")
+        (e1.e / unit).alias("excess"), F.when(F.col("c.src") == "ambiguous", e2.e / unit).alias("runner_excess"), "above_share")
 
 
 def preceding_ms1(scans: DataFrame) -> DataFrame:
@@ -145,12 +155,15 @@ def ms1_charge(scans: DataFrame, peaks: DataFrame, ppm: float = MS1_PPM) -> Data
 
 def check_header_charge(peaks: DataFrame, spectra: DataFrame, tol: float, zmin: int = 2, zmax: int = 4,
                         margin: float = HEADER_MARGIN, ms1: DataFrame | None = None) -> DataFrame:
-    """agree, disagree, ambiguous or no_call for the stated charge; an MS1 spacing call outranks the rest."""
+    """agree, disagree, ambiguous or no_call for the stated charge; an MS1 spacing call outranks the rest.
+
+    Complement pairs are counted with their charges. ``replacement``: the charge that a disagreement rests on, else the header.
+    """
     s = spectra.filter("charge > 0")
     span = F.array(*[F.lit(z) for z in range(zmin, zmax + 1)])
     cands = s.select(*KEY, F.explode(F.array_distinct(F.concat(span, F.array(F.col("charge").cast("int"))))).alias("z"))
-    call = infer_charge(peaks, s, cands, tol)
-    head = best_isotope(top_peaks(peaks), s.select(*KEY, F.col("charge").cast("int").alias("z"), "precursor_mz"), [0], tol)
+    call = infer_charge(peaks, s, cands, tol, charge_aware=True)
+    head = best_isotope(top_peaks(peaks), s.select(*KEY, F.col("charge").cast("int").alias("z"), "precursor_mz"), [0], tol, True)
     j = call.withColumnRenamed("charge", "call").join(s.select(*KEY, F.col("charge").alias("header")), KEY).join(
         head.select(*KEY, F.col("excess").alias("header_excess")), KEY)
     amb = (F.when((F.col("call") == F.col("header")) | (F.col("runner_up") == F.col("header")), "agree")
@@ -164,7 +177,77 @@ def check_header_charge(peaks: DataFrame, spectra: DataFrame, tol: float, zmin:
         j = j.join(ms1.select(*KEY, "ms1_charge", "spaced"), KEY, "left")
         stands = (F.col("ms1_charge") == F.col("header")) | F.array_contains("spaced", F.col("header").cast("int"))
         v = F.when(F.col("ms1_charge") > 0, F.when(stands, "agree").otherwise("disagree")).otherwise(v)
-    return j.withColumn("verdict", v)
+    other = F.when(F.col("ms1_charge") > 0, F.col("ms1_charge")).otherwise(F.col("call")) if ms1 is not None else F.col("call")
+    return j.withColumn("verdict", v).withColumn("replacement", F.when(F.col("verdict") == "disagree", other).otherwise(F.col("header")))
+
+
+@dataclass(frozen=True)
+class HypothesisParams:
+    """Which (charge, isotope) hypotheses of a precursor are tagged; at the defaults there is one."""
+    mode: str = "assume2"                # assume2, enumerate, infer: for precursors without a charge
+    zmin: int = 2
+    zmax: int = 4
+    infer_margin: float = INFER_MARGIN
+    isotopes: tuple[int, ...] = (0,)
+    header_check: str = "off"            # both: a disagreeing header is tagged at the other charge as well
+    header_margin: float = HEADER_MARGIN
+
+    def __post_init__(self):
+        if self.mode not in ("assume2", "enumerate", "infer") or self.header_check not in ("off", "both"):
+            raise ValueError(f"{self.mode}, {self.header_check}")
+        if not 1 <= self.zmin <= self.zmax <= CHARGE_LIMIT or not self.isotopes or len(set(self.isotopes)) < len(self.isotopes):
+            raise ValueError("charges must lie in 1 to 8 and isotopes be distinct")
+
+
+def precursor_hypotheses(spectra: DataFrame, peaks: DataFrame, tol: float, params: HypothesisParams = HypothesisParams(),
+                         ms1: DataFrame | None = None) -> DataFrame:
+    """A row per hypothesis: run_id, idx, hypothesis (from 0, ascending charge), n_hyp, z, charge_src, selected, iso, precursor_mz.
+
+    A stated charge stands; under the header check a disagreeing one has the check's charge beside it. Else 2 is assumed, or a
+    single listed charge taken, or all candidates are enumerated, or the charge is inferred, two charges if ambiguous. ``selected`` is the
+    one that per-spectrum reports use. Of several isotope errors each charge takes the one with the largest complement
+    excess, and the precursor m/z is moved by it. ``ms1``: output of ``ms1_charge``. Only spectra whose charge is open, or headers
+    under the check, have their peaks read.
+    """
+    listed = F.array_sort(F.array_distinct(F.filter(F.coalesce("possible_charges", F.array().cast("array<int>")), lambda z: (z >= 1) & (z <= CHARGE_LIMIT))))
+    s = spectra if "possible_charges" in spectra.columns else spectra.withColumn("possible_charges", F.lit(None).cast("array<int>"))
+    s = s.select(*KEY, "precursor_mz", F.coalesce(F.col("charge").cast("int"), F.lit(0)).alias("charge"), listed.alias("listed")).filter("precursor_mz > 0")
+    one = lambda z, src, chosen=F.lit(True): F.struct(z.cast("int").alias("z"), F.lit(src).alias("charge_src"), chosen.alias("selected"))
+    header, single = F.col("charge") > 0, F.size("listed") == 1
+    fixed = F.when(header, F.array(one(F.col("charge"), "header")))
+    fixed = fixed.otherwise(F.array(one(F.lit(2), "assumed"))) if params.mode == "assume2" else fixed.when(single, F.array(one(F.get("listed", F.lit(0)), "possible")))
+    s = s.withColumn("hyps", fixed)
+    if params.mode != "assume2":
+        span = F.array(*[F.lit(z) for z in range(params.zmin, params.zmax + 1)])
+        free = s.filter("hyps IS NULL").withColumn("cands", F.when(F.size("listed") > 0, F.col("listed")).otherwise(span))
+        theirs = peaks.join(free.select(*KEY), KEY, "left_semi")
+        call = infer_charge(theirs, free, free.select(*KEY, F.explode("cands").alias("z")), tol, list(params.isotopes), params.infer_margin)
+        free = free.join(call.select(*KEY, F.col("charge").alias("call"), "src", "runner_up"), KEY)
+        if params.mode == "enumerate":
+            has = lambda z: F.array_contains("cands", z)
+            chosen = F.when((F.col("src") != "assumed") & has(F.col("call")), F.col("call")).when(has(F.lit(2)), 2).otherwise(F.get("cands", F.lit(0)))
+            src = F.when(F.size("listed") > 0, F.lit("possible")).otherwise(F.lit("enumerated"))
+            open_ = F.transform("cands", lambda z: F.struct(z.cast("int").alias("z"), src.alias("charge_src"), (z == chosen).alias("selected")))
+        else:
+            two = F.array_sort(F.array(one(F.col("call"), "ambiguous"), one(F.col("runner_up"), "ambiguous", F.lit(False))))
+            alone = F.array(F.struct(F.col("call").cast("int").alias("z"), F.col("src").alias("charge_src"), F.lit(True).alias("selected")))
+            open_ = F.when(F.col("src") == "ambiguous", two).otherwise(alone)
+        s = s.filter("hyps IS NOT NULL").unionByName(free.withColumn("hyps", open_).select(*s.columns))
+    if params.header_check == "both":
+        stated = s.filter("charge > 0")
+        check = check_header_charge(peaks.join(stated.select(*KEY), KEY, "left_semi"), stated, tol, params.zmin, params.zmax, params.header_margin, ms1)
+        other = check.filter((F.col("verdict") == "disagree") & F.col("replacement").between(1, CHARGE_LIMIT) & (F.col("replacement") != F.col("header")))
+        both = F.array_sort(F.array(one(F.col("charge"), "header"), one(F.col("replacement"), "check_call", F.lit(False))))
+        s = s.join(other.select(*KEY, "replacement"), KEY, "left").withColumn("hyps", F.when(F.col("replacement").isNotNull(), both).otherwise(F.col("hyps")))
+    h = s.select(*KEY, "precursor_mz", F.size("hyps").alias("n_hyp"), F.posexplode("hyps").alias("hypothesis", "h")).select(*KEY, "hypothesis", "n_hyp", "precursor_mz", "h.*")
+    if len(params.isotopes) > 1:
+        h = materialize(h)   # read twice below
+        found = best_isotope(top_peaks(peaks), h, list(params.isotopes), tol)
+        h = h.join(found.select(*KEY, "z", "iso"), [*KEY, "z"])
+    else:
+        h = h.withColumn("iso", F.lit(params.isotopes[0]))
+    moved = F.col("precursor_mz") - F.col("iso") * F.lit(K.ISOTOPE_STEP) / F.col("z")
+    return h.select(*KEY, "hypothesis", "n_hyp", "z", "charge_src", "selected", "iso", F.when(F.col("iso") == 0, F.col("precursor_mz")).otherwise(moved).alias("precursor_mz"))
 
 
 def complement_tolerance(errors: DataFrame, window: float, configured: float, min_signal: float = MIN_SIGNAL) -> DataFrame:

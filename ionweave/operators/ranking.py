@@ -72,9 +72,10 @@ def merge_series(by: DataFrame, cz: DataFrame, cap: int = 0) -> DataFrame:
     return u.filter(F.col("merged_rank") <= cap) if cap > 0 else u
 
 
-def merge_hypotheses(tags: DataFrame, n_hypotheses: DataFrame, cap: int) -> DataFrame:
-    """Rows of all precursor hypotheses by corrected E-value, the selected one first on ties."""
-    t = tags.join(n_hypotheses, KEY).withColumn("evalue", F.col("evalue") * F.col("n_hyp"))
+def merge_hypotheses(tags: DataFrame, n_hypotheses: DataFrame | None, cap: int) -> DataFrame:
+    """Rows of all precursor hypotheses by corrected E-value, the first hypothesis first on ties. Without ``n_hypotheses`` the
+    E-values are corrected already."""
+    t = tags if n_hypotheses is None else tags.join(n_hypotheses, KEY).withColumn("evalue", F.col("evalue") * F.col("n_hyp"))
     w = W.partitionBy(*KEY).orderBy("evalue", "hypothesis", "seq", "low_mz")
     t = t.withColumn("merged_rank", F.row_number().over(w))
     return t.filter(F.col("merged_rank") <= cap) if cap > 0 else t

@@ -5,7 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ionweave.functions import constants as K, stats
 from ionweave.operators.core import even_hash
@@ -119,9 +119,9 @@ def p_complement(tags: DataFrame, population: DataFrame, midp: bool = False) ->
     return t.withColumn("use_compl", use).withColumn("p_complement", F.when(use & score, p).otherwise(1.0)).drop("_K")
 
 
-def evalue(tags: DataFrame, gap_penalty: float = 100.0, hypotheses: int = 1) -> DataFrame:
-    """Combined p-value times the spectrum's candidates, hypotheses and (gapped tags) the gap penalty."""
+def evalue(tags: DataFrame, gap_penalty: float = 100.0, hypotheses: int | Column = 1) -> DataFrame:
+    """Combined p-value times the spectrum's candidates, hypotheses (a number or a column) and (gapped tags) the gap penalty."""
     n = F.count(F.lit(1)).over(W.partitionBy(*KEY))
     p = stats.fisher("p_intensity", "p_mzfidelity", "p_complement", F.col("use_compl"))
     pen = F.when(F.col("gapped"), F.lit(float(max(1.0, gap_penalty)))).otherwise(1.0)
-    return tags.withColumn("n_candidates", n).withColumn("evalue", p * n * F.lit(float(hypotheses)) * pen)
+    return tags.withColumn("n_candidates", n).withColumn("evalue", p * n * F.lit(hypotheses).cast("double") * pen)

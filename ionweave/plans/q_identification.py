@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ionweave.functions import constants as K
 from ionweave.operators import dbmatch as D, precursor as H
-from ionweave.plans import q_tagging as QT, views as V
+from ionweave.plans import q_tagging as QT, tag_run, views as V
 from ionweave.plans.registry import query
 
 KEY = ["run_id", "idx"]
@@ -36,13 +36,81 @@ def h2(spark, sf):
     return H.complement_excess(H.top_peaks(V.peaks(spark, sf)), s, 0.3).select(*KEY, F.round("excess", 6).alias("excess"))
 
 
-@query("H3_infer_charge")
+# the charge call over candidates cand(run_id, idx, z) of spectra open_(run_id, idx, precursor_mz)
+Q_INFER = dict(
+    mm=f"SELECT c.run_id, c.idx, c.z AS k, o.precursor_mz * c.z - c.z * {K.PROTON!r} AS M FROM cand c JOIN open_ o USING (run_id, idx)", sums=Q_SUMS, pr=Q_PAIRS,
+    e="SELECT mm.run_id, mm.idx, mm.k AS z, sum(CASE WHEN p.shift = 0 THEN 6 WHEN p.shift IS NULL THEN 0 ELSE -1 END)::BIGINT AS e6 FROM mm LEFT JOIN pr p ON mm.run_id = p.run_id AND mm.idx = p.idx AND mm.k = p.k GROUP BY 1, 2, 3",
+    hi="SELECT run_id, idx, max(mz) AS top_mz FROM top GROUP BY 1, 2",
+    ab="SELECT o.run_id, o.idx, sum(CASE WHEN p.mz > o.precursor_mz THEN p.intensity ELSE 0 END) / sum(p.intensity) AS share FROM open_ o JOIN peaks p ON p.run_id = o.run_id AND p.idx = o.idx AND p.intensity > 0 AND abs(p.mz - o.precursor_mz) > 3.5 GROUP BY 1, 2",
+    ok=f"SELECT e.*, NOT (coalesce(hi.top_mz, 0) > e.z * o.precursor_mz - (e.z - 1) * {K.PROTON!r} + 1.5) AS fits FROM e JOIN open_ o USING (run_id, idx) LEFT JOIN hi USING (run_id, idx)",
+    lf="SELECT *, fits OR NOT bool_or(fits) OVER (PARTITION BY run_id, idx) AS stays, min(z) OVER (PARTITION BY run_id, idx) AS z_low FROM ok",
+    rk="SELECT *, row_number() OVER (PARTITION BY run_id, idx ORDER BY stays DESC, e6 DESC, z) AS r FROM lf",
+    ev="SELECT run_id, idx, min(z_low) AS z_low, min(CASE WHEN stays THEN z END) AS left_low, bool_or(stays AND z = 2) AS two, max(CASE WHEN r = 1 THEN e6 END) AS e1, max(CASE WHEN r = 1 THEN z END) AS z1, "
+       "max(CASE WHEN r = 2 AND stays THEN e6 END) AS e2, max(CASE WHEN r = 2 AND stays THEN z END) AS z2 FROM rk GROUP BY 1, 2",
+    call="SELECT ev.*, CASE WHEN z_low = 1 AND share < 0.05 THEN 'one_plus' WHEN e1 <= 0 AND left_low <> z_low THEN 'range' WHEN e1 <= 0 THEN 'none' ELSE 'complement' END AS basis, e2 IS NOT NULL AND e1 - e2 < 12 AS close "
+         "FROM ev LEFT JOIN ab USING (run_id, idx)",
+    inf="SELECT run_id, idx, basis, CASE basis WHEN 'one_plus' THEN 1 WHEN 'range' THEN left_low WHEN 'none' THEN CASE WHEN two THEN 2 ELSE left_low END ELSE z1 END::INT AS charge, "
+        "CASE WHEN basis = 'none' THEN 'assumed' WHEN basis = 'complement' AND close THEN 'ambiguous' ELSE 'inferred' END AS src, CASE WHEN basis = 'complement' AND close THEN z2 END::INT AS runner_up, round(e1 / 6, 6) AS excess FROM call")
+
+
+@query("H3_infer_charge", V.cte(peaks=V.Q_PEAKS, spectra=V.Q_SPECTRA, top=Q_TOP, open_="SELECT run_id, idx, precursor_mz FROM spectra", cand="SELECT run_id, idx, unnest([1, 2, 3, 4]) AS z FROM open_", **Q_INFER) +
+       "SELECT run_id, idx, charge, src, basis, runner_up, excess FROM inf")
 def h3(spark, sf):
     s = V.spectra(spark, sf)
     c = H.charge_candidates(s.withColumn("possible_charges", F.lit(None).cast("array<int>")).withColumn("charge", F.lit(0)), "enumerate", 1, 4)
     return H.infer_charge(V.peaks(spark, sf), s, c, 0.3).select(*KEY, "charge", "src", "basis", "runner_up", F.round("excess", 6).alias("excess"))
 
 
+# spectra without a charge; every third lists possible ones, every ninth of these a single one
+
+
+def _hyp_spectra(spark, sf):
+    listed = F.when(F.col("idx") % 27 == 0, F.array(F.lit(3), F.lit(3))).when(F.col("idx") % 3 == 0, F.array(F.lit(3), F.lit(2), F.lit(9)))
+    return V.spectra(spark, sf).withColumn("possible_charges", listed).withColumn("charge", F.when(F.col("idx") % 2 == 0, F.col("charge")).otherwise(0))
+
+
+def q_hypotheses(mode: str) -> str:
+    single = "SELECT run_id, idx, precursor_mz, 0 AS hypothesis, charge::INT AS z, 'header' AS charge_src, true AS selected FROM hs WHERE charge > 0 UNION ALL SELECT run_id, idx, precursor_mz, 0, 3, 'possible', true FROM hs WHERE charge <= 0 AND idx % 27 = 0"
+    if mode == "infer":
+        rest = ("SELECT o.run_id, o.idx, o.precursor_mz, CASE WHEN src = 'ambiguous' AND charge > runner_up THEN 1 ELSE 0 END, charge, src, true FROM open_ o JOIN inf USING (run_id, idx) UNION ALL "
+                "SELECT o.run_id, o.idx, o.precursor_mz, CASE WHEN charge > runner_up THEN 0 ELSE 1 END, runner_up, src, false FROM open_ o JOIN inf USING (run_id, idx) WHERE src = 'ambiguous'")
+    else:
+        rest = ("SELECT o.run_id, o.idx, o.precursor_mz, row_number() OVER (PARTITION BY o.run_id, o.idx ORDER BY c.z) - 1, c.z, CASE WHEN o.idx % 3 = 0 THEN 'possible' ELSE 'enumerated' END, "
+                "c.z = CASE WHEN src <> 'assumed' THEN charge ELSE 2 END FROM open_ o JOIN cand c USING (run_id, idx) JOIN inf USING (run_id, idx)")
+    return V.cte(peaks=V.Q_PEAKS, spectra=V.Q_SPECTRA, top=Q_TOP, hs="SELECT run_id, idx, precursor_mz, CASE WHEN idx % 2 = 0 THEN charge ELSE 0 END AS charge FROM spectra",
+                 open_="SELECT run_id, idx, precursor_mz FROM hs WHERE charge <= 0 AND idx % 27 <> 0",
+                 cand="SELECT run_id, idx, unnest(CASE WHEN idx % 3 = 0 THEN [2, 3] ELSE [1, 2, 3, 4] END) AS z FROM open_", **Q_INFER, h=f"{single} UNION ALL {rest}") + (
+        "SELECT run_id, idx, CAST(hypothesis AS INT) AS hypothesis, CAST(count(*) OVER (PARTITION BY run_id, idx) AS INT) AS n_hyp, z, charge_src, selected, 0 AS iso, round(precursor_mz, 6) AS precursor_mz FROM h")
+
+
+def hypotheses(spark, sf, params):
+    return H.precursor_hypotheses(_hyp_spectra(spark, sf), V.peaks(spark, sf), 0.3, params)
+
+
+@query("H8_hypotheses_inferred", q_hypotheses("infer"))
+def h8(spark, sf):
+    return hypotheses(spark, sf, H.HypothesisParams("infer", 1, 4)).withColumn("precursor_mz", F.round("precursor_mz", 6))
+
+
+@query("H8_hypotheses_enumerated", q_hypotheses("enumerate"))
+def h8b(spark, sf):
+    return hypotheses(spark, sf, H.HypothesisParams("enumerate", 1, 4)).withColumn("precursor_mz", F.round("precursor_mz", 6))
+
+
+@query("H8_hypotheses_checked")
+def h8c(spark, sf):
+    """Headers under the check, with isotope errors; its twin is in the tests."""
+    s, p = V.spectra(spark, sf), V.peaks(spark, sf)
+    return H.precursor_hypotheses(s, p, 0.3, H.HypothesisParams("infer", isotopes=(0, -1, 1), header_check="both", header_margin=1.0), H.ms1_charge(_scan_levels(spark, sf), p, 500.0))
+
+
+@query("T11_tag_hypotheses")
+def t11_hypotheses(spark, sf):
+    """Tags of all spectra under their precursor hypotheses; its twin is in the tests."""
+    t = tag_run.tag_hypotheses(_hyp_spectra(spark, sf), V.peaks(spark, sf), QT.PARAMS, H.HypothesisParams("infer", 1, 4))
+    return t.select(*KEY, "merged_rank", "hypothesis", "n_hyp", "precursor_charge", "charge_src", "selected", "seq", "charge", "evalue", "nterm_mass", "cterm_mass", "low_mz")
+
+
 @query("H4_best_isotope", V.cte(peaks=V.Q_PEAKS, spectra=V.Q_SPECTRA, spec=QT.Q_SPEC, m=QT.Q_MASS, top=Q_TOP, mm=f"SELECT run_id, idx, k, mass - k * {K.ISOTOPE_STEP!r} AS M FROM m, (SELECT unnest([0, -1, 1, 2]) AS k)", sums=Q_SUMS, pr=Q_PAIRS, e=Q_EXC) +
        "SELECT run_id, idx, k AS iso, excess FROM (SELECT *, row_number() OVER (PARTITION BY run_id, idx ORDER BY excess DESC, abs(k), k) AS r FROM e) WHERE r = 1")
 def h4(spark, sf):
