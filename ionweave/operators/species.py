@@ -1,10 +1,15 @@
 """k-mer to taxon tables, tag support, taxonomy roll-up, enrichment and species calls."""
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType
 
 from ionweave.functions import stats
 from ionweave.operators.core import bh_qvalues
@@ -210,37 +215,92 @@ def species_null(genera: DataFrame, decoys: int, trials: DataFrame) -> DataFrame
     return genera.join(trials, "run_id").withColumn("random_expected", (F.col("decoy_spectra") + 0.5) / F.lit(float(max(1, decoys))))
 
 
-def _evaluate(g: DataFrame, C: DataFrame, alpha: float, tau: float, n_min: int) -> DataFrame:
+#: Grid of Storey's estimate and the degrees of freedom of its smoothing spline.
+PI0_GRID, PI0_FREEDOM = np.arange(1, 20) * 0.05, 3.0
+
+
+def pi0_weights() -> list[float]:
+    """Weights of the grid's values in the smoothing spline at the last grid point. A smoothing spline of fixed degrees of freedom
+    on a fixed grid is linear in the values, so the estimate is one weighted sum of counts."""
+    h, n = PI0_GRID[1] - PI0_GRID[0], len(PI0_GRID)
+    second = np.zeros((n, n - 2))
+    band = np.zeros((n - 2, n - 2))
+    for j in range(n - 2):
+        second[j:j + 3, j] = np.array([1.0, -2.0, 1.0]) / h
+        band[j, j] = 2 * h / 3
+        if j:
+            band[j, j - 1] = band[j - 1, j] = h / 6
+    bends, vectors = np.linalg.eigh(second @ np.linalg.solve(band, second.T))
+    bends = np.maximum(bends, 0.0)
+    low, high = -30.0, 30.0                # exponent of the penalty
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (1 / (1 + np.exp(mid) * bends)).sum() > PI0_FREEDOM else (low, mid)
+    return ((vectors / (1 + np.exp(low) * bends)) @ vectors.T)[-1].tolist()
+
+
+def _with_q(e: DataFrame, p: str, q: str, pi0: float) -> DataFrame:
+    """Adds ``q`` over the tested genera of each run (1 for the others) and ``pi0`` (given, or estimated where 0 is given)."""
+    run = W.partitionBy("run_id")   # genera of one run: bounded by the taxonomy
+    w = run.orderBy("_p")
+    tested = F.col("observed") >= OBSERVED_FLOOR
+    m = F.sum(tested.cast("int")).over(run)
+    e = e.drop("pi0", q).withColumn("_p", F.when(tested, F.col(p)))
+    if pi0 > 0:
+        e = e.withColumn("pi0", F.lit(min(1.0, pi0)))
+    else:
+        parts = [F.sum((F.col("_p") >= F.lit(float(x))).cast("int")).over(run) * F.lit(c / (1.0 - float(x))) for x, c in zip(PI0_GRID, pi0_weights(), strict=True)]
+        found = sum(parts[1:], parts[0]) / m
+        e = e.withColumn("pi0", F.when((m < 2) | ~(found > 0), 1.0).otherwise(F.coalesce(F.least(found, F.lit(1.0)), F.lit(1.0))))
+    pos = F.sum(tested.cast("int")).over(w.rangeBetween(W.unboundedPreceding, 0))
+    e = e.withColumn("_raw", F.when(tested, F.col("_p") * m / pos * F.col("pi0")))
+    least = F.min("_raw").over(w.rangeBetween(0, W.unboundedFollowing))
+    return e.withColumn(q, F.when(tested, F.least(least, F.lit(1.0))).otherwise(1.0)).drop("_p", "_raw")
+
+
+def _evaluate(g: DataFrame, C: DataFrame, alpha: float, tau: float, n_min: int, pi0: float) -> DataFrame:
     """Spill, p, q and qualification with spill from the rows whose ``present`` is set."""
     src = g.filter("present").select("run_id", F.col("taxid").alias("h"), F.col("observed").alias("obs_h"), F.coalesce("n_hat", F.col("observed").cast("double")).alias("nh"))
     sp = C.join(src, "h").join(g.select("run_id", F.col("taxid").alias("g"), F.col("observed").alias("obs_g")), ["run_id", "g"])
     above = (F.col("obs_h") > F.col("obs_g")) | ((F.col("obs_h") == F.col("obs_g")) & (F.col("h") < F.col("g")))
     sp = sp.filter(above).groupBy("run_id", F.col("g").alias("taxid")).agg(F.sum(F.col("c") * F.col("nh")).alias("spill"))
     e = g.drop("spill", "pvalue", "qvalue", "qualifies").join(sp, ["run_id", "taxid"], "left").withColumn("spill", F.coalesce("spill", F.lit(0.0)))
-    e = e.withColumn("pvalue", stats.poisson_upper("observed", F.col("spill") + F.col("random_expected")))
-    w = W.partitionBy("run_id").orderBy("_p")   # genera of one run: bounded by the taxonomy
+    e = _with_q(e.withColumn("pvalue", stats.poisson_upper("observed", F.col("spill") + F.col("random_expected"))), "pvalue", "qvalue", pi0)
     tested = F.col("observed") >= OBSERVED_FLOOR
-    e = e.withColumn("_p", F.when(tested, F.col("pvalue")))
-    m = F.sum(tested.cast("int")).over(W.partitionBy("run_id"))
-    pos = F.sum(tested.cast("int")).over(w.rangeBetween(W.unboundedPreceding, 0))
-    e = e.withColumn("_raw", F.when(tested, F.col("_p") * m / pos))
-    q = F.min("_raw").over(W.partitionBy("run_id").orderBy("_p").rangeBetween(0, W.unboundedFollowing))
-    e = e.withColumn("qvalue", F.when(tested, F.least(q, F.lit(1.0))).otherwise(1.0)).drop("_p", "_raw")
     return e.withColumn("qualifies", tested & (F.col("qvalue") <= alpha) & (F.col("share") >= tau) & (F.col("observed") >= n_min))
 
 
-def call_species(genera: DataFrame, C: DataFrame, alpha: float = 0.01, tau: float = 0.005, n_min: int = 10, min_units: int = 50) -> DataFrame:
+@arrow_udf(LongType())
+def smallest_count(lam: pa.Array, limit: pa.Array) -> pa.Array:
+    """The least o with P(X >= o) <= limit for a Poisson mean, 0 for limits of 1 and more. The tail is summed from its far end."""
+    out = []
+    for mean, most in zip(lam.to_pylist(), limit.to_pylist(), strict=True):
+        if mean is None or most is None or most >= 1:
+            out.append(None if mean is None or most is None else 0)
+            continue
+        reach = 60 + 12 * math.sqrt(mean)
+        k = np.arange(max(0, math.floor(mean - reach)), math.ceil(mean + reach) + 1)
+        logs = -mean + k * math.log(mean) - np.cumsum(np.concatenate([[math.lgamma(k[0] + 1)], np.log(k[1:])])) if mean > 0 else np.where(k == 0, 0.0, -np.inf)
+        tail = np.cumsum(np.exp(logs)[::-1])[::-1]
+        below = np.flatnonzero(tail <= most)
+        out.append(int(k[below[0]]) if len(below) else int(k[-1]) + 1)
+    return pa.array(out, pa.int64())
+
+
+def call_species(genera: DataFrame, C: DataFrame, alpha: float = 0.01, tau: float = 0.005, n_min: int = 10, min_units: int = 50, pi0: float = 1.0) -> DataFrame:
     """present, no_call or not_detected per run and genus, from a self-consistent present set.
 
-    ``genera``: run_id, taxid, observed, share, random_expected, n_hat, n_units. ``C``: g, h, c (share of
-    genus h's spectra that also fit g). The set map is iterated from the empty set until a set of the run repeats;
+    ``genera``: run_id, taxid, observed, share, random_expected, n_hat, n_units, and optionally low_resolution (of the run).
+    ``C``: g, h, c (share of genus h's spectra that also fit g). ``pi0``: share of genera that are not there in the q-values; 1 is
+    Benjamini-Hochberg, 0 estimates it. ``lod`` of a genus that is not detected: the smallest count that would have been called
+    with its expectation, as a share of the run's units; above 1 the run could not have shown it. The set map is iterated from the empty set until a set of the run repeats;
     of the sets on that cycle, however long, the common members are kept and shrunk until every member qualifies.
     """
     C = materialize(C.filter("c > 0"))
     st = materialize(genera.withColumn("present", F.lit(False)).withColumn("before", F.array().cast("array<boolean>")).withColumn("settled", F.lit(False)))
     r = 0
     while True:
-        e = materialize(_evaluate(st, C, alpha, tau, n_min).withColumn("before", F.when(F.col("settled"), F.col("before")).otherwise(F.concat("before", F.array("present")))))
+        e = materialize(_evaluate(st, C, alpha, tau, n_min, pi0).withColumn("before", F.when(F.col("settled"), F.col("before")).otherwise(F.concat("before", F.array("present")))))
         # sets 0 .. r have been seen; the next is that of the qualifying genera
         same = e.filter("NOT settled").groupBy("run_id").agg(*[F.every(F.col("before")[k] == F.col("qualifies")).alias(f"_{k}") for k in range(r + 1)])
         start = same.select("run_id", F.coalesce(*[F.when(F.col(f"_{k}"), F.lit(k)) for k in range(r + 1)]).alias("_from"))
@@ -253,20 +313,27 @@ def call_species(genera: DataFrame, C: DataFrame, alpha: float = 0.01, tau: floa
             break
     st = st.drop("before", "settled")
     while True:
-        e = materialize(_evaluate(st, C, alpha, tau, n_min))
+        e = materialize(_evaluate(st, C, alpha, tau, n_min, pi0))
         if e.filter("present AND NOT qualifies").limit(1).count() == 0:
             break
         st = e.withColumn("present", F.col("present") & F.col("qualifies"))
-    p_rand = stats.poisson_upper("observed", "random_expected")
-    out = e.withColumn("p_random", p_rand)
-    call = (F.when(F.col("n_units") < min_units, F.struct(F.lit("no_call").alias("call"), F.lit("few_spectra").alias("reason")))
-            .when(F.col("present"), F.struct(F.lit("present").alias("call"), F.lit("pass").alias("reason")))
-            .when(F.col("qualifies"), F.struct(F.lit("no_call").alias("call"), F.lit("unstable").alias("reason")))
-            .when((F.col("observed") >= OBSERVED_FLOOR) & (F.col("spill") > 0) & (F.col("p_random") <= alpha) & (F.col("qvalue") > alpha),
-                  F.struct(F.lit("no_call").alias("call"), F.lit("near_neighbour").alias("reason")))
-            .otherwise(F.struct(F.lit("not_detected").alias("call"), F.when((F.col("observed") < OBSERVED_FLOOR) | (F.col("qvalue") > alpha), "not_significant")
-                                .when(F.col("share") < tau, "low_share").otherwise("few_genus_spectra").alias("reason"))))
-    return out.withColumn("_c", call).select("run_id", "taxid", "observed", "spill", "random_expected", "pvalue", "qvalue", "_c.call", "_c.reason")
+    rand = _with_q(e.withColumn("p_random", stats.poisson_upper("observed", "random_expected")), "p_random", "qvalue_random", pi0).select("run_id", "taxid", "qvalue_random")
+    out = e.join(rand, ["run_id", "taxid"])
+    tested, over = F.col("observed") >= OBSERVED_FLOOR, F.col("qvalue") > alpha
+    answer = lambda call, reason: F.struct(F.lit(call).alias("call"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
+    coarse = F.coalesce(F.col("low_resolution"), F.lit(False)) if "low_resolution" in out.columns else F.lit(False)
+    missed = F.when(~tested | over, "not_significant").when(~(F.col("share") >= tau), "low_share").otherwise("few_genus_spectra")
+    call = (F.when(coarse, answer("no_call", "low_resolution")).when(F.col("n_units") < min_units, answer("no_call", "few_spectra"))
+            .when(F.col("present"), answer("present", "pass")).when(F.col("qualifies"), answer("no_call", "unstable"))
+            .when(tested & (F.col("spill") > 0) & (F.col("qvalue_random") <= alpha) & over, answer("no_call", "near_neighbour")).otherwise(answer("not_detected", missed)))
+    run = W.partitionBy("run_id")
+    found = F.sum((tested & ~over).cast("int")).over(run) - (tested & ~over).cast("int")
+    places = F.sum(tested.cast("int")).over(run) + F.when(tested, 0).otherwise(1)
+    out = out.withColumn("_c", call).withColumn("expected", F.col("spill") + F.col("random_expected")).withColumn("_limit", alpha * (found + 1) / (places * F.col("pi0")))
+    count = smallest_count("expected", F.when(F.col("_c.call") == "not_detected", F.col("_limit")))
+    least = F.greatest(count, F.lit(n_min).cast("long"), F.lit(OBSERVED_FLOOR).cast("long"), F.ceil(tau * F.col("n_units") - 1e-9))
+    lod = F.when((F.col("_c.call") == "not_detected") & (F.col("n_units") > 0), least / F.col("n_units"))
+    return out.withColumn("lod", lod).select("run_id", "taxid", "observed", "spill", "random_expected", "pvalue", "qvalue", "qvalue_random", "pi0", "lod", "_c.call", "_c.reason")
 
 
 def species_report(rolled: DataFrame, names: DataFrame, rank: str, value: str = "subtree") -> DataFrame:

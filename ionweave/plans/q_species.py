@@ -172,14 +172,30 @@ def x14(spark, sf):
     return _genera(spark, sf).select("run_id", "taxid", "observed", "random_expected")
 
 
-@query("X15_call_species")
-def x15(spark, sf):
+def _spill_matrix(spark, sf):
     t = V.table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
     n = t.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     sets = t.groupBy("l_partkey").agg(F.collect_set("l_suppkey").alias("s"))
     pair = sets.select("s", F.explode("s").alias("g")).select("g", F.explode("s").alias("h")).filter("g <> h").groupBy("g", "h").agg(F.count(F.lit(1)).alias("c"))
-    C = pair.join(n.withColumnRenamed("l_suppkey", "h"), "h").select("g", "h", (F.col("c") / F.col("n") / 20).alias("c"))
-    return X.call_species(_genera(spark, sf), C, 0.05, 0.001, 10).select("run_id", "taxid", "observed", F.round("spill", 6).alias("spill"), F.round("qvalue", 9).alias("qvalue"), "call", "reason")
+    return pair.join(n.withColumnRenamed("l_suppkey", "h"), "h").select("g", "h", (F.col("c") / F.col("n") / 20).alias("c"))
+
+
+def _calls(spark, sf, genera, **more):
+    c = X.call_species(genera, _spill_matrix(spark, sf), 0.05, 0.001, 10, **more)
+    return c.withColumn("spill", F.round("spill", 6)).withColumn("qvalue", F.round("qvalue", 9))
+
+
+@query("X15_call_species")
+def x15(spark, sf):
+    return _calls(spark, sf, _genera(spark, sf)).select("run_id", "taxid", "observed", "spill", "qvalue", "call", "reason")
+
+
+@query("X15_call_species_estimated")
+def x15b(spark, sf):
+    """Estimated share of absent genera, a run of low resolution, detection limits; its twin is in the tests."""
+    g = _genera(spark, sf).withColumn("low_resolution", F.col("run_id") == 3)
+    c = _calls(spark, sf, g, pi0=0.0)
+    return c.select("run_id", "taxid", "observed", "spill", "qvalue", F.round("qvalue_random", 9).alias("qvalue_random"), F.round("pi0", 9).alias("pi0"), F.round("lod", 12).alias("lod"), "call", "reason")
 
 
 @query("X16_species_report", V.cte(**ROLL) + "SELECT r.run_id, r.taxid, r.subtree, row_number() OVER (PARTITION BY r.run_id ORDER BY r.subtree DESC, r.taxid) AS place FROM roll r JOIN nodes n ON n.taxid = r.taxid WHERE n.rank = 'species'")

@@ -97,10 +97,10 @@ def test_present_sets_on_a_cycle(spark, monkeypatch):
     """A set map that goes round four sets: the members they have in common stay."""
     sets = {frozenset(): {1, 2}, frozenset({1, 2}): {1, 3}, frozenset({1, 3}): {1, 4}, frozenset({1, 4}): {1, 2}, frozenset({1}): {1}}
 
-    def evaluate(g, C, alpha, tau, n_min):
+    def evaluate(g, C, alpha, tau, n_min, pi0):
         now = frozenset(r.taxid for r in g.filter("present").collect())
         return g.drop("qualifies", "spill", "pvalue", "qvalue").withColumn("qualifies", F.col("taxid").isin(list(sets[now]))).withColumn(
-            "spill", F.lit(0.0)).withColumn("pvalue", F.lit(0.0)).withColumn("qvalue", F.lit(0.0))
+            "spill", F.lit(0.0)).withColumn("pvalue", F.lit(0.0)).withColumn("qvalue", F.lit(0.0)).withColumn("pi0", F.lit(pi0))
     monkeypatch.setattr(X, "_evaluate", evaluate)
     genera = spark.createDataFrame([(1, k, 50, 0.1, 0.5, 50.0, 500) for k in range(1, 6)],
                                    "run_id long, taxid long, observed long, share double, random_expected double, n_hat double, n_units long")
