@@ -176,4 +176,5 @@ SG = dict(s="SELECT user_id % 8 AS run_id, event_id AS pos, CAST(round(value) AS
 @query("W5_stream_repeat_gaps", V.cte(**SG) + "SELECT run_id, kx, event, gap FROM g WHERE gap IS NOT NULL")
 def w5(spark, sf):
     s = _events_stream(spark, sf).selectExpr("user_id % 8 AS run_id", "event_id AS pos", "CAST(round(value) AS BIGINT) AS kx")
-    return _finish(spark, W.stream_repeat_gaps(s), "append")
+    with W.state_settings(spark):
+        return _finish(spark, W.stream_repeat_gaps(s), "append")
