@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ionweave.functions import constants as K, scalar as S
 from ionweave.operators.core import Scan, ordered_scan, values
+from ionweave.session import materialize
 
 # Effective alphabet of a proteome and the longest indexed tag.
 EFFECTIVE_ALPHABET = 14.7
@@ -49,8 +50,20 @@ def readings(tags: DataFrame, rules: DataFrame) -> DataFrame:
     return tags.withColumn("reading", F.col("seq")).unionByName(hit.select(*tags.columns, "reading")).distinct()
 
 
+#: Look-up keys that are sent to the database's rows; above it the rows go to the keys. A key has 25 letters at most.
+BROADCAST_KEYS = 1_000_000
+
+
+def wanted_only(rows: DataFrame, keys: DataFrame, key: str = "kmer", limit: int | None = None) -> DataFrame:
+    """The rows whose ``key`` is among ``keys``. Up to ``limit`` keys, by count, are sent to the rows, so the rest of a database is
+    dropped where it is read, before any exchange; of a table bucketed by the key nothing is exchanged either way."""
+    limit = BROADCAST_KEYS if limit is None else limit
+    keys = materialize(keys.select(key).distinct())
+    return rows.join(F.broadcast(keys) if keys.count() <= limit else keys, key, "left_semi")
+
+
 def match_db(tags: DataFrame, kmer_set: DataFrame, both: bool = True, rules: DataFrame | None = None) -> DataFrame:
-    """Adds ``hit``: forward, reverse or none. ``kmer_set`` holds distinct (kmer) of the tags' lengths.
+    """Adds ``hit``: forward, reverse or none. ``kmer_set`` holds the k-mers of the tags' lengths, repeated or not.
 
     Distinct sequences are matched once and joined back, so a sequence repeated in a third of the tags
     is looked up a single time.
@@ -60,7 +73,9 @@ def match_db(tags: DataFrame, kmer_set: DataFrame, both: bool = True, rules: Dat
     look = base.select("seq", F.translate("reading", "I", "L").alias("kmer"), F.lit(0).alias("o"))
     if both:
         look = look.unionByName(look.select("seq", F.reverse("kmer").alias("kmer"), F.lit(1).alias("o")))
-    found = look.join(kmer_set.select("kmer").distinct(), "kmer", "left_semi").groupBy("seq").agg(F.min("o").alias("o"))
+    look = materialize(look.distinct())
+    there = wanted_only(kmer_set.select("kmer"), look).distinct()
+    found = look.join(there, "kmer", "left_semi").groupBy("seq").agg(F.min("o").alias("o"))
     return tags.join(found, "seq", "left").withColumn(
         "hit", F.when(F.col("o") == 0, "forward").when(F.col("o") == 1, "reverse").otherwise("none")).drop("o")
 

@@ -5,39 +5,41 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ionweave.functions import constants as K, scalar as S
 from ionweave.operators.core import range_join
-from ionweave.operators.dbmatch import kmers, readings
+from ionweave.operators.dbmatch import readings, wanted_only
+from ionweave.session import materialize
 
 # Cleavage rules (after = cut behind the residue, else before it).
 ENZYMES = {
     "Trypsin": (True, "KR", "P"), "Lys-C": (True, "K", "P"), "Arg-C": (True, "R", "P"), "Asp-N": (False, "D", ""),
     "Glu-C": (True, "DE", ""), "Chymotrypsin": (True, "FWYL", "P"), "Lys-N": (False, "K", ""), "unspecific": (True, "", ""),
 }
-SEED = 4
+SEED, LONGEST = 4, 25
 SUBSTITUTION_ORDER = "GASPVTCLNDQKEMHFRYW"
 
 
 def locate(tags: DataFrame, proteins: DataFrame, both: bool = True, rules: DataFrame | None = None) -> DataFrame:
     """Every occurrence of a tag (4 to 25 residues): seq, accession, pos (0-based), len, reversed.
 
-    Tags of one length join the proteins' k-mers of that length on the whole k-mer, so common short
-    seeds never meet; each distinct tag is looked up once.
+    Proteins are read once for all lengths. Each position is met with the seeds of the tags (their first four residues, a table that the
+    alphabet bounds) and goes on only with the lengths that tags of its seed have, as whole k-mers, so common seeds never meet by
+    themselves; each distinct tag is looked up once.
     """
-    seqs = tags.select("seq").distinct().filter(F.length("seq").between(SEED, 25))
+    seqs = tags.select("seq").distinct().filter(F.length("seq").between(SEED, LONGEST))
     base = seqs.withColumn("reading", F.col("seq")) if rules is None else readings(seqs, rules)
     base = base.select("seq", F.translate("reading", "I", "L").alias("kmer"), F.lit(False).alias("reversed"))
     if both:
         flip = base.withColumn("kmer", F.reverse("kmer")).withColumn("reversed", F.lit(True))
         base = base.unionByName(flip.filter(F.col("seq") != F.reverse("seq")))
-    base = base.withColumn("len", F.length("kmer"))
-    lens = [r[0] for r in base.select("len").distinct().collect()]   # at most 22 lengths
-    out = None
-    for n in sorted(lens):
-        part = base.filter(F.col("len") == n).join(kmers(proteins, n, ["accession"]), "kmer")
-        part = part.select("seq", "accession", (F.col("pos") - 1).alias("pos"), "len", "reversed")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return base.select("seq", F.lit(None).alias("accession"), F.lit(0).alias("pos"), "len", "reversed").limit(0)
-    return out.distinct()
+    base = materialize(base.withColumn("len", F.length("kmer")))
+    seed = F.substring("kmer", 1, SEED)
+    # readings may spell any letters; proteins hold those of the alphabet only
+    seeds = base.filter(seed.rlike(f"^[{SUBSTITUTION_ORDER}]+$")).groupBy(seed.alias("seed")).agg(F.collect_set("len").alias("lens"))
+    ahead = F.regexp_extract_all("sequence", F.lit(f"(?=(.{{{SEED},{LONGEST}}}))"), F.lit(1))
+    at = proteins.select("accession", F.posexplode(ahead).alias("pos", "ahead")).withColumn("seed", F.substring("ahead", 1, SEED))
+    at = at.join(F.broadcast(seeds), "seed").select("accession", "pos", "ahead", F.explode("lens").alias("len"))
+    at = at.select("accession", "pos", F.expr("substring(ahead, 1, len)").alias("kmer"), "len").filter("length(kmer) = len AND NOT contains(kmer, '#')")
+    out = base.join(wanted_only(at.drop("len"), base), "kmer")
+    return out.select("seq", "accession", "pos", "len", "reversed").distinct()
 
 
 def cleavage_sites(proteins: DataFrame, enzyme: str = "Trypsin") -> DataFrame:

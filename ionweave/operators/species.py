@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType
 
 from ionweave.functions import stats
 from ionweave.operators.core import bh_qvalues
-from ionweave.operators.dbmatch import kmers
+from ionweave.operators.dbmatch import kmers, wanted_only
 from ionweave.session import materialize
 
 OBSERVED_FLOOR = 5
@@ -24,9 +24,10 @@ def build_kmer_taxa(proteins: DataFrame, k: int = 7, taxon: str = "taxon") -> Da
     return kmers(proteins, k, [taxon]).select("kmer", F.col(taxon).alias("taxon")).distinct()
 
 
-def write_kmer_taxa(kmer_taxa: DataFrame, table: str, buckets: int = 256) -> None:
-    """Saves the index bucketed by k-mer, so look-ups of many tag sets need no shuffle of the index."""
-    kmer_taxa.write.mode("overwrite").bucketBy(buckets, "kmer").sortBy("kmer").saveAsTable(table)
+def write_kmer_taxa(kmer_taxa: DataFrame, table: str, buckets: int = 256, path: str | None = None) -> None:
+    """Saves the index bucketed and sorted by k-mer (under ``path`` if given), so look-ups of many tag sets need no exchange of it."""
+    out = kmer_taxa.write.mode("overwrite").bucketBy(buckets, "kmer").sortBy("kmer")
+    (out.option("path", path) if path else out).saveAsTable(table)
 
 
 def postings(kmer_taxa: DataFrame) -> DataFrame:
@@ -55,11 +56,11 @@ def tag_support(tags: DataFrame, kmer_taxa: DataFrame, k: int = 7, share_cap: in
     """(seq, taxon): taxa carrying every evaluated k-mer of a tag.
 
     A k-mer in no taxon ends the tag. With ``share_cap``, k-mers of more taxa are not evaluated; without, all are.
-    Each distinct sequence is looked up once.
+    Each distinct sequence is looked up once. ``kmer_taxa`` may be a table written by ``write_kmer_taxa``.
     """
     seqs = tags.select("seq").distinct().filter(F.length("seq") >= k)
     km = seqs.select("seq", F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?=(.{{{k}}}))"), F.lit(1))).alias("i", "kmer"))
-    wanted = kmer_taxa.join(km.select("kmer").distinct(), "kmer", "left_semi")
+    wanted = wanted_only(kmer_taxa, km)
     n = wanted.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n"))
     ev = km.join(n, "kmer", "left")
     wide = F.col("_n") > share_cap if share_cap is not None else F.lit(False)
