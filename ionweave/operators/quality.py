@@ -1,6 +1,9 @@
 """Run quality: scans, charges, resolution, reporters, tag yield, redundancy and overviews."""
 from __future__ import annotations
 
+import heapq
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -9,6 +12,7 @@ from ionweave.functions import constants as K, scalar as S
 from ionweave.operators.census import quantiles
 from ionweave.operators.core import connected_components, even_hash, range_join
 from ionweave.operators.filters import decoy_flag
+from ionweave.session import materialize
 
 KEY = ["run_id", "idx"]
 
@@ -23,7 +27,7 @@ KITS = {"tmt6plex": ["126", "127N", "128C", "129N", "130C", "131N"], "tmt10plex"
 REPORTER_PPM, REPORTER_MIN_SB, REPORTER_MIN_SHARE, REPORTER_MIN_CHANNELS, REPORTER_MIN_ASSESSABLE = 20.0, 3.0, 0.2, 3, 20
 IMMONIUM = [70.0657, 72.0808, 86.0964, 101.0709, 102.055, 104.0528, 110.0713, 120.0808, 136.0757, 159.0917, 129.1022]
 BIN_WIDTH, FINGERPRINT_PEAKS = 1.0005079, 50
-PAIR_PPM, PAIR_RT, PAIR_MOBILITY, MIN_COSINE, MIN_MATCHED, MAX_COMPONENT = 10.0, 60.0, 0.02, 0.8, 6, 300
+PAIR_PPM, PAIR_RT, PAIR_MOBILITY, MIN_COSINE, MIN_MATCHED = 10.0, 60.0, 0.02, 0.8, 6
 NH3, H2O = 17.0265491, 18.0105647
 
 
@@ -172,58 +176,103 @@ def redundant_pairs(spectra: DataFrame, prints: DataFrame, min_cosine: float = M
     return s.filter((F.col("matched") >= min_matched) & (F.col("sim") >= min_cosine)).select("run_id", "a", "b", "sim")
 
 
-def redundancy_clusters(pairs: DataFrame, spectra: DataFrame, rt: float = PAIR_RT, max_component: int = MAX_COMPONENT) -> DataFrame:
-    """(run_id, idx, cluster): complete linkage inside linked groups, time span at most ``rt``.
+#: Links of a group that one task brings to its end; a larger group goes on by rounds until it falls apart or below this.
+TASK_LINKS = 200_000
+
+
+def linkage(links: list[tuple], spans: dict, rt: float) -> dict:
+    """Complete linkage of one group: the cluster (its least member) of every member.
 
-    Groups over ``max_component`` are cut along time into pieces of that size before linkage, so a group
-    map never holds more than that many spectra.
+    The most similar pair whose common time span is at most ``rt`` merges first, equal ones in order of their members; a pair of
+    clusters needs every link between them and is as similar as the least.
     """
-    key = lambda c: F.concat_ws(":", F.col("run_id").cast("string"), F.lpad(F.col(c).cast("string"), 12, "0"))
-    e = pairs.select(key("a").alias("a"), key("b").alias("b"))
-    nodes = spectra.select(key("idx").alias("node"), "run_id", "idx", "rt")
-    comp = connected_components(e, nodes.select("node")).join(nodes, "node")
-    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    comp = comp.join(size, "component")
-    single = comp.filter("n = 1").select("run_id", "idx", F.col("idx").alias("cluster"))
-    many = comp.filter("n > 1")
-    lo = many.groupBy("component").agg(F.min("rt").alias("_lo"))
-    # pieces by time: cells of the linkage span first, then counted cells are packed up to the limit
-    cell = F.floor((F.col("rt") - F.col("_lo")) / rt)
-    many = many.join(lo, "component").withColumn("_c", F.when(F.col("n") > max_component, cell).otherwise(0))
-    rn = F.row_number().over(W.partitionBy("component", "_c").orderBy("rt", "idx"))
-    many = many.withColumn("piece", F.concat_ws("/", "component", F.col("_c").cast("string"), F.floor((rn - 1) / max_component).cast("string")))
-    at = many.select("run_id", "idx", "piece", "rt")
-    link = pairs.join(at.select("run_id", F.col("idx").alias("a"), F.col("piece").alias("pa")), ["run_id", "a"]).join(at.select("run_id", F.col("idx").alias("b"), F.col("piece").alias("pb")), ["run_id", "b"]).filter("pa = pb")
-    rows = at.select("piece", "run_id", F.col("idx").alias("a"), F.lit(None).cast("long").alias("b"), F.col("rt").alias("v")).unionByName(link.select(F.col("pa").alias("piece"), "run_id", "a", "b", F.col("sim").alias("v")))
-
-    def linkage(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf[pdf["b"].isna()].sort_values("a")
-        ids, t = m["a"].to_numpy(), m["v"].to_numpy(float)
-        at_ = {v: i for i, v in enumerate(ids)}
-        sim = np.full((len(ids), len(ids)), -1.0)
-        for a, b, s in pdf[pdf["b"].notna()][["a", "b", "v"]].to_numpy():
-            i, j = at_[int(a)], at_[int(b)]
-            sim[i, j] = sim[j, i] = s
-        np.fill_diagonal(sim, -1.0)
-        lo_, hi_, lead = t.copy(), t.copy(), np.arange(len(ids))
-        while True:
-            span = np.maximum(hi_[:, None], hi_[None, :]) - np.minimum(lo_[:, None], lo_[None, :])
-            ok = np.where(span <= rt, sim, -1.0)
-            best = ok.max()
-            if best < 0:
-                break
-            i, j = np.unravel_index(int(ok.argmax()), ok.shape)
-            i, j = min(i, j), max(i, j)
-            sim[i, :] = np.minimum(sim[i, :], sim[j, :])
-            sim[:, i] = sim[i, :]
-            sim[i, i] = -1.0
-            sim[j, :] = sim[:, j] = -1.0
-            lo_[i], hi_[i] = min(lo_[i], lo_[j]), max(hi_[i], hi_[j])
-            lead[lead == j] = i
-        return pd.DataFrame({"run_id": m["run_id"].to_numpy(), "idx": ids, "cluster": ids[lead]})
-
-    out = rows.groupBy("piece").applyInPandas(linkage, "run_id long, idx long, cluster long")
-    return single.select(F.col("run_id").cast("long").alias("run_id"), F.col("idx").cast("long").alias("idx"), F.col("cluster").cast("long").alias("cluster")).unionByName(out)
+    near: dict = {n: {} for n in spans}
+    for a, b, sim in links:
+        near[a][b] = near[b][a] = sim
+    heap = [(-sim, a, b) for a, b, sim in links]
+    heapq.heapify(heap)
+    lead = {n: n for n in spans}
+    while heap:
+        sim, a, b = heapq.heappop(heap)
+        if near.get(a, {}).get(b) != -sim or b not in near:
+            continue
+        low, high = min(spans[a][0], spans[b][0]), max(spans[a][1], spans[b][1])
+        if high - low > rt:
+            del near[a][b], near[b][a]            # spans only grow
+            continue
+        spans[a], lead[b] = (low, high), a
+        mine, other = near[a], near.pop(b)
+        for n in set(mine) | set(other):
+            if n not in (a, b):
+                near[n].pop(b, None)
+                near[n].pop(a, None)
+        near[a] = {n: min(s, mine[n]) for n, s in other.items() if n in mine and n != a}
+        for n, s in near[a].items():
+            near[n][a] = s
+            heapq.heappush(heap, (-s, *sorted((a, n))))
+    out = {}
+    for n in sorted(lead):                        # a cluster leads to its least member
+        out[n] = n if lead[n] == n else out[lead[n]]
+    return out
+
+
+def _merged(live: DataFrame, spans: DataFrame, rt: float) -> tuple[DataFrame, DataFrame]:
+    """One round: every pair that is the best of both its ends merges. Such a pair stays the best until it merges, whatever merges
+    beside it, so rounds end where one merge at a time does. Returns the links left and (label, into)."""
+    at = lambda c: spans.select(F.col("label").alias(c), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}"))
+    ok = live.join(at("a"), "a").join(at("b"), "b").filter(F.greatest("hi_a", "hi_b") - F.least("lo_a", "lo_b") <= rt)
+    ok = materialize(ok.select("a", "b", "sim"))
+    best = ok.select(F.explode(F.array("a", "b")).alias("end"), F.struct((-F.col("sim")).alias("far"), "a", "b").alias("k")).groupBy("end").agg(F.min("k").alias("k"))
+    chosen = materialize(best.groupBy("k.a", "k.b").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("a", "b"))
+    into = chosen.select(F.col("b").alias("label"), F.col("a").alias("into"))
+    for c in ("a", "b"):
+        ok = ok.join(into.withColumnRenamed("label", c), c, "left").withColumn(c, F.coalesce("into", c)).drop("into")
+    ok = ok.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"))
+    for c in ("a", "b"):
+        twice = chosen.select(F.col("a").alias(c), F.lit(2).alias(f"parts_{c}"))
+        ok = ok.join(twice, c, "left").withColumn(f"parts_{c}", F.coalesce(f"parts_{c}", F.lit(1)))
+    return materialize(ok.filter("n = parts_a * parts_b").select("a", "b", "sim")), into
+
+
+def redundancy_clusters(pairs: DataFrame, spectra: DataFrame, rt: float = PAIR_RT, task_links: int | None = None) -> DataFrame:
+    """(run_id, idx, cluster): complete linkage of linked spectra, time span at most ``rt``; a cluster is named by its least spectrum.
+
+    Groups of up to ``task_links`` links end in one task each. Larger ones merge by rounds of mutual best pairs as joins, until the
+    links left make smaller groups. Both give the clusters of merging one best pair at a time; no link is left out.
+    """
+    task_links = TASK_LINKS if task_links is None else task_links
+    key = lambda c: F.concat_ws(":", F.col("run_id").cast("string"), F.lpad(F.col(c).cast("string"), 12, "0"))
+    nodes = materialize(spectra.select(key("idx").alias("label"), F.col("run_id").cast("long").alias("run_id"), F.col("idx").cast("long").alias("idx"), F.col("rt").cast("double").alias("lo"), F.col("rt").cast("double").alias("hi")))
+    live = materialize(pairs.select(F.least(key("a"), key("b")).alias("a"), F.greatest(key("a"), key("b")).alias("b"), "sim"))
+    spans, moved, ended = nodes.select("label", "lo", "hi"), [], []
+    while live.limit(1).count():
+        ends = live.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        comp = materialize(connected_components(live.select("a", "b"), ends))
+        grouped = live.join(comp.withColumnRenamed("node", "a"), "a")
+        size = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        small, large = size.filter(F.col("n") <= task_links), size.filter(F.col("n") > task_links)
+        rows = grouped.select("component", "a", "b", "sim", F.lit(None).cast("double").alias("hi")).unionByName(
+            comp.join(spans, comp["node"] == spans["label"]).select("component", F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.col("lo").alias("sim"), "hi"))
+
+        def end(pdf: pd.DataFrame) -> pd.DataFrame:
+            own, links = pdf[pdf["b"].isna()], pdf[pdf["b"].notna()]
+            found = linkage(list(links[["a", "b", "sim"]].itertuples(index=False, name=None)), {n: (lo, hi) for n, lo, hi in own[["a", "sim", "hi"]].itertuples(index=False, name=None)}, rt)
+            return pd.DataFrame({"label": list(found), "into": list(found.values())})
+
+        ended.append(materialize(rows.join(small, "component", "left_semi").groupBy("component").applyInPandas(end, "label string, into string").filter("label <> into")))
+        left = materialize(grouped.join(large, "component", "left_semi").select("a", "b", "sim"))
+        if not left.limit(1).count():
+            break
+        live, into = _merged(left, spans, rt)
+        moved.append(into)
+        spans = materialize(spans.join(into, "label", "left").groupBy(F.coalesce("into", "label").alias("label")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    member = nodes.select("run_id", "idx", F.col("label").alias("name"))
+    # a label that has ended moves no more
+    steps = moved + [reduce(DataFrame.unionByName, ended)] if ended else []
+    for k, into in enumerate(steps):
+        member = member.join(into.withColumnRenamed("label", "name"), "name", "left").withColumn("name", F.coalesce("into", "name")).drop("into")
+        member = materialize(member) if k % 8 == 7 else member
+    return member.select("run_id", "idx", F.substring_index("name", ":", -1).cast("long").alias("cluster"))
 
 
 def qc_report(figures: DataFrame, section: str = "qc") -> DataFrame:
