@@ -14,6 +14,7 @@ ENZYMES = {
     "Glu-C": (True, "DE", ""), "Chymotrypsin": (True, "FWYL", "P"), "Lys-N": (False, "K", ""), "unspecific": (True, "", ""),
 }
 SEED, LONGEST = 4, 25
+AMMONIA = 17.0265491
 SUBSTITUTION_ORDER = "GASPVTCLNDQKEMHFRYW"
 
 
@@ -190,42 +191,48 @@ def interpret_delta(placements: DataFrame, mods: DataFrame, tol: float) -> DataF
 
 
 def localize(placements: DataFrame, peaks: DataFrame, tol: float, ppm: bool = False, fixed: dict[str, float] | None = None,
-             key: list[str] = ["run_id", "idx"], charges: int = 1, unique: bool = False) -> DataFrame:
-    """Best site of the gap: id, loc_site (peptide-local), loc_score, loc_ties, loc_lead.
+             key: list[str] = ["run_id", "idx"], charges: int = 1, unique: bool = False, model: str | None = None) -> DataFrame:
+    """Best site of the gap: id, loc_site (peptide-local), loc_score, loc_ties, loc_lead, loc_excluded.
 
-    For every region residue the b and y ions are placed as if the gap sat there and the explained peaks
-    counted (``unique``: distinct peaks). Only ions ending inside the region differ between sites, and
-    each ion is looked up once plain and once shifted.
+    For every region residue the b and y ions are placed as if the gap sat there and what they explain is counted: matched ions
+    (``count``), distinct peaks (``unique``), or distinct peaks without those of shifted ions that stand where an unshifted ion found at
+    the same charge would lose water or ammonia (``strict``; loc_excluded counts them). Each ion is looked up once plain and once
+    shifted; a placement's matches are one array, over which its sites are scored.
     """
+    model = model or ("unique" if unique else "count")
+    if model not in ("count", "unique", "strict"):
+        raise ValueError(model)
     p = placements.filter("region_hi >= region_lo").withColumn("L", F.length("peptide")).withColumn("_pre", S.prefix_masses("peptide", fixed))
-    cut = p.withColumn("i", F.explode(F.sequence(F.greatest(F.lit(1), F.col("region_lo") + 1), F.least(F.col("L") - 1, F.col("region_hi") + 1))))
-    pre = F.element_at("_pre", F.col("i") + 1)
-    total = F.element_at("_pre", -1)
-    ions = F.explode(F.array(
-        F.struct(F.lit("b").alias("kind"), F.lit(0).alias("shifted"), pre.alias("m")),
-        F.struct(F.lit("b").alias("kind"), F.lit(1).alias("shifted"), (pre + F.col("delta_mass")).alias("m")),
-        F.struct(F.lit("y").alias("kind"), F.lit(0).alias("shifted"), (total - pre + K.WATER).alias("m")),
-        F.struct(F.lit("y").alias("kind"), F.lit(1).alias("shifted"), (total - pre + K.WATER + F.col("delta_mass")).alias("m"))))
-    ion = cut.select("id", *key, "region_lo", "region_hi", "i", ions.alias("ion")).withColumn(
-        "z", F.explode(F.sequence(F.lit(1), F.lit(charges))))
-    ion = ion.select("id", *key, "region_lo", "region_hi", "i", "z", "ion.kind", "ion.shifted", ((F.col("ion.m") + F.col("z") * K.PROTON) / F.col("z")).alias("want"))
+    cut = p.filter("L > 1").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("L") - 1)))
+    pre, total = F.element_at("_pre", F.col("i") + 1), F.element_at("_pre", -1)
+    ions = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(shifted).alias("shifted"), (mass + F.col("delta_mass") if shifted else mass).alias("m"))
+                               for kind, mass in (("b", pre), ("y", total - pre + K.WATER)) for shifted in (0, 1)]))
+    ion = cut.select("id", *key, "i", ions.alias("ion")).withColumn("z", F.explode(F.sequence(F.lit(1), F.lit(charges))))
+    ion = ion.select("id", *key, "i", "z", "ion.*", ((F.col("ion.m") + F.col("z") * K.PROTON) / F.col("z")).alias("want"))
     t = S.tolerance("want", tol, ppm)
     hit = range_join(ion, peaks.select(*key, F.col("mz").alias("mz_p")), key, F.col("want") - t, F.col("want") + t, "mz_p", 2.0)
-    hit = hit.groupBy("id", "region_lo", "region_hi", "i", "z", "kind", "shifted").agg(
-        F.min_by("mz_p", F.struct(F.abs(F.col("mz_p") - F.col("want")), F.col("mz_p"))).alias("peak"))
+    hit = hit.groupBy("id", "i", "z", "kind", "shifted").agg(
+        F.min_by("mz_p", F.struct(F.abs(F.col("mz_p") - F.col("want")), F.col("mz_p"))).alias("peak"), F.first("m").alias("m"), F.first(S.tolerance("want", tol, ppm) * F.col("z")).alias("tol"))
+    found = hit.groupBy("id").agg(F.collect_list(F.struct("i", "z", "kind", "shifted", "peak", "m", "tol")).alias("all"))
+    if model == "strict":
+        lost = lambda h, u: (u.shifted == 0) & (u.z == h.z) & ((F.abs(u.m - K.WATER - h.m) <= h.tol) | (F.abs(u.m - AMMONIA - h.m) <= h.tol))
+        kept = F.filter("all", lambda h: (h.shifted == 0) | ~F.exists("all", lambda u: lost(h, u)))
+    else:
+        kept = F.col("all")
+    per = p.select("id", "region_lo", "region_hi").join(found.withColumn("kept", kept), "id", "left")
     # a cut after i residues carries the gap in b when the site j < i, in y when j >= i
-    site = hit.withColumn("j", F.explode(F.sequence("region_lo", "region_hi")))
-    carries = F.when(F.col("kind") == "b", (F.col("j") < F.col("i")).cast("int")).otherwise((F.col("j") >= F.col("i")).cast("int"))
-    site = site.filter(F.col("shifted") == carries)
-    score = (F.countDistinct("peak") if unique else F.count(F.lit(1))).alias("score")
-    sc = site.groupBy("id", "j").agg(score)
-    allj = p.select("id", F.explode(F.sequence("region_lo", "region_hi")).alias("j"))
-    sc = allj.join(sc, ["id", "j"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
-    w = W.partitionBy("id")
-    sc = sc.withColumn("_top", F.max("score").over(w))
-    return sc.groupBy("id").agg(F.min(F.when(F.col("score") == F.col("_top"), F.col("j"))).alias("loc_site"), F.max("score").alias("loc_score"),
-                                F.count_if(F.col("score") == F.col("_top")).alias("loc_ties"),
-                                (F.max("score") - F.coalesce(F.max(F.when(F.col("score") < F.col("_top"), F.col("score"))), F.lit(0))).alias("loc_lead"))
+    carries = lambda h, j: F.when(h.kind == "b", (j < h.i).cast("int")).otherwise((j >= h.i).cast("int"))
+
+    def score(j):
+        own = F.filter("kept", lambda h: h.shifted == carries(h, j))
+        return F.size(own if model == "count" else F.array_distinct(F.transform(own, lambda h: h.peak)))
+
+    per = per.withColumn("kept", F.coalesce("kept", F.array().cast(found.withColumn("kept", kept).schema["kept"].dataType)))
+    per = per.withColumn("s", F.transform(F.sequence("region_lo", "region_hi"), score)).withColumn("top", F.array_max("s"))
+    rival = F.array_max(F.filter("s", lambda x: x < F.col("top")))
+    return per.select("id", (F.col("region_lo") + F.array_position("s", F.col("top")) - 1).cast("int").alias("loc_site"), F.col("top").cast("long").alias("loc_score"),
+                      F.size(F.filter("s", lambda x: x == F.col("top"))).cast("long").alias("loc_ties"), (F.col("top") - F.coalesce(rival, F.lit(0))).cast("long").alias("loc_lead"),
+                      (F.coalesce(F.size("all"), F.lit(0)) - F.size("kept")).cast("long").alias("loc_excluded"))
 
 
 def classify_placement(nterm_match: Column, cterm_match: Column, delta: Column, fixed_n: float, fixed_c: float, tol: float) -> Column:

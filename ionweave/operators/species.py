@@ -110,6 +110,32 @@ def decoy_tags(tags: DataFrame, n_decoys: int = 1) -> DataFrame:
     return d.withColumn("decoy_seq", ok).drop("_m").filter("decoy_seq IS NOT NULL")
 
 
+def kmer_decoys(tags: DataFrame, kmer_taxa: DataFrame, k: int = 7, n_decoys: int = 1, share_cap: int | None = None, margin: float = 0.0) -> DataFrame:
+    """(seq, decoy, decoy_seq, taxa): the decoys of each distinct tag of exactly ``k`` letters, and the taxa that carry them.
+
+    The permutation belongs to the k-mer, so a k-mer has the same decoys in every run. Longer tags have none: independent decoys of
+    their k-mers would lose the overlaps, and a shuffle of the whole tag would not be keyed by k-mer. A tag whose letters allow no decoy
+    has decoy NULL.
+    """
+    own = tags.select(F.translate("seq", "I", "L").alias("seq")).filter(F.length("seq") == k).distinct()
+    d = materialize(decoy_tags(own, n_decoys).select("seq", "decoy", "decoy_seq"))
+    found = tag_support(d.select(F.col("decoy_seq").alias("seq")), kmer_taxa, k, share_cap, margin)
+    found = found.groupBy(F.col("seq").alias("decoy_seq")).agg(F.array_sort(F.collect_set("taxon")).alias("taxa"))
+    met = own.join(d, "seq", "left").join(found, "decoy_seq", "left")
+    return met.select("seq", "decoy", "decoy_seq", F.coalesce("taxa", F.array().cast(found.schema["taxa"].dataType)).alias("taxa"))
+
+
+def decoy_rates(tags: DataFrame, decoys: DataFrame, k: int = 7) -> DataFrame:
+    """(run_id, tags, no_decoy, decoys, supported, rate): tags of a run, those without a decoy (another length, or none possible), the
+    decoys looked up for the others and how many found a taxon; a tag counts as often as it occurs."""
+    per = decoys.groupBy("seq").agg(F.count("decoy").alias("n"), F.count_if(F.col("decoy").isNotNull() & (F.size("taxa") > 0)).alias("hit"))
+    t = tags.select("run_id", F.translate("seq", "I", "L").alias("seq")).groupBy("run_id", "seq").agg(F.count(F.lit(1)).alias("c"))
+    j = t.join(per, "seq", "left").select("run_id", "c", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hit", F.lit(0)).alias("hit"))
+    g = j.groupBy("run_id").agg(F.sum("c").alias("tags"), F.sum(F.when(F.col("n") == 0, F.col("c")).otherwise(0)).alias("no_decoy"),
+                                F.sum(F.col("c") * F.col("n")).alias("decoys"), F.sum(F.col("c") * F.col("hit")).alias("supported"))
+    return g.withColumn("rate", F.when(F.col("decoys") > 0, F.col("supported") / F.col("decoys")))
+
+
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(taxid, anc, dist): every node with itself and all its ancestors, by pointer doubling.
 

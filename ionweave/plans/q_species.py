@@ -100,6 +100,13 @@ def x7(spark, sf):
     return d.groupBy("run_id", "decoy").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decoy_seq") == F.col("seq")).alias("same"))
 
 
+@query("X7_kmer_decoys")
+def x7b(spark, sf):
+    """Decoy rates per run of tags of seven and nine letters; its twin is in the tests."""
+    t = V.db_tags(spark, sf, 7).unionByName(V.db_tags(spark, sf, 9))
+    return X.decoy_rates(t, X.kmer_decoys(t, kmer_taxa(spark, sf), 7, 3))
+
+
 @query("X8_ancestors", V.cte(gr=GROUPS, nodes=Q_NODES, anc=Q_ANC) + "SELECT taxid, anc, dist FROM anc")
 def x8(spark, sf):
     return X.ancestors(nodes(spark, sf))
