@@ -21,9 +21,9 @@ SUBSTITUTION_ORDER = "GASPVTCLNDQKEMHFRYW"
 def locate(tags: DataFrame, proteins: DataFrame, both: bool = True, rules: DataFrame | None = None) -> DataFrame:
     """Every occurrence of a tag (4 to 25 residues): seq, accession, pos (0-based), len, reversed.
 
-    Proteins are read once for all lengths. Each position is met with the seeds of the tags (their first four residues, a table that the
-    alphabet bounds) and goes on only with the lengths that tags of its seed have, as whole k-mers, so common seeds never meet by
-    themselves; each distinct tag is looked up once.
+    Proteins are read once for all lengths. Where tags have several, each position is met with their seeds (the first four residues, a
+    table that the alphabet bounds) and goes on only with the lengths that tags of its seed have, as whole k-mers, so common seeds never
+    meet by themselves; each distinct tag is looked up once.
     """
     seqs = tags.select("seq").distinct().filter(F.length("seq").between(SEED, LONGEST))
     base = seqs.withColumn("reading", F.col("seq")) if rules is None else readings(seqs, rules)
@@ -32,14 +32,18 @@ def locate(tags: DataFrame, proteins: DataFrame, both: bool = True, rules: DataF
         flip = base.withColumn("kmer", F.reverse("kmer")).withColumn("reversed", F.lit(True))
         base = base.unionByName(flip.filter(F.col("seq") != F.reverse("seq")))
     base = materialize(base.withColumn("len", F.length("kmer")))
-    seed = F.substring("kmer", 1, SEED)
-    # readings may spell any letters; proteins hold those of the alphabet only
-    seeds = base.filter(seed.rlike(f"^[{SUBSTITUTION_ORDER}]+$")).groupBy(seed.alias("seed")).agg(F.collect_set("len").alias("lens"))
-    ahead = F.regexp_extract_all("sequence", F.lit(f"(?=(.{{{SEED},{LONGEST}}}))"), F.lit(1))
-    at = proteins.select("accession", F.posexplode(ahead).alias("pos", "ahead")).withColumn("seed", F.substring("ahead", 1, SEED))
-    at = at.join(F.broadcast(seeds), "seed").select("accession", "pos", "ahead", F.explode("lens").alias("len"))
-    at = at.select("accession", "pos", F.expr("substring(ahead, 1, len)").alias("kmer"), "len").filter("length(kmer) = len AND NOT contains(kmer, '#')")
-    out = base.join(wanted_only(at.drop("len"), base), "kmer")
+    lo, hi = base.agg(F.min("len"), F.max("len")).first()
+    lo, hi = lo or SEED, hi or SEED
+    ahead = F.regexp_extract_all("sequence", F.lit(f"(?=(.{{{lo},{hi}}}))"), F.lit(1))
+    at = proteins.select("accession", F.posexplode(ahead).alias("pos", "kmer"))
+    if lo < hi:
+        # readings may spell any letters; proteins hold those of the alphabet only
+        seed = F.substring("kmer", 1, SEED)
+        seeds = base.filter(seed.rlike(f"^[{SUBSTITUTION_ORDER}]+$")).groupBy(seed.alias("seed")).agg(F.collect_set("len").alias("lens"))
+        at = at.withColumn("seed", seed).join(F.broadcast(seeds), "seed").select("accession", "pos", "kmer", F.explode("lens").alias("len"))
+        at = at.filter("length(kmer) >= len").select("accession", "pos", F.expr("substring(kmer, 1, len)").alias("kmer"))
+    at = at.filter("NOT contains(kmer, '#')")
+    out = base.join(wanted_only(at, base), "kmer")
     return out.select("seq", "accession", "pos", "len", "reversed").distinct()
 
 

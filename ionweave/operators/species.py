@@ -60,7 +60,7 @@ def tag_support(tags: DataFrame, kmer_taxa: DataFrame, k: int = 7, share_cap: in
     """
     seqs = tags.select("seq").distinct().filter(F.length("seq") >= k)
     km = seqs.select("seq", F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?=(.{{{k}}}))"), F.lit(1))).alias("i", "kmer"))
-    wanted = wanted_only(kmer_taxa, km)
+    wanted = materialize(wanted_only(kmer_taxa, km))   # read twice below, and small beside the index
     n = wanted.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n"))
     ev = km.join(n, "kmer", "left")
     wide = F.col("_n") > share_cap if share_cap is not None else F.lit(False)

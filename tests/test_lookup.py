@@ -59,7 +59,8 @@ def test_database_is_pruned_before_its_exchange(spark, data, tmp_path):
     _, _, p, df = data
     p.write.parquet(f"{tmp_path}/prot")
     p = spark.read.parquet(f"{tmp_path}/prot")
-    for found in (L.locate(df, p), X.tag_support(df, X.build_kmer_taxa(p, 5), 5)):
+    keys = df.select(F.substring("seq", 1, 5).alias("kmer"))
+    for found in (L.locate(df, p), L.locate(df.filter("length(seq) = 5"), p), D.wanted_only(X.build_kmer_taxa(p, 5), keys)):
         above = exchanges_of(found, f"{tmp_path}/prot")
         assert "BroadcastHashJoin" in "".join(above)
         first = next(k for k, line in enumerate(above) if "BroadcastHashJoin" in line)
