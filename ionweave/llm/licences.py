@@ -3,7 +3,7 @@
 A text becomes its words (ASCII letters lowered, everything that is no letter or digit or beyond ASCII separates).
 Rules are hand-written names of licences put into hand-written forms of speech: a notice, a grant, an identifier, an
 address, a bare name. Names that carry the licence word, a version or an acronym stand for themselves. A rule
-runs only on texts that hold its keyword, and texts without the gate of any rule run none. Every detection is an
+runs only on texts that hold the gate of its keyword and of its form, and texts without the gate of any rule run none. Every detection is an
 interval of words; it is suppressed if a detection of higher priority (or of the same rule's priority, but longer)
 contains it. What is left gives the labels, its strongest rule the score.
 
@@ -131,25 +131,33 @@ PHRASES = [
     ("unlicense", "free and unencumbered", "free and unencumbered software released into the public domain", 85, 1.0),
 ]
 
-#: What a text must hold for rules of these keywords, where the keyword itself is too common or not always a word.
-GATES = {"2": "gpl|general public", "3": "gpl|general public", "g": "gpl|general public", "l": "lgpl|general public", "a": "agpl|general public", "2 1": "lgpl|general public",
-         "bsd": "bsd", "mit": r"\bmit\b", "isc": r"\bisc\b", "x11": r"\bx11\b", "mpl": r"\bmpl", "epl": r"\bepl", "cpl": r"\bcpl", "bsl": r"\bbsl", "ofl": r"\bofl", "ms pl": r"\bms pl\b",
-         "2 0": r"(?:python|psf) 2 0", "documentation": "free documentation", "common": "common development", "python": "python software", "gnu": "gnu org", "opensource": "opensource org",
-         "as is": "provided as is", "proprietary": "proprietary (?:and|licen[sc])", "not be ": "not be (?:repro|copied|redis)"}
+#: With what, at the start of a word, a text must go on somewhere for rules of these keywords; other keywords are that themselves.
+GATES = {"2": "gpl|general public", "3": "[al]?gpl|general public", "g": "gpl|general public", "l": "lgpl|general public", "a": "agpl|general public", "2 1": "lgpl|general public",
+         "bsd": "(?:free|0)?bsd", "mit": "mit ", "isc": "isc ", "x11": "x11 ", "ms pl": "ms pl ", "2 0": "(?:python|psf) 2 0", "documentation": "free documentation",
+         "common": "common development", "python": "python software", "gnu": "gnu org", "opensource": "opensource org", "as is": "provided as is",
+         "proprietary": "proprietary (?:and|licen[sc])", "not be ": "not be (?:repro|copied|redis)"}
+
+#: What a form needs besides the gate of the name.
+FORM_GATES = {"identifier": "spdx", "grant": "under", "grant of a work": "(?:subject to|governed by|according to)", "notice": "(?:see|read)"}
 
 
 def gate(keyword: str) -> str:
     return GATES.get(keyword, keyword)
 
 
+def _with_forms() -> list[tuple[str, str, str, int, float, str]]:
+    """The rules and their forms; a phrase has the form ''."""
+    out = [(label, keyword, f"{NOT_AFTER}{name}(?: {LICENCE})?" if form == "name" and label in BARE else words.format(name), priority, weight, form)
+           for label, keyword, name in FAMILIES for form, words, priority, weight in FORMS]
+    return sorted(out + [(*r, "") for r in PHRASES], key=lambda r: -r[3])
+
+
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, keyword, pattern, priority, weight) of every rule, in order of priority."""
-    out = [(label, keyword, f"{NOT_AFTER}{name}(?: {LICENCE})?" if form == "name" and label in BARE else words.format(name), priority, weight)
-           for label, keyword, name in FAMILIES for form, words, priority, weight in FORMS]
-    return sorted(out + PHRASES, key=lambda r: -r[3])
+    return [r[:5] for r in _with_forms()]
 
 
-#: Texts without any of these run no rule: the gates of all rules, and the base phrases.
+#: Texts without any of these run no rule and hold no base phrase: the gates of all rules, and the base phrases.
 ROOTS = tuple(dict.fromkeys([*(gate(r[1]) for r in rules()), *BASE]))
 
 
@@ -163,23 +171,45 @@ def _quoted(s: str) -> str:
 
 
 def _rules_sql() -> str:
-    return "array(" + ",".join(f"named_struct('label',{_quoted(a)},'keyword',{_quoted(k)},'pattern',{_quoted(pattern(p))},'priority',{n},'weight',{w}D)"
-                               for a, k, p, n, w in rules()) + ")"
+    return "array(" + ",".join(f"named_struct('label',{_quoted(a)},'pattern',{_quoted(pattern(p))},'priority',{n},'weight',{w}D)" for a, _, p, n, w in rules()) + ")"
+
+
+def _starts(words: str) -> str:
+    return f"_low rlike {_quoted(f' (?:{words})')}"
+
+
+def _roots() -> str:
+    """The roots as one pattern, by first character."""
+    heads: dict[str, list[str]] = {}
+    for g in ROOTS:
+        for words in (g.split("|") if "(" not in g else [g]):
+            heads.setdefault(words[0] if words[0].isalnum() else "", []).append(words)
+    return "|".join(f"{h}(?:{'|'.join(w[len(h):] for w in dict.fromkeys(words))})" for h, words in heads.items())
+
+
+def _hits_sql() -> str:
+    """Numbers of the rules that a text _low holds. Patterns stand as literals, each behind the gates of its name and form."""
+    groups: dict[tuple[str, str], list[str]] = {}
+    for i, (_, keyword, words, _, _, form) in enumerate(_with_forms()):
+        groups.setdefault((gate(keyword), FORM_GATES.get(form, "")), []).append(f"if(_low rlike {_quoted(pattern(words))}, {i}, null)")
+    names: dict[str, list[str]] = {}
+    for (g, f), tests in groups.items():
+        some = f"array({','.join(tests)})"
+        names.setdefault(g, []).append(f"if({_starts(f)}, {some}, _none)" if f else some)
+    return "array_compact(concat(" + ",".join(f"if({_starts(g)}, concat({','.join(some)}), _none)" for g, some in names.items()) + "))"
 
 
 _SPACES = "length({0}) - length(replace({0}, ' ', ''))"
 
-#: Detections of a text _low: first word, word after the last, label, priority, weight. The words before a match are those
-#: in the pieces and matches before it.
+#: Detections in a text _low by the rules _hits: first word, word after the last, label, priority, weight. The words before a
+#: match are those in the pieces and matches before it.
 _FOUND = f"""
-flatten(transform(filter({{rules}}, r -> contains(_low, r.keyword)), r ->
-  if(_low rlike r.pattern,
+flatten(transform(transform(_hits, i -> {{rules}}[i]), r ->
     aggregate(zip_with(split(_low, r.pattern), regexp_extract_all(_low, r.pattern, 0), (s, m) -> struct({_SPACES.format('s')} as s, {_SPACES.format('m')} as m)),
       named_struct('at', 0, 'found', cast(array() as array<struct<a: int, z: int, label: string, priority: int, weight: double>>)),
       (t, x) -> named_struct('at', t.at + x.s + coalesce(x.m, 0),
         'found', if(x.m is null, t.found, concat(t.found, array(named_struct('a', t.at + x.s, 'z', t.at + x.s + x.m, 'label', r.label, 'priority', r.priority, 'weight', r.weight))))),
-      t -> t.found),
-    cast(array() as array<struct<a: int, z: int, label: string, priority: int, weight: double>>))))
+      t -> t.found)))
 """
 
 _LEFT = """
@@ -193,8 +223,7 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
     out = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], words.alias("_words"))
     out = out.withColumn("n_words", F.when(F.col("_words") == "", F.lit(0)).otherwise(F.expr(_SPACES.format("_words") + " + 1")).cast("long"))
-    roots = "(?i)" + "|".join(ROOTS)
-    out = out.withColumn("_low", F.when(F.col("_words").rlike(roots), F.concat(F.lit(" "), F.translate("_words", upper, lower), F.lit(" ")))).drop("_words")
+    out = out.withColumn("_low", F.concat(F.lit(" "), F.translate("_words", upper, lower), F.lit(" "))).withColumn("_low", F.when(F.expr(_starts(_roots())), F.col("_low"))).drop("_words")
     for i, phrase in enumerate(BASE):
         out = out.withColumn(f"_b{i}", F.split("_low", pattern(phrase)))      # one piece more than there are places
     firsts, lasts = [], []
@@ -207,7 +236,8 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     out = (out.withColumn("n_base", F.when(F.col("_low").isNull(), F.lit(0)).otherwise(count).cast("long"))
            .withColumn("first_word", F.least(*firsts).cast("long")).withColumn("last_word", F.greatest(*lasts).cast("long"))
            .withColumn("_base", base).drop(*[f"_b{i}" for i in range(len(BASE))])
-           .withColumn("_found", F.when(F.col("_low").isNotNull(), F.expr(_FOUND.format(rules=_rules_sql())))).withColumn("_left", F.expr(_LEFT)))
+           .withColumn("_none", F.array().cast("array<int>")).withColumn("_hits", F.when(F.col("_low").isNotNull(), F.expr(_hits_sql())))
+           .withColumn("_found", F.when(F.size("_hits") > 0, F.expr(_FOUND.format(rules=_rules_sql())))).withColumn("_left", F.expr(_LEFT)))
     labels = F.array_sort(F.array_distinct(F.concat("_base", F.coalesce(F.expr("transform(_left, d -> d.label)"), F.array().cast("array<string>")))))
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_base", "first_word", "last_word",
                       F.array_join(F.array_sort(F.array_distinct("_base")), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
