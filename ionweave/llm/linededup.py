@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionweave.llm.base import columns_only, query, table, written
@@ -36,43 +36,45 @@ class LineParams:
 #: A line without outer blanks, tokens with digits masked, single spaces.
 MASK = r"""trim(regexp_replace(if(x rlike '[0-9]', regexp_replace(x, '[^ \t\r]*[0-9][^ \t\r]*', '<*>'), x), '[ \t\r]+', ' '))"""
 
-def _masked(docs: DataFrame) -> DataFrame:
-    """Adds _masks (the masked lines in order) and _sig: two least hashes of the words of nine letters and more; a text
-    without such words is signed by itself."""
-    hashes = F.expr(r"transform(array_distinct(filter(split(text, '[ \n]+'), w -> length(w) >= 9)), w -> md5(w))")
-    out = docs.withColumn("_masks", F.expr(rf"transform(split(text, '\n'), x -> {MASK})")).withColumn("_hashes", hashes)
-    sig = F.expr("coalesce(concat(array_min(_hashes), array_min(transform(_hashes, h -> substr(h, 17)))), md5(text))")
-    return out.withColumn("_sig", F.xxhash64(sig)).drop("_hashes")
+def _key() -> list[Column]:
+    """_id and _hash: rows that agree in both have the same id and text."""
+    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash")]
 
 
-def _lines(masked: DataFrame, depth: int) -> DataFrame:
-    """_sig, t, h (hash of the masked line) and leaf of every distinct masked line of every document."""
-    each = masked.select("_sig", F.explode(F.expr("array_distinct(filter(_masks, x -> x <> ''))")).alias("t"))
-    return each.select("_sig", "t", F.xxhash64("t").alias("h"),
-                       F.xxhash64(F.size(F.split("t", " ")), F.expr(f"array_join(slice(split(t, ' '), 1, {depth}), ' ')")).alias("leaf"))
+def _parsed(docs: DataFrame, depth: int) -> DataFrame:
+    """_id, _hash, _sig, t (masked line), h (its hash) and leaf of every distinct masked line of every row, masked once for all
+    that follows. _sig: two least hashes of the words of nine letters and more; a text without such words is signed by itself."""
+    hashes = F.expr(r"transform(array_distinct(filter(split(text, '[ \n]+'), w -> length(w) >= 9)), w -> md5(w))")
+    sig = F.expr("coalesce(concat(array_min(_hashes), array_min(transform(_hashes, h -> substr(h, 17)))), md5(text))")
+    masks = F.expr(rf"array_distinct(filter(transform(split(text, '\n'), x -> {MASK}), x -> x <> ''))")
+    each = (docs.select(*_key(), "text", hashes.alias("_hashes"), masks.alias("_masks"))
+            .select("_id", "_hash", F.xxhash64(sig).alias("_sig"), F.explode("_masks").alias("t")))
+    return each.select("*", F.xxhash64("t").alias("h"), F.xxhash64(F.size(F.split("t", " ")), F.expr(f"array_join(slice(split(t, ' '), 1, {depth}), ' ')")).alias("leaf"))
 
 
 def _often(counted: DataFrame, p: LineParams) -> DataFrame:
     return counted.filter(f"sigs >= {p.min_documents} and sigs >= {p.share} * docs")
 
 
-def recurring(docs: DataFrame, p: LineParams) -> DataFrame:
-    """The hashes h of the masked lines that recurring templates cover."""
-    lines = _lines(_masked(docs), p.depth)
-    counted = written(lines.groupBy("h", "leaf", "_sig").agg(F.count("*").alias("n")), "lines")
+def recurring(lines: DataFrame, p: LineParams) -> DataFrame:
+    """The hashes h of the masked lines that recurring templates cover. Lines go by their hashes; texts are looked up for the
+    leaves that many documents share."""
+    counted = written(lines.groupBy("h", "leaf", "_sig").agg(F.count("*").alias("n")), "line-counts")
     whole = written(_often(counted.groupBy("h").agg(F.count("*").alias("sigs"), F.sum("n").alias("docs")), p).select("h"), "whole-lines")
     rest = counted.join(whole, "h", "left_anti")
-    leaves = (rest.groupBy("leaf", "_sig").agg(F.sum("n").alias("n")).groupBy("leaf").agg(F.count("*").alias("sigs"), F.sum("n").alias("docs"))
-              .filter(f"sigs >= {p.min_documents}").select("leaf", "docs"))
-    kept = written(lines.join(leaves, "leaf").join(whole, "h", "left_anti").groupBy("leaf", "h", "t", "_sig", "docs").agg(F.count("*").alias("n")), "leaf-lines")
-    tokens = kept.groupBy("leaf", "h", "t", "docs").agg(F.sum("n").alias("n")).select("leaf", "docs", "n", F.posexplode(F.split("t", " ")).alias("pos", "token"))
+    leaves = written(rest.groupBy("leaf", "_sig").agg(F.sum("n").alias("n")).groupBy("leaf").agg(F.count("*").alias("sigs"), F.sum("n").alias("docs"))
+                     .filter(f"sigs >= {p.min_documents}").select("leaf", "docs"), "leaves")
+    kept = written(counted.join(leaves, "leaf").join(whole, "h", "left_anti"), "leaf-lines")
+    texts = lines.select("leaf", "h", "t").join(leaves.select("leaf"), "leaf", "left_semi").join(whole, "h", "left_anti").select("leaf", "h", "t").distinct()
+    told = written(kept.groupBy("leaf", "h", "docs").agg(F.sum("n").alias("n")).join(texts, ["leaf", "h"]), "leaf-texts")
+    tokens = told.select("leaf", "docs", "n", F.posexplode(F.split("t", " ")).alias("pos", "token"))
     constants = (tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"), F.first("docs").alias("docs")).filter(f"n >= {p.support} * docs")
                  .groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("m")).groupBy("leaf")
                  .agg(F.sort_array(F.collect_list(F.struct("pos", F.col("m.token").alias("token")))).alias("fixed"))     # a line's length at most
                  .filter(f"size(fixed) > {p.depth}"))
-    covered = (kept.join(constants, "leaf").withColumn("_tokens", F.split("t", " "))
-               .filter("2 * size(fixed) >= size(_tokens) and forall(fixed, f -> _tokens[f.pos] = f.token)"))
-    often = _often(covered.groupBy("leaf", "_sig").agg(F.sum("n").alias("n")).groupBy("leaf").agg(F.count("*").alias("sigs"), F.sum("n").alias("docs")), p)
+    covered = written(told.join(constants, "leaf").withColumn("_tokens", F.split("t", " "))
+                      .filter("2 * size(fixed) >= size(_tokens) and forall(fixed, f -> _tokens[f.pos] = f.token)").select("leaf", "h"), "covered")
+    often = _often(kept.join(covered, ["leaf", "h"]).groupBy("leaf", "_sig").agg(F.sum("n").alias("n")).groupBy("leaf").agg(F.count("*").alias("sigs"), F.sum("n").alias("docs")), p)
     return whole.unionAll(covered.join(often.select("leaf"), "leaf", "left_semi").select("h").distinct())
 
 
@@ -80,13 +82,11 @@ def drop_recurring_lines(docs: DataFrame, params: LineParams = LineParams(), lin
     """``docs`` with ``text`` cleaned, and the numbers of lines and of dropped lines under these names."""
     columns = docs.columns
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], F.col("doc_id"), F.col("text"))
-    found = written(recurring(own.select("doc_id", "text"), params), "recurring")
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash")]
-    hits = (_masked(own.select("doc_id", "text")).select(*key, F.explode(F.expr("array_distinct(filter(_masks, x -> x <> ''))")).alias("t"))
-            .select("_id", "_hash", F.xxhash64("t").alias("h")).join(found, "h", "left_semi")
-            .groupBy("_id", "_hash").agg(F.collect_set("h").alias("_drop")))                           # lines of one text at most
+    parsed = written(_parsed(own.select("doc_id", "text"), params.depth), "lines")
+    found = written(recurring(parsed, params), "recurring")
+    hits = parsed.select("_id", "_hash", "h").join(found, "h", "left_semi").groupBy("_id", "_hash").agg(F.collect_set("h").alias("_drop"))    # lines of one text at most
     stays = rf"filter(split(text, '\n'), x -> not coalesce(array_contains(_drop, xxhash64({MASK})), false))"
-    return (own.select("*", *key).join(hits, ["_id", "_hash"], "left")
+    return (own.select("*", *_key()).join(hits, ["_id", "_hash"], "left")
             .withColumn("_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))))
             .withColumn("_stay", F.when(F.col("_drop").isNull(), F.lit(None)).otherwise(F.expr(stays)))
             .withColumn("_dropped", F.when(F.col("_stay").isNull(), 0).otherwise(F.col("_lines") - F.size("_stay")))
