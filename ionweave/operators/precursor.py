@@ -5,7 +5,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ionweave.functions import constants as K
+from ionweave.functions import constants as K, scalar as S
 from ionweave.operators.core import Scan, lookback, ordered_scan, range_join
 from ionweave.session import materialize
 
@@ -21,6 +21,7 @@ INFER_MARGIN, HEADER_MARGIN = 2.0, 6.0
 MS1_PPM, MS1_FIRST_MIN, MS1_SUPPORT_MIN = 10.0, 0.15, 0.05
 # Complement tolerance estimate.
 AUTO_Z, MAD_TO_SD, MIN_SIGNAL, MIN_TOL, FLOOR_FROM = 1.96, 1.4826, 40.0, 0.001, 2.0 / 3.0
+WINDOW_FACTOR, WINDOW_MIN, WINDOW_MAX = 6.0, 0.1, 0.9
 
 
 def charge_candidates(spectra: DataFrame, mode: str = "assume2", zmin: int = 2, zmax: int = 4) -> DataFrame:
@@ -250,6 +251,32 @@ def precursor_hypotheses(spectra: DataFrame, peaks: DataFrame, tol: float, param
     return h.select(*KEY, "hypothesis", "n_hyp", "z", "charge_src", "selected", "iso", F.when(F.col("iso") == 0, F.col("precursor_mz")).otherwise(moved).alias("precursor_mz"))
 
 
+def measurement_window(frag_tol: float, tol_ppm: bool) -> float:
+    """Half-width in Da of the window that errors are gathered in: some fragment tolerances at m/z 1000, within bounds."""
+    return min(max(WINDOW_FACTOR * (1e-3 * frag_tol if tol_ppm else frag_tol), WINDOW_MIN), WINDOW_MAX)
+
+
+def complement_errors(ends: DataFrame, prepared: DataFrame, window: float, rule: str = "same", series: str = "by") -> DataFrame:
+    """(run_id, idx, mz, err): signed distance in Da of the nearest peak from the partner position of a tag's end peak.
+
+    ``ends``: run_id, idx, z (fragment charge) and mz of the end peaks; ``prepared``: the peaks of the tagging, with mass and
+    charge_used. An end whose nearest peak is itself has no partner under that rule; of several rules the closest counts (ties to
+    the first, and at equal distance to the higher peak). Ends without a peak inside the window give no row, equal ends one.
+    """
+    pair = K.ION_PAIRS[series]
+    rules = {"same": ["same"], "precursor": ["precursor"], "both": ["same", "precursor"]}[rule]
+    whole = prepared.join(ends.select(*KEY).distinct(), KEY, "left_semi")
+    facts = whole.groupBy(*KEY).agg(F.first("mass").alias("mass"), F.first("charge_used").alias("charge_used")).filter("mass > 0")
+    probe = ends.select(*KEY, "z", "mz").distinct().join(facts, KEY)
+    at = [S.complement_mz(F.col("mass") + F.lit(pair["delta"]), F.col("charge_used") - F.lit(pair["charge_loss"]), F.col("z"), F.col("mz"), r) for r in rules]
+    probe = probe.select(*KEY, "z", "mz", F.posexplode(F.array(*at)).alias("r", "want")).filter("want IS NOT NULL")
+    peaks = whole.select(*KEY, F.col("mz").alias("mz_q")).distinct()
+    hit = range_join(probe, peaks, KEY, F.col("want") - window, F.col("want") + window, "mz_q", 2.0)
+    near = hit.groupBy(*KEY, "z", "mz", "r", "want").agg(F.min_by("mz_q", F.struct(F.abs(F.col("mz_q") - F.col("want")), -F.col("mz_q"))).alias("mz_q"))
+    err = near.filter("mz_q <> mz").withColumn("err", F.col("mz_q") - F.col("want"))
+    return err.groupBy(*KEY, "z", "mz").agg(F.min_by("err", F.struct(F.abs("err"), "r")).alias("err")).select(*KEY, "mz", "err")
+
+
 def complement_tolerance(errors: DataFrame, window: float, configured: float, min_signal: float = MIN_SIGNAL) -> DataFrame:
     """Per run: floor-corrected median and MAD of complement errors, and the tolerance they give.
 

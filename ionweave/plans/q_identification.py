@@ -155,6 +155,29 @@ def h7(spark, sf):
     return H.complement_tolerance(e, 0.9, 0.02).select("run_id", "n", F.round("signal", 4).alias("signal"), F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), "ok", F.round("tol", 6).alias("tol"))
 
 
+@query("H7_measured_tolerance")
+def h7b(spark, sf):
+    t = tag_run.measured_tolerance(V.spectra(spark, sf), V.peaks(spark, sf), QT.PARAMS, max_evalue=20.0)
+    return t.select("run_id", "n", F.round("signal", 4).alias("signal"), F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), "ok", F.round("tol", 6).alias("tol"), "window")
+
+
+ENDS = ["l_partkey % 4 AS run_id", "l_partkey AS idx", "CAST(1 + l_linenumber % 2 AS INT) AS z", "100 + l_extendedprice % 900 AS mz"]
+
+
+@query("H7_complement_errors", V.cte(p="SELECT DISTINCT l_partkey % 4 AS run_id, l_partkey AS idx, 100 + l_extendedprice % 900 AS mz FROM lineitem",
+       f=f"SELECT p_partkey % 4 AS run_id, p_partkey AS idx, greatest(p_size % 5, 2) AS c, (400 + p_retailprice % 600 - {K.PROTON}) * greatest(p_size % 5, 2) AS mass FROM part",
+       e=f"SELECT DISTINCT {', '.join(ENDS)} FROM lineitem",
+       w=f"SELECT e.*, 0 AS r, mass / z + 2 * {K.PROTON} - mz AS want FROM e JOIN f USING (run_id, idx) UNION ALL SELECT e.*, 1, (mass + c * {K.PROTON} - z * mz) / (c - z) FROM e JOIN f USING (run_id, idx) WHERE z < c",
+       n="SELECT w.*, p.mz AS q, row_number() OVER (PARTITION BY w.run_id, w.idx, w.z, w.mz, r ORDER BY abs(p.mz - want), p.mz DESC) AS k FROM w JOIN p ON p.run_id = w.run_id AND p.idx = w.idx AND p.mz BETWEEN want - 0.9 AND want + 0.9",
+       b="SELECT *, row_number() OVER (PARTITION BY run_id, idx, z, mz ORDER BY abs(q - want), r) AS best FROM n WHERE k = 1 AND q <> mz") +
+       "SELECT run_id, idx, round(mz, 4) AS mz, round(q - want, 6) AS err FROM b WHERE best = 1")
+def h7c(spark, sf):
+    facts = V.spectra(spark, sf).select("run_id", "idx", F.greatest("charge", F.lit(2)).alias("charge_used"), "precursor_mz")
+    prepared = V.peaks(spark, sf).join(facts.withColumn("mass", (F.col("precursor_mz") - F.lit(K.PROTON)) * F.col("charge_used")), ["run_id", "idx"])
+    ends = V.table(spark, sf, "lineitem").selectExpr(*ENDS)
+    return H.complement_errors(ends, prepared, 0.9, "both").select("run_id", "idx", F.round("mz", 4).alias("mz"), F.round("err", 6).alias("err"))
+
+
 # ------------------------------------------------------------------ database matching
 def q_kmers(k: int, cols: str = "taxon, genus") -> str:
     return (f"SELECT {cols}, pos, substr(sequence, pos, {k}) AS kmer FROM (SELECT *, unnest(range(1, length(sequence) - {k - 2})) AS pos FROM prot WHERE length(sequence) >= {k}) "
