@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ionweave.session import materialize
+from ionweave.session import materialize, rewritten
 
 #: groups with more distinct order values than this are split into tiles
 TILE_ROWS = 200_000
@@ -28,6 +28,15 @@ def cells(lo: Column, hi: Column, width: float) -> Column:
     return F.sequence(F.floor(lo / width).cast("long"), F.floor(hi / width).cast("long"))
 
 
+def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join of two tables that grow with the input: both are dealt out by their keys.
+
+    Sizes are estimated from the files, and rows that an explode makes do not count there, so without the hint a long table that
+    comes from a small file would be collected by the driver and broadcast.
+    """
+    return left.hint("merge").join(right, list(on), how)
+
+
 def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lo: Column, hi: Column,
                value: str, width: float, how: str = "inner", small_right: bool = False) -> DataFrame:
     """Join rows of ``left`` with rows of ``right`` where right.value lies in [lo, hi] (columns of left).
@@ -42,7 +51,8 @@ def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lo: Colum
         build = F.broadcast(build)
     if how == "inner":
         probe = probe.withColumn("_cell", F.explode(cells(F.col("_lo"), F.col("_hi"), width)))
-        out = probe.join(build, [*keys, "_cell"]).filter(F.col(value).between(F.col("_lo"), F.col("_hi")))
+        join = probe.join(build, [*keys, "_cell"]) if small_right else keyed_join(probe, build, [*keys, "_cell"])
+        out = join.filter(F.col(value).between(F.col("_lo"), F.col("_hi")))
         return out.drop("_cell", "_lo", "_hi")
     raise ValueError("range_join is an inner join; combine with a left join on the row's id for others")
 
@@ -95,11 +105,10 @@ def ordered_scan(df: DataFrame, group: Sequence[str], order: str, scans: Sequenc
         getattr(F, s.fn)(f"_t{i}").over(down if s.reverse else up).alias(f"_c{i}") for i, s in enumerate(scans)])
     out = tiled.join(tot, [*group, "_tile"])
     here = W.partitionBy(*group, "_tile").orderBy(order)
+    back = W.partitionBy(*group, "_tile").orderBy(F.desc(order))
     for i, s in enumerate(scans):
-        if s.reverse:
-            w = here.rowsBetween(1 if s.exclusive else 0, W.unboundedFollowing)
-        else:
-            w = here.rowsBetween(W.unboundedPreceding, -1 if s.exclusive else 0)
+        # frames that end at the row are extended row by row; ones that begin there are summed anew for every row
+        w = (back if s.reverse else here).rowsBetween(W.unboundedPreceding, -1 if s.exclusive else 0)
         local = getattr(F, s.fn)(s.col).over(w)
         carry = F.col(f"_c{i}")
         if s.fn == "sum":
@@ -180,21 +189,21 @@ def lookback(df: DataFrame, group: Sequence[str], order: str, flag: Column, out:
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): smallest label reachable over undirected edges (a, b).
 
-    Alternates neighbour minima with label jumping up to the fixed point, so rounds grow with the logarithm of the
-    diameter.
-    Each round's labels are pre-aggregated before the shuffle and written to the checkpoint folder.
+    Every round each node, and the node it points to as well, take the smallest label that a neighbour's label points to, and
+    labels are jumped over. As whole trees are hooked, rounds grow with the logarithm of the component's size and not with its
+    diameter, up to the fixed point. Labels are pre-aggregated before the shuffle and written below the checkpoint folder.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                       .filter("a <> b").distinct())
-    labels = materialize(nodes.select("node", F.col("node").alias("component")))
+    both = rewritten(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                     .filter("a <> b").distinct())
+    labels = rewritten(nodes.select("node", F.col("node").alias("component")))
     while True:
-        near = (both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("_near"))
-                .withColumnRenamed("a", "node"))
-        step = labels.join(near, "node", "left").select(
-            "node", F.col("component").alias("_old"), F.least("component", "_near").alias("component"))
-        up = step.select(F.col("node").alias("component"), F.col("component").alias("_up"))
-        nxt = materialize(step.join(up, "component", "left").select(
-            "node", F.least("component", "_up").alias("component"), "_old"))
+        up = labels.select(F.col("node").alias("component"), F.col("component").alias("_up"))
+        far = rewritten(keyed_join(labels, up, ["component"]).select("node", "component", "_up"))
+        near = keyed_join(both, far.select(F.col("node").alias("b"), "_up"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("_up").alias("_near"))
+        step = keyed_join(far, near, ["node"], "left")
+        own = step.select("node", F.col("component").alias("_old"), F.least("component", "_up", "_near").alias("component"))
+        hook = step.filter("_near < component").groupBy(F.col("component").alias("node")).agg(F.min("_near").alias("_hook"))
+        nxt = rewritten(keyed_join(own, hook, ["node"], "left").select("node", F.least("component", "_hook").alias("component"), "_old"))
         changed = nxt.filter(F.col("component") != F.col("_old")).limit(1).count()
         labels = nxt.select("node", "component")
         if not changed:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ionweave.functions import constants as K, scalar as S, stats
-from ionweave.operators.core import Scan, connected_components, even_hash, ordered_scan, range_join, value_ranks
+from ionweave.operators.core import Scan, connected_components, even_hash, keyed_join, ordered_scan, range_join, value_ranks
 from ionweave.operators.precursor import preceding_ms1
 
 FLANK_TOL = 0.5
@@ -19,10 +19,13 @@ ENZYME_WORDS = {"trypsin": "Trypsin", "trypsin/p": "Trypsin", "lys-c": "Lys-C",
                 "unspecific": "unspecific", "none": "unspecific"}
 
 
-def tag_is_correct(tag: str, nterm: str, cterm: str, peptide: str, tol: float = FLANK_TOL, offset: float = K.WATER) -> Column:
-    """The tag or its reverse occurs in the folded peptide and one flank mass agrees at that place."""
+def tag_is_correct(tag: str, nterm: str, cterm: str, peptide: str, tol: float = FLANK_TOL, offset: float = K.WATER, prefix: str | None = None) -> Column:
+    """The tag or its reverse occurs in the folded peptide and one flank mass agrees at that place.
+
+    ``prefix``: a column with the peptide's prefix masses, which are made for every tag and place without it.
+    """
     t, p = S.normalize_tag(tag), F.col(peptide)
-    pre = S.prefix_masses(p)
+    pre = F.col(prefix) if prefix else S.prefix_masses(p)
     n, c = F.col(nterm), F.col(cterm)
     L = F.length(t)
     spots = lambda word: F.when(F.contains(p, word), F.filter(F.sequence(F.lit(0), F.length(p) - L), lambda i: F.substring(p, i + 1, L) == word)).otherwise(
@@ -37,12 +40,12 @@ def tag_is_correct(tag: str, nterm: str, cterm: str, peptide: str, tol: float =
 def mark_correct(tags: DataFrame, psms: DataFrame, tol: float = FLANK_TOL) -> DataFrame:
     """Tags of spectra with a known peptide, with ``correct_seq`` and ``correct`` (the flank rule)."""
     gt = psms.groupBy("key").agg(F.min("peptide").alias("peptide")).withColumn("_p", S.normalize_peptide("peptide"))
-    m = tags.join(gt, "key")
+    m = keyed_join(tags, gt.withColumn("_pre", S.prefix_masses("_p")), ["key"])
     t = S.normalize_tag("tag")
     m = m.withColumn("correct_seq", F.contains("_p", t) | F.contains("_p", F.reverse(t)))
-    ok = {s: tag_is_correct("tag", "nterm_mass", "cterm_mass", "_p", tol, o) for s, o in REVERSED_OFFSET.items()}
+    ok = {s: tag_is_correct("tag", "nterm_mass", "cterm_mass", "_p", tol, o, "_pre") for s, o in REVERSED_OFFSET.items()}
     series = F.coalesce("ion_series", F.lit("by")) if "ion_series" in tags.columns else F.lit("by")
-    return m.withColumn("correct", F.when(~F.col("correct_seq"), False).when(series == "cz", ok["cz"]).otherwise(ok["by"])).drop("_p")
+    return m.withColumn("correct", F.when(~F.col("correct_seq"), False).when(series == "cz", ok["cz"]).otherwise(ok["by"])).drop("_p", "_pre")
 
 
 def score_tags(marked: DataFrame, psms: DataFrame, ks: list[int] = [1, 5, 10, 50]) -> DataFrame:
@@ -120,12 +123,13 @@ def score_candidate_sets(tags: DataFrame, candidates: DataFrame, truth: DataFram
     """
     c = candidates.withColumn("_p", S.normalize_peptide("peptide")).select("key", "_p").distinct()
     n = c.groupBy("key").agg(F.count(F.lit(1)).alias("n_candidates"))
-    ok = tags.join(c, "key").withColumn("_ok", tag_is_correct("tag", "nterm_mass", "cterm_mass", "_p")).groupBy("key", "rank").agg(F.max("_ok").alias("ok"))
-    per = tags.select("key", "rank").join(ok, ["key", "rank"], "left").groupBy("key").agg(
+    m = keyed_join(tags, c.withColumn("_pre", S.prefix_masses("_p")), ["key"])
+    ok = m.withColumn("_ok", tag_is_correct("tag", "nterm_mass", "cterm_mass", "_p", prefix="_pre")).groupBy("key", "rank").agg(F.max("_ok").alias("ok"))
+    per = keyed_join(tags.select("key", "rank"), ok, ["key", "rank"], "left").groupBy("key").agg(
         F.count(F.lit(1)).alias("n_tags"), F.count_if(F.col("ok")).alias("n_correct"), F.max(F.when(F.col("rank") == 1, F.col("ok").cast("int"))).alias("top1"),
         F.max(F.when(F.col("rank") <= 10, F.col("ok").cast("int"))).alias("top10"))
     z = lambda x: F.coalesce(x, F.lit(0)).alias(x)
-    j = truth.join(n, "key", "left").join(per, "key", "left")
+    j = keyed_join(keyed_join(truth, n, ["key"], "left"), per, ["key"], "left")
     return j.select(*truth.columns, z("n_candidates"), F.when(F.coalesce("n_candidates", F.lit(0)) == 0, "no_pool_candidate").when(F.col("n_candidates") == 1, "single").otherwise("multiple").alias("size_label"),
                     (F.coalesce("n_tags", F.lit(0)) > 0).cast("int").alias("tagged"), z("n_tags"), z("n_correct"), z("top1"), z("top10"))
 
@@ -176,12 +180,12 @@ def pool_swap(pools: DataFrame, seed: int = 1) -> DataFrame:
     """
     b = pools.select("batch").distinct()
     x = pools.select("pool", F.col("batch").alias("own"), "size").join(F.broadcast(b), F.col("own") != F.col("batch"))
-    u = x.select("batch", "size", "pool", F.lit(None).cast("string").alias("cand")).unionByName(
-        pools.select("batch", "size", F.lit(None).cast("string").alias("pool"), F.col("pool").alias("cand")))
-    w = W.partitionBy("batch").orderBy("size", F.col("cand").isNull(), "cand")
-    down = F.last(F.when(F.col("cand").isNotNull(), F.struct("size", "cand")), True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    up = F.first(F.when(F.col("cand").isNotNull(), F.struct("size", "cand")), True).over(w.rowsBetween(0, W.unboundedFollowing))
-    n = u.withColumn("d", down).withColumn("u", up).filter("pool IS NOT NULL")
+    # one row per batch and size: the last name of a size stands for it from above, the first one from below
+    sizes = x.select("batch", "size", F.lit(None).cast("string").alias("cand")).unionByName(pools.select("batch", "size", F.col("pool").alias("cand")))
+    sizes = sizes.groupBy("batch", "size").agg(F.max("cand").alias("_hi"), F.min("cand").alias("_lo")).select(
+        "batch", "size", *[F.when(F.col(c).isNotNull(), F.struct("size", F.col(c).alias("cand"))).alias(c) for c in ("_hi", "_lo")])
+    near = ordered_scan(sizes, ["batch"], "size", [Scan("d", "max", "_hi"), Scan("u", "min", "_lo", reverse=True, exclusive=True)])
+    n = keyed_join(x, near.select("batch", "size", "d", "u"), ["batch", "size"])
     c = n.select("pool", "size", F.explode(F.array_compact(F.array("d", "u"))).alias("c"))
     return c.groupBy("pool").agg(F.min_by("c.cand", F.struct(F.abs(F.col("c.size") - F.col("size")), F.xxhash64("c.cand", F.lit(seed)))).alias("partner"))
 
@@ -236,7 +240,7 @@ def precursor_purity(scans: DataFrame, peaks: DataFrame, ppm: float = 10.0, isot
     z = F.when(F.col("charge") > 0, F.col("charge")).otherwise(2)
     env = F.exists(F.sequence(F.lit(-1), F.lit(isotopes)), lambda k: F.abs(F.col("mz_1") - (F.col("precursor_mz") + k * K.ISOTOPE_STEP / z)) <= F.col("mz_1") * (ppm * 1e-6))
     g = h.groupBy("run_id", "idx").agg(F.sum("y").alias("total"), F.sum(F.when(env, F.col("y")).otherwise(0.0)).alias("own"))
-    return s.select("run_id", "idx").join(g, ["run_id", "idx"], "left").select("run_id", "idx", F.when(F.col("total") > 0, F.col("own") / F.col("total")).alias("purity"))
+    return keyed_join(s.select("run_id", "idx"), g, ["run_id", "idx"], "left").select("run_id", "idx", F.when(F.col("total") > 0, F.col("own") / F.col("total")).alias("purity"))
 
 
 def assign_axes(spectra: DataFrame, s0: DataFrame, pool: DataFrame, chimeras: DataFrame | None = None) -> DataFrame:
@@ -366,7 +370,8 @@ def peptide_agreement(pred: DataFrame, psms: DataFrame) -> DataFrame:
 
 def tags_from_predictions(pred: DataFrame, k: int) -> DataFrame:
     """(key, tag, pos, nterm_mass, cterm_mass): every length-k substring of a predicted peptide with flanks."""
-    p = pred.select("key", S.normalize_peptide("peptide").alias("p")).filter(F.length("p") >= k).withColumn("_m", S.prefix_masses("p"))
+    # dealt out before the rows multiply: a small file is read by one task
+    p = pred.select("key", "peptide").repartition("key").select("key", S.normalize_peptide("peptide").alias("p")).filter(F.length("p") >= k).withColumn("_m", S.prefix_masses("p"))
     x = p.withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("p") - k)))
     return x.select("key", F.expr(f"substring(p, pos + 1, {k})").alias("tag"), "pos", F.get("_m", F.col("pos")).alias("nterm_mass"), (F.element_at("_m", -1) - F.get("_m", F.col("pos") + k)).alias("cterm_mass"))
 
@@ -415,12 +420,13 @@ def truth_qc(psms: DataFrame, by: list[str], min_psms: int = 100, min_ratio: flo
 def attribute_tags(tags: DataFrame, pairs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame]:
     """Tags as pep1, pep2, both or neither, and per spectrum the rank-1 and top-k flags."""
     p = pairs.select("key", S.normalize_peptide("pep1").alias("_1"), S.normalize_peptide("pep2").alias("_2"))
-    m = tags.join(p, "key").withColumn("c1", tag_is_correct("tag", "nterm_mass", "cterm_mass", "_1")).withColumn("c2", tag_is_correct("tag", "nterm_mass", "cterm_mass", "_2"))
-    m = m.withColumn("attribution", F.when(F.col("c1") & F.col("c2"), "both").when(F.col("c1"), "pep1").when(F.col("c2"), "pep2").otherwise("neither")).drop("_1", "_2")
+    m = keyed_join(tags, p.withColumn("_m1", S.prefix_masses("_1")).withColumn("_m2", S.prefix_masses("_2")), ["key"])
+    m = m.withColumn("c1", tag_is_correct("tag", "nterm_mass", "cterm_mass", "_1", prefix="_m1")).withColumn("c2", tag_is_correct("tag", "nterm_mass", "cterm_mass", "_2", prefix="_m2"))
+    m = m.withColumn("attribution", F.when(F.col("c1") & F.col("c2"), "both").when(F.col("c1"), "pep1").when(F.col("c2"), "pep2").otherwise("neither")).drop("_1", "_2", "_m1", "_m2")
     t = F.col("rank") <= k
     g = m.groupBy("key").agg(F.bool_or((F.col("rank") == 1) & F.col("c1")).alias("pep1_rank1"), F.bool_or(t & F.col("c1")).alias("pep1_topk"), F.bool_or(t & F.col("c2")).alias("pep2_topk"),
                              F.min(F.when(F.col("rank") == 1, F.col("attribution"))).alias("rank1_attribution"))
-    per = p.select("key").join(g, "key", "left").select("key", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("pep1_rank1", "pep1_topk", "pep2_topk")],
+    per = keyed_join(p.select("key"), g, ["key"], "left").select("key", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("pep1_rank1", "pep1_topk", "pep2_topk")],
         F.coalesce(F.col("pep1_topk") & F.col("pep2_topk"), F.lit(False)).alias("both_topk"), F.coalesce("rank1_attribution", F.lit("untagged")).alias("rank1_attribution"))
     return m, per
 
@@ -467,7 +473,7 @@ def union_clusters(spectra: DataFrame) -> DataFrame:
     p = spectra.select("key", S.normalize_peptide("pep1").alias("a"), S.normalize_peptide("pep2").alias("b"))
     nodes = p.select(F.col("a").alias("node")).unionByName(p.filter("b IS NOT NULL").select(F.col("b").alias("node"))).distinct()
     c = connected_components(p.filter("b IS NOT NULL").select("a", "b"), nodes)
-    return p.join(c, p.a == c.node).select("key", F.col("component").alias("cluster"))
+    return keyed_join(p.withColumnRenamed("a", "node"), c, ["node"]).select("key", F.col("component").alias("cluster"))
 
 
 def call_confusion(calls: DataFrame, classes: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def rewritten(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table below the checkpoint folder and continue from the read copy: for the rounds of a loop that joins.
+
+    A checkpoint keeps the size estimate of the plan behind it. A join's estimate is the product of its sides, so over the rounds
+    the number itself gets longer without bound and planning stops the driver. A table read from files has their size.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
