@@ -1,12 +1,15 @@
 """Precursor charge and isotope hypotheses, header checks and the complement tolerance estimate."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ionweave.functions import constants as K, scalar as S
-from ionweave.operators.core import Scan, lookback, ordered_scan, range_join
+from ionweave.operators.core import Scan, keyed_join, lookback, ordered_scan, range_join
 from ionweave.session import materialize
 
 KEY = ["run_id", "idx"]
@@ -43,27 +46,47 @@ def top_peaks(peaks: DataFrame, n: int = TOP_PEAKS) -> DataFrame:
     return peaks.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
+def _pair_excess(tol: float, delta: float) -> Callable:
+    """A column function of a spectrum's sorted m/z, a mass and the weight of the heavier pair rule (0: none): the pair excess."""
+    shifts = np.array([0.0, *OFF_TARGET])[:, None]
+
+    def seen(mz: np.ndarray, total: float, w: int) -> float:
+        want = (total + shifts) - w * mz
+        lo, hi = np.searchsorted(mz, want - tol, "left"), np.searchsorted(mz, want + tol, "right")
+        own = np.arange(len(mz))
+        if w == 1:
+            hit = (want > mz) & (hi > np.maximum(lo, own + 1))
+        else:
+            hit = (want > 0) & (hi - lo - ((lo <= own) & (own < hi)) > 0)
+        n = hit.sum(axis=1)
+        return float(n[0]) - float(n[1:].sum()) / len(OFF_TARGET)
+
+    def both(mz: np.ndarray, M: float, z: int) -> float:
+        x = seen(mz, M + (2 * K.PROTON + delta), 1)
+        if z >= 3:
+            n = seen(mz, M + z * K.PROTON + delta, z - 1)
+            x += n
+        return x
+
+    @F.pandas_udf("double")
+    def excess(mz: pd.Series, M: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if a is None or m != m else both(a, m, c) for a, m, c in zip(mz, M, z)], dtype="float64")
+
+    return excess
+
+
 def complement_excess(top: DataFrame, masses: DataFrame, tol: float, delta: float = 0.0, charge_aware: bool = False) -> DataFrame:
     """Adds to every row of ``masses`` (run_id, idx, M, labels) the pair excess at M + 2 protons.
 
     The excess is the number of lower peaks with a partner at the pair sum, minus the mean number at
     six off-target sums. ``charge_aware`` (rows carry the precursor charge ``z``) adds, from charge 3, the excess of pairs of a
-    singly and a (z - 1) times charged ion, which sum to M + z protons with the latter weighted by its charge.
+    singly and a (z - 1) times charged ion, which sum to M + z protons with the latter weighted by its charge. A spectrum's
+    peaks meet its masses as one array, so rows are masses, not masses times peaks times sums.
     """
-    labels = [c for c in masses.columns if c not in (*KEY, "M")]
-    shifts = F.explode(F.array(*[F.lit(x) for x in [0.0, *OFF_TARGET]])).alias("shift")
-    t = masses.select(*KEY, *labels, "M", F.lit(1).alias("_w"), (F.col("M") + F.lit(2 * K.PROTON + delta)).alias("_sum"))
-    if charge_aware:
-        high = masses.filter("z >= 3").select(*KEY, *labels, "M", (F.col("z") - 1).cast("int").alias("_w"), (F.col("M") + F.col("z") * F.lit(K.PROTON) + F.lit(delta)).alias("_sum"))
-        t = t.unionByName(high)
-    t = t.select(*KEY, *labels, "_w", "_sum", shifts).withColumn("sum", F.col("_sum") + F.col("shift")).drop("_sum")
-    mz = top.select(*KEY, "mz").distinct()
-    probe = t.join(mz, KEY).withColumn("want", F.col("sum") - F.col("_w") * F.col("mz")).filter(F.when(F.col("_w") == 1, F.col("want") > F.col("mz")).otherwise(F.col("want") > 0))
-    hit = range_join(probe, mz.withColumnRenamed("mz", "mz_j"), KEY, F.col("want") - tol, F.col("want") + tol, "mz_j", 2.0)
-    hit = hit.filter(F.when(F.col("_w") == 1, F.col("mz_j") > F.col("mz")).otherwise(F.col("mz_j") != F.col("mz")))
-    n = hit.select(*KEY, *labels, "_w", "shift", "mz").distinct().groupBy(*KEY, *labels).agg(
-        (F.count_if(F.col("shift") == 0) - F.count_if(F.col("shift") != 0) / F.lit(float(len(OFF_TARGET)))).alias("excess"))
-    return masses.join(n, [*KEY, *labels], "left").withColumn("excess", F.coalesce("excess", F.lit(0.0)))
+    mz = top.groupBy(*KEY).agg(F.array_sort(F.collect_set("mz")).alias("_mz"))
+    z = F.col("z").cast("int") if charge_aware else F.lit(0)
+    t = keyed_join(masses, mz, KEY, "left")
+    return t.withColumn("excess", _pair_excess(tol, delta)("_mz", F.col("M"), z)).select(*masses.columns, "excess")
 
 
 def best_isotope(top: DataFrame, candidates: DataFrame, isotopes: list[int], tol: float, charge_aware: bool = False) -> DataFrame:
@@ -81,7 +104,7 @@ def best_isotope(top: DataFrame, candidates: DataFrame, isotopes: list[int], tol
 
 def one_plus_share(peaks: DataFrame, spectra: DataFrame) -> DataFrame:
     """Share of the intensity above the precursor, the precursor's own neighbourhood left out."""
-    p = peaks.join(spectra.select(*KEY, "precursor_mz"), KEY).filter(
+    p = keyed_join(peaks, spectra.select(*KEY, "precursor_mz"), KEY).filter(
         (F.col("intensity") > 0) & (F.abs(F.col("mz") - F.col("precursor_mz")) > ONE_PLUS_WINDOW))
     return p.groupBy(*KEY).agg((F.sum(F.when(F.col("mz") > F.col("precursor_mz"), F.col("intensity")).otherwise(0.0))
                                 / F.sum("intensity")).alias("above_share"))
@@ -98,8 +121,9 @@ def infer_charge(peaks: DataFrame, spectra: DataFrame, candidates: DataFrame, to
     unit = float(len(OFF_TARGET))
     top = top_peaks(peaks)
     high = top.groupBy(*KEY).agg(F.max("mz").alias("top_mz"))
-    c = candidates.select(*KEY, "z").distinct().join(spectra.select(*KEY, "precursor_mz"), KEY)
-    c = c.join(best_isotope(top, c, isotopes, tol, charge_aware), [*KEY, "z"]).join(high, KEY, "left")
+    c = candidates.select(*KEY, "z").distinct()
+    c = keyed_join(c, spectra.select(*KEY, "precursor_mz"), KEY)
+    c = keyed_join(keyed_join(c, best_isotope(top, c, isotopes, tol, charge_aware), [*KEY, "z"]), high, KEY, "left")
     over = F.coalesce("top_mz", F.lit(0.0)) > F.col("z") * F.col("precursor_mz") - (F.col("z") - 1) * F.lit(K.PROTON) + CEILING_MARGIN
     w = W.partitionBy(*KEY)
     c = c.withColumn("_ok", ~over).withColumn("_any", F.max("_ok").over(w)).withColumn("_left", F.col("_ok") | ~F.col("_any"))
@@ -108,7 +132,7 @@ def infer_charge(peaks: DataFrame, spectra: DataFrame, candidates: DataFrame, to
         F.min("_zmin").alias("z_low"), F.min(F.when(F.col("_left"), F.col("z"))).alias("left_low"),
         F.max(F.when(F.col("_left") & (F.col("z") == 2), 1).otherwise(0)).alias("two_left"),
         F.reverse(F.array_sort(F.collect_list(F.when(F.col("_left"), F.struct(F.round(F.col("excess") * unit).cast("long").alias("e"), (-F.col("z")).alias("nz")))))).alias("best"))
-    s = s.join(one_plus_share(peaks, spectra), KEY, "left")
+    s = keyed_join(s, one_plus_share(peaks, spectra), KEY, "left")
     e1, e2 = F.get("best", F.lit(0)), F.get("best", F.lit(1))
     range_min = F.when(F.col("left_low") != F.col("z_low"), F.col("left_low"))
     none = ~(e1.e > 0)
@@ -151,7 +175,7 @@ def ms1_charge(scans: DataFrame, peaks: DataFrame, ppm: float = MS1_PPM) -> Data
         call = F.when(ok, z).otherwise(call)
     spaced = F.array_compact(F.array(*[F.when((at(0) > 0) & (at(z * 10 + 1) >= MS1_FIRST_MIN * at(0)), F.lit(z)) for z in range(1, CHARGE_LIMIT + 1)]))
     per = per.select(*KEY, F.when(at(0) > 0, call).otherwise(0).alias("ms1_charge"), spaced.alias("spaced"))
-    return ms2.select(*KEY, "ms1_idx").join(per, KEY, "left").withColumn("ms1_charge", F.coalesce("ms1_charge", F.lit(0)))
+    return keyed_join(ms2.select(*KEY, "ms1_idx"), per, KEY, "left").withColumn("ms1_charge", F.coalesce("ms1_charge", F.lit(0)))
 
 
 def check_header_charge(peaks: DataFrame, spectra: DataFrame, tol: float, zmin: int = 2, zmax: int = 4,
@@ -165,8 +189,8 @@ def check_header_charge(peaks: DataFrame, spectra: DataFrame, tol: float, zmin:
     cands = s.select(*KEY, F.explode(F.array_distinct(F.concat(span, F.array(F.col("charge").cast("int"))))).alias("z"))
     call = infer_charge(peaks, s, cands, tol, charge_aware=True)
     head = best_isotope(top_peaks(peaks), s.select(*KEY, F.col("charge").cast("int").alias("z"), "precursor_mz"), [0], tol, True)
-    j = call.withColumnRenamed("charge", "call").join(s.select(*KEY, F.col("charge").alias("header")), KEY).join(
-        head.select(*KEY, F.col("excess").alias("header_excess")), KEY)
+    j = keyed_join(call.withColumnRenamed("charge", "call"), s.select(*KEY, F.col("charge").alias("header")), KEY)
+    j = keyed_join(j, head.select(*KEY, F.col("excess").alias("header_excess")), KEY)
     amb = (F.when((F.col("call") == F.col("header")) | (F.col("runner_up") == F.col("header")), "agree")
            .when((F.col("runner_excess") > 0) & (F.col("runner_excess") - F.col("header_excess") >= margin), "disagree").otherwise("ambiguous"))
     against = (F.col("basis") == "one_plus") | ((F.col("basis") == "complement") & (F.col("excess") > 0)
@@ -175,7 +199,7 @@ def check_header_charge(peaks: DataFrame, spectra: DataFrame, tol: float, zmin:
          .when(F.col("call") == F.col("header"), "agree").when(against, "disagree").otherwise("no_call"))
     if ms1 is not None:
         # a header whose own +1/z peak is there stands against a higher MS1 call
-        j = j.join(ms1.select(*KEY, "ms1_charge", "spaced"), KEY, "left")
+        j = keyed_join(j, ms1.select(*KEY, "ms1_charge", "spaced"), KEY, "left")
         stands = (F.col("ms1_charge") == F.col("header")) | F.array_contains("spaced", F.col("header").cast("int"))
         v = F.when(F.col("ms1_charge") > 0, F.when(stands, "agree").otherwise("disagree")).otherwise(v)
     other = F.when(F.col("ms1_charge") > 0, F.col("ms1_charge")).otherwise(F.col("call")) if ms1 is not None else F.col("call")
@@ -221,9 +245,9 @@ def precursor_hypotheses(spectra: DataFrame, peaks: DataFrame, tol: float, param
     if params.mode != "assume2":
         span = F.array(*[F.lit(z) for z in range(params.zmin, params.zmax + 1)])
         free = s.filter("hyps IS NULL").withColumn("cands", F.when(F.size("listed") > 0, F.col("listed")).otherwise(span))
-        theirs = peaks.join(free.select(*KEY), KEY, "left_semi")
+        theirs = keyed_join(peaks, free.select(*KEY), KEY, "left_semi")
         call = infer_charge(theirs, free, free.select(*KEY, F.explode("cands").alias("z")), tol, list(params.isotopes), params.infer_margin)
-        free = free.join(call.select(*KEY, F.col("charge").alias("call"), "src", "runner_up"), KEY)
+        free = keyed_join(free, call.select(*KEY, F.col("charge").alias("call"), "src", "runner_up"), KEY)
         if params.mode == "enumerate":
             has = lambda z: F.array_contains("cands", z)
             chosen = F.when((F.col("src") != "assumed") & has(F.col("call")), F.col("call")).when(has(F.lit(2)), 2).otherwise(F.get("cands", F.lit(0)))
@@ -236,15 +260,15 @@ def precursor_hypotheses(spectra: DataFrame, peaks: DataFrame, tol: float, param
         s = s.filter("hyps IS NOT NULL").unionByName(free.withColumn("hyps", open_).select(*s.columns))
     if params.header_check == "both":
         stated = s.filter("charge > 0")
-        check = check_header_charge(peaks.join(stated.select(*KEY), KEY, "left_semi"), stated, tol, params.zmin, params.zmax, params.header_margin, ms1)
+        check = check_header_charge(keyed_join(peaks, stated.select(*KEY), KEY, "left_semi"), stated, tol, params.zmin, params.zmax, params.header_margin, ms1)
         other = check.filter((F.col("verdict") == "disagree") & F.col("replacement").between(1, CHARGE_LIMIT) & (F.col("replacement") != F.col("header")))
         both = F.array_sort(F.array(one(F.col("charge"), "header"), one(F.col("replacement"), "check_call", F.lit(False))))
-        s = s.join(other.select(*KEY, "replacement"), KEY, "left").withColumn("hyps", F.when(F.col("replacement").isNotNull(), both).otherwise(F.col("hyps")))
+        s = keyed_join(s, other.select(*KEY, "replacement"), KEY, "left").withColumn("hyps", F.when(F.col("replacement").isNotNull(), both).otherwise(F.col("hyps")))
     h = s.select(*KEY, "precursor_mz", F.size("hyps").alias("n_hyp"), F.posexplode("hyps").alias("hypothesis", "h")).select(*KEY, "hypothesis", "n_hyp", "precursor_mz", "h.*")
     if len(params.isotopes) > 1:
         h = materialize(h)   # read twice below
         found = best_isotope(top_peaks(peaks), h, list(params.isotopes), tol)
-        h = h.join(found.select(*KEY, "z", "iso"), [*KEY, "z"])
+        h = keyed_join(h, found.select(*KEY, "z", "iso"), [*KEY, "z"])
     else:
         h = h.withColumn("iso", F.lit(params.isotopes[0]))
     moved = F.col("precursor_mz") - F.col("iso") * F.lit(K.ISOTOPE_STEP) / F.col("z")
