@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionweave import session
-from ionweave.operators import core, evaluation as E, precursor as H
+from ionweave.operators import core, evaluation as E, precursor as H, tagging as T
 
 
 def plan(df):
@@ -90,3 +90,13 @@ def test_excess_needs_no_row_per_sum(spark):
         mz = sorted({m for _, i, m, _ in peaks if i == r.idx})
         want = 0.0 if r.M is None else expected(mz, r.M + 2 * P, 1) + (expected(mz, r.M + r.z * P, r.z - 1) if r.z >= 3 else 0)
         assert r.excess == pytest.approx(want)
+
+
+def test_edges_deal_out_peaks_once(spark):
+    rng = np.random.default_rng(5)
+    peaks = spark.createDataFrame([(0, i, float(m), float(rng.integers(1, 99))) for i in range(4) for m in np.round(rng.uniform(100, 900, 40), 2)], "run_id int, idx int, mz double, intensity double")
+    spectra = spark.createDataFrame([(0, i, 600.0 + i, 2 + i % 2) for i in range(4)], "run_id int, idx int, precursor_mz double, charge int")
+    params = T.TagParams(frag_tol=0.3, tol_ppm=False, complement_tol=0.3)
+    prepared = session.materialize(T.prepared_peaks(peaks, spectra, params))
+    edges = T.residue_edges(prepared, T.alphabet(spark, params), params)
+    assert plan(edges).split("== Initial Plan ==")[0].count("Exchange hashpartitioning") <= 1 and edges.count() > 0
