@@ -41,8 +41,9 @@ def residue_masses(seq, fixed: dict[str, float] | None = None) -> Column:
     masses["I"] = masses["L"]
     for r, d in (fixed or {}).items():
         masses[r] = masses[r] + d
-    table = _map(masses)
-    return F.transform(F.split(_c(seq), "(?!^)(?=.)"), lambda r: F.element_at(table, r))
+    # by the letter's place from A on: a look-up in a map compares its keys one by one
+    table = F.array(*[F.lit(masses.get(chr(65 + k))).cast("double") for k in range(26)])
+    return F.transform(F.split(_c(seq), ""), lambda r: F.get(table, F.ascii(r) - 65))
 
 
 def residue_sum(seq, fixed: dict[str, float] | None = None) -> Column:

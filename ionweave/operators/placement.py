@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ionweave.functions import constants as K, scalar as S
-from ionweave.operators.core import range_join
+from ionweave.operators.core import keyed_join, range_join
 from ionweave.operators.dbmatch import readings, wanted_only
 from ionweave.session import materialize
 
@@ -65,6 +65,32 @@ def cleavage_sites(proteins: DataFrame, enzyme: str = "Trypsin") -> DataFrame:
     return proteins.select("accession", F.posexplode(ends).alias("n", "b"))
 
 
+#: Residues of the smallest tiles of a sequence, and how much longer those of the next level are.
+TILE, TILE_STEP = 512, 16
+
+
+def residues_between(rows: DataFrame, proteins: DataFrame, lo: Column, hi: Column, out: str) -> DataFrame:
+    """Adds the residues [lo, hi) of each row's protein, cut off at its end.
+
+    A row meets one tile of its sequence and not all of it, so neither copies nor scans grow with the protein. A tile also holds as many
+    residues as it has after its own, so that a stretch no longer than the tile lies in the one that holds its start; longer stretches
+    take the tiles of the first level that is long enough.
+    """
+    size = lambda level: F.lit(TILE) * F.pow(F.lit(TILE_STEP), level).cast("long")
+    level = lambda n: F.greatest(F.lit(0), F.ceil(F.log(float(TILE_STEP), F.greatest(n, F.lit(1)) / TILE) - 1e-12)).cast("int")
+    each = proteins.select("accession", "sequence", F.explode(F.sequence(F.lit(0), level(F.length("sequence")))).alias("_level"))
+    cut = F.concat(F.lit("(?s)(.{1,"), size(F.col("_level")).cast("string"), F.lit("})(?=(.{0,"), size(F.col("_level")).cast("string"), F.lit("}))"))
+    texts = F.zip_with(F.regexp_extract_all("sequence", cut, F.lit(1)), F.regexp_extract_all("sequence", cut, F.lit(2)), lambda own, after: F.concat(own, after))
+    tiles = each.select("accession", "_level", F.posexplode(F.concat(texts, F.array(F.lit("")))).alias("_tile", "_text"))
+    p = rows.withColumn("_lo", lo).withColumn("_len", F.greatest(hi - F.col("_lo"), F.lit(0)))
+    # a stretch that ends past the protein may ask for a level that the protein does not have
+    top = proteins.groupBy("accession").agg(F.max(level(F.length("sequence"))).alias("_top"))
+    p = keyed_join(p, top, ["accession"]).withColumn("_level", F.least(level(F.col("_len")), "_top"))
+    p = p.withColumn("_tile", F.floor(F.col("_lo") / size(F.col("_level"))).cast("int"))
+    text = F.substring("_text", (F.col("_lo") % size(F.col("_level")) + 1).cast("int"), F.col("_len").cast("int"))
+    return keyed_join(p, tiles, ["accession", "_level", "_tile"]).withColumn(out, text).drop("_lo", "_len", "_top", "_level", "_tile", "_text")
+
+
 def digest_windows(occ: DataFrame, sites: DataFrame, missed: int = 0) -> DataFrame:
     """Occurrences with every window [start, end) of at most ``missed`` internal sites that holds them.
 
@@ -96,41 +122,35 @@ def windows_by_mass(occ: DataFrame, proteins: DataFrame, tol: float) -> DataFram
     Flanks are walked over the residues next to the occurrence, as far as the lightest residue could reach the
     wanted mass.
     """
-    p = occ.join(proteins.select("accession", "sequence"), "accession")
     reach = lambda want: F.ceil((F.greatest(F.coalesce(F.col(want), F.lit(0.0)), F.lit(0.0)) + tol) / LIGHTEST).cast("int") + 1
-    p = p.withColumn("_n", reach("want_n")).withColumn("_c", reach("want_c"))
-    left = F.reverse(F.expr("substring(sequence, greatest(1, pos + 1 - _n), least(pos, _n))"))
-    right = F.expr("substring(sequence, pos + len + 1, _c)")
+    p = occ.withColumn("_n", F.least("pos", reach("want_n"))).withColumn("_c", reach("want_c"))
+    p = residues_between(p, proteins, F.col("pos") - F.col("_n"), F.col("pos") + F.col("len") + F.col("_c"), "_near")
+    left = F.reverse(F.expr("substring(_near, 1, _n)"))
+    right = F.expr("substring(_near, _n + len + 1, _c)")
     fits = lambda seq, want: F.filter(
         F.transform(S.prefix_masses(seq), lambda m, i: F.when(F.abs(m - want) <= tol, i)), lambda i: i.isNotNull())
-    p = p.withColumn("_l", F.when(F.length(left) > 0, fits(left, F.col("want_n"))).otherwise(F.when(F.col("want_n") <= tol, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))))
-    p = p.withColumn("_r", F.when(F.length(right) > 0, fits(right, F.col("want_c"))).otherwise(F.when(F.col("want_c") <= tol, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))))
-    p = p.withColumn("_a", F.explode("_l")).withColumn("_b", F.explode("_r"))
+    at = lambda seq, want: F.when(F.length(seq) > 0, fits(seq, F.col(want))).when(F.col(want) <= tol, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    # few left flanks fit, so the right ones are walked for those only
+    p = p.withColumn("_a", F.explode(at(left, "want_n"))).withColumn("_b", F.explode(at(right, "want_c")))
     return p.withColumn("start", F.col("pos") - F.col("_a")).withColumn("end", F.col("pos") + F.col("len") + F.col("_b")).drop(
-        "_l", "_r", "_a", "_b", "_n", "_c", "sequence")
-
-
-def _cut_at(before: Column, after: Column, enzyme: str) -> Column:
-    """Whether the enzyme may cut between two residues (an empty residue is a protein end)."""
-    cut_after, residues, not_before = ENZYMES[enzyme]
-    if not residues:
-        return F.lit(True)
-    ends = (before == "") | (after == "")
-    if cut_after:
-        ok = F.contains(F.lit(residues), before)
-        return ends | (ok & ~F.contains(F.lit(not_before or "-"), after))
-    return ends | F.contains(F.lit(residues), after)
+        "_a", "_b", "_n", "_c", "_near")
 
 
 def cleavage_filter(windows: DataFrame, proteins: DataFrame, enzyme: str, specificity: str = "full") -> DataFrame:
-    """Windows both (full), one (semi) or none (none) of whose ends the enzyme explains."""
+    """Windows both (full), one (semi) or none (none) of whose ends the enzyme explains.
+
+    An end is explained where the enzyme has a boundary; a start also behind a first methionine. Windows meet the
+    boundaries by position and never the sequence.
+    """
     if specificity == "none" or enzyme == "unspecific":
         return windows
-    p = windows.join(proteins.select("accession", "sequence"), "accession")
-    r = lambda e: F.when(F.expr(e) >= 1, F.expr(f"substring(sequence, {e}, 1)")).otherwise("")
-    n_ok = (F.col("start") == 0) | _cut_at(r("start"), r("start + 1"), enzyme) | ((F.col("start") == 1) & (F.substring("sequence", 1, 1) == "M"))
-    c_ok = (F.col("end") == F.length("sequence")) | _cut_at(r("end"), r("end + 1"), enzyme)
-    return p.filter((n_ok & c_ok) if specificity == "full" else (n_ok | c_ok)).drop("sequence")
+    sites = cleavage_sites(proteins, enzyme).select("accession", "b").distinct()
+    met = proteins.filter(F.substring("sequence", 1, 1) == "M").select("accession", F.lit(1).alias("b"))
+    starts = sites.unionByName(met).distinct().select("accession", F.col("b").alias("start"), F.lit(True).alias("_n_ok"))
+    ends = sites.select("accession", F.col("b").alias("end"), F.lit(True).alias("_c_ok"))
+    both = "inner" if specificity == "full" else "left"
+    w = keyed_join(keyed_join(windows, starts, ["accession", "start"], both), ends, ["accession", "end"], both)
+    return w.filter("_n_ok OR _c_ok").select(*windows.columns)
 
 
 def reconcile(tags: DataFrame, windows: DataFrame, proteins: DataFrame, tol: float = 0.02, ppm: bool = False,
@@ -142,12 +162,11 @@ def reconcile(tags: DataFrame, windows: DataFrame, proteins: DataFrame, tol: flo
     """
     pair = K.ION_PAIRS[series]
     off = pair["off_c"] - pair["off_n"]
-    w = windows.join(proteins.select("accession", "sequence"), "accession")
-    w = w.withColumn("peptide", F.expr("substring(sequence, start + 1, end - start)")).filter(~F.contains("peptide", F.lit("#")))
+    w = residues_between(windows, proteins, F.col("start"), F.col("end"), "peptide").filter(~F.contains("peptide", F.lit("#")))
     m = lambda e: F.coalesce(S.residue_sum(F.expr(e), fixed), F.lit(0.0))
-    w = w.withColumn("db_n", F.when(F.col("pos") > F.col("start"), m("substring(sequence, start + 1, pos - start)")).otherwise(0.0))
-    w = w.withColumn("db_c", F.when(F.col("end") > F.col("pos") + F.col("len"), m("substring(sequence, pos + len + 1, end - pos - len)")).otherwise(0.0))
-    w = w.withColumn("pep_mass", S.residue_sum("peptide", fixed) + F.lit(K.WATER)).drop("sequence")
+    w = w.withColumn("db_n", F.when(F.col("pos") > F.col("start"), m("substring(peptide, 1, pos - start)")).otherwise(0.0))
+    w = w.withColumn("db_c", F.when(F.col("end") > F.col("pos") + F.col("len"), m("substring(peptide, pos + len - start + 1, end - pos - len)")).otherwise(0.0))
+    w = w.withColumn("pep_mass", S.residue_sum("peptide", fixed) + F.lit(K.WATER))
     j = tags.join(w, "seq")
     rev = F.col("reversed")
     j = j.withColumn("want_n", F.when(rev, F.greatest(F.lit(0.0), F.col("cterm_mass") + off)).otherwise(F.col("nterm_mass")))
@@ -206,7 +225,11 @@ def localize(placements: DataFrame, peaks: DataFrame, tol: float, ppm: bool = Fa
     model = model or ("unique" if unique else "count")
     if model not in ("count", "unique", "strict"):
         raise ValueError(model)
-    p = placements.filter("region_hi >= region_lo").withColumn("L", F.length("peptide")).withColumn("_pre", S.prefix_masses("peptide", fixed))
+    task = [*key, "peptide", "delta_mass", "region_lo", "region_hi"]
+    asked = materialize(placements.filter("region_hi >= region_lo").select(F.col("id").alias("_given"), F.struct(*task).alias("_task")))
+    # equal peptides with equal gaps in a spectrum are one question, answered once under the id of one of them
+    heads = materialize(asked.groupBy("_task").agg(F.min("_given").alias("id")))
+    p = heads.select("id", "_task.*").withColumn("L", F.length("peptide")).withColumn("_pre", S.prefix_masses("peptide", fixed))
     cut = p.filter("L > 1").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("L") - 1)))
     pre, total = F.element_at("_pre", F.col("i") + 1), F.element_at("_pre", -1)
     ions = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(shifted).alias("shifted"), (mass + F.col("delta_mass") if shifted else mass).alias("m"))
@@ -234,9 +257,10 @@ def localize(placements: DataFrame, peaks: DataFrame, tol: float, ppm: bool = Fa
     per = per.withColumn("kept", F.coalesce("kept", F.array().cast(found.withColumn("kept", kept).schema["kept"].dataType)))
     per = per.withColumn("s", F.transform(F.sequence("region_lo", "region_hi"), score)).withColumn("top", F.array_max("s"))
     rival = F.array_max(F.filter("s", lambda x: x < F.col("top")))
-    return per.select("id", (F.col("region_lo") + F.array_position("s", F.col("top")) - 1).cast("int").alias("loc_site"), F.col("top").cast("long").alias("loc_score"),
+    best = per.select("id", (F.col("region_lo") + F.array_position("s", F.col("top")) - 1).cast("int").alias("loc_site"), F.col("top").cast("long").alias("loc_score"),
                       F.size(F.filter("s", lambda x: x == F.col("top"))).cast("long").alias("loc_ties"), (F.col("top") - F.coalesce(rival, F.lit(0))).cast("long").alias("loc_lead"),
                       (F.coalesce(F.size("all"), F.lit(0)) - F.size("kept")).cast("long").alias("loc_excluded"))
+    return asked.join(heads, "_task").join(best, "id").drop("id", "_task").withColumnRenamed("_given", "id").select(*best.columns)
 
 
 def classify_placement(nterm_match: Column, cterm_match: Column, delta: Column, fixed_n: float, fixed_c: float, tol: float) -> Column:

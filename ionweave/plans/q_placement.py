@@ -96,7 +96,7 @@ def l7(spark, sf):
 @query("L7_localize_models")
 def l7b(spark, sf):
     """The three models side by side, two fragment charges; their twin is in the tests."""
-    p, k = _placements(spark, sf), V.peaks(spark, sf)
+    p, k = L.materialize(_placements(spark, sf)), V.peaks(spark, sf)
     out = None
     for model in ("count", "unique", "strict"):
         part = L.localize(p, k, 0.5, charges=2, model=model).withColumn("model", F.lit(model))
