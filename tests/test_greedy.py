@@ -67,3 +67,18 @@ def test_random_covers(spark):
     rng = random.Random(8)
     holds = {p: rng.sample(range(120), rng.randint(1, 9)) for p in range(1, 90)}
     assert greedy(spark, holds) == cover(holds)
+
+
+def test_a_group_holds_few_rows(spark, monkeypatch):
+    """One component larger than a group may be: it is covered by rounds, and no group gets more than its rows."""
+    rng = random.Random(12)
+    holds = {p: rng.sample(range(60), rng.randint(2, 8)) for p in range(1, 60)}
+    monkeypatch.setattr(N, "GROUP_ROWS", 30)
+    whole = N._cover
+
+    def small(pdf):
+        assert len(pdf) <= 30
+        return whole(pdf)
+
+    monkeypatch.setattr(N, "_cover", small)
+    assert greedy(spark, holds) == cover(holds)
