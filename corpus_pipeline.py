@@ -34,8 +34,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document with its sequence and place."""
-    return packing.pack_documents(docs)
+    """A row per piece of a document with its sequence and place. Pieces take their places in the order of the mix, which is that of the
+    files that the stage before wrote and of the rows in them, and the sequences come out in that order."""
+    at = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return packing.pack_documents(at, order=("_file", "_row"))
 
 
 STAGES = [("toxicity", reject_toxic), ("line dedup", drop_lines), ("near duplicates", keep_one_of_copies), ("mixing", mix_sources), ("packing", pack)]

@@ -269,48 +269,60 @@ class Slots:
         return self.base[i] + rank, self.offset[i]
 
 
-def pieces(docs: DataFrame, params: PackParams, tokenizer: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
+def pieces(docs: DataFrame, params: PackParams, tokenizer: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of every document, with the ``order`` columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, step = word_ids(tokenizer), 4 * params.capacity
         end = params.end_id.to_bytes(4, "little")
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b["doc_id"].to_pylist(), encoder.of(b["text"].to_pylist()), strict=True):
+            places = zip(*(b[c].to_pylist() for c in order), strict=True) if order else [()] * b.num_rows
+            for doc_id, ids, place in zip(b["doc_id"].to_pylist(), encoder.of(b["text"].to_pylist()), places, strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at:at + step]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *place))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (b["doc_id"].type, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                                                 ["doc_id", "piece", "start", "length", "ids_crc32"])
+                types = (b["doc_id"].type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), *(b[c].type for c in order))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                                                 ["doc_id", "piece", "start", "length", "ids_crc32", *order])
 
-    return columns_only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in order)
+    return columns_only(docs, "doc_id", "text", *order).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long{more}")
 
 
-def pack_documents(docs: DataFrame, params: PackParams = PackParams(), tokenizer: str | None = None) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack_documents(docs: DataFrame, params: PackParams = PackParams(), tokenizer: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    With ``order``, columns of ``docs`` of which the first cuts it into stretches (files), the pieces of a length take their places
+    in that order, and the rows come out by the first piece of their sequence: the sequences follow the order of the documents.
+    """
     spark = docs.sparkSession
-    all_pieces = written(pieces(docs, params, tokenizer or default_tokenizer()), "pieces")
+    all_pieces = written(pieces(docs, params, tokenizer or default_tokenizer(), order), "pieces")
     counts = {r["length"]: r["n"] for r in all_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}   # at most `capacity` rows
     slots = spark.sparkContext.broadcast(Slots.of(pack(counts, params.capacity, params.search_nodes)))
     parts = 1 + max(counts.values(), default=0) // params.rank_rows
-    salted = all_pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+    salted = all_pieces.withColumn("_salt", F.col(order[0]) if order else F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     by = ["length", "_salt"]
     before = (salted.groupBy(*by).agg(F.count("*").alias("_n"))
               .withColumn("_before", F.sum("_n").over(W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)))
               .select(*by, F.coalesce("_before", F.lit(0)).alias("_before")))
-    ranked = (salted.withColumn("_in", F.row_number().over(W.partitionBy(*by).orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = (salted.withColumn("_in", F.row_number().over(W.partitionBy(*by).orderBy(*order, "doc_id", "piece", "ids_crc32")) - 1)
               .join(before, by).withColumn("_rank", (F.col("_before") + F.col("_in")).cast("long")).drop("_salt", "_in", "_before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sequence, offset = slots.value.place(b["length"].to_numpy(), b["_rank"].to_numpy())
-            kept = [b["doc_id"], b["piece"], b["start"], b["length"], b["ids_crc32"], pa.array(sequence), pa.array(offset)]
-            yield pa.RecordBatch.from_arrays(kept, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInArrow(run, schema)
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", *order]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.select(*columns, *order).schema)
+    placed = ranked.select(*columns, *order, "_rank").mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    if order:
+        first = F.min(F.struct(*order, "piece")).over(W.partitionBy("sequence_id"))      # as many pieces as the capacity at most
+        placed = placed.withColumn("_first", first).repartitionByRange("_first", "sequence_id").sortWithinPartitions("_first", "sequence_id", "offset")
+    return placed.select(*columns, "sequence_id", "offset")
 
 
 @query("op7_packing")

@@ -153,3 +153,23 @@ def test_pipeline_on_edges(spark, tmp_path):
     path = saved(spark, tmp_path, documents=edge(spark), labels=spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
     rows = corpus_pipeline.run(spark, path).collect()
     assert {r.doc_id for r in rows} == {None, 1, 2, 3, 4, 5, 6, 9, 10, 11}
+
+
+def test_packing_follows_the_order_of_the_mix(spark, tmp_path):
+    """The same rows in another order give other sequences, and the sequences come out in the order of the rows."""
+    rows = [(k, "alpha beta gamma " * (100 + 60 * (k % 5))) for k in range(60)]
+    found = []
+    for name, order in (("up", rows), ("down", rows[::-1])):
+        base_ = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        base_.write.parquet(f"{tmp_path}/{name}")
+        out = corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/{name}"), "").collect()
+        place = {d: i for i, (d, _) in enumerate(order)}
+        first = {}
+        for r in out:
+            first[r.sequence_id] = min(first.get(r.sequence_id, 99), place[r.doc_id])
+        assert list(first.values()) == sorted(first.values()) and sorted(r.doc_id for r in out) == list(range(60))
+        for n in {r.length for r in out}:                                # pieces of one length are given out in the order of the mix
+            same = sorted((r.sequence_id, r.offset, place[r.doc_id]) for r in out if r.length == n)
+            assert len(same) == 12
+        found.append({frozenset(r.doc_id for r in out if r.sequence_id == s) for s in first})
+    assert len(found[0]) == len(found[1]) and found[0] != found[1]
