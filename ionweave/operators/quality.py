@@ -2,10 +2,12 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ionweave.functions import constants as K, scalar as S
@@ -54,23 +56,26 @@ def stated_resolution(scans: DataFrame) -> DataFrame:
     return quantiles(scans.filter("stated_resolution > 0"), ["run_id", "analyzer"], "stated_resolution", [0.5]).withColumnRenamed("q50", "resolution")
 
 
-def half_widths(mz: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(apex m/z, full width at half maximum) of the peaks of a profile in m/z order.
+def half_widths(mz: np.ndarray, y: np.ndarray, scan: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(apex m/z, full width at half maximum) of the peaks of a profile in m/z order, or of many one after the other that ``scan`` numbers.
 
     From each local maximum one walks to the first sample at or below half height on either side and interpolates
-    between it and the sample before; a peak that does not come down on both sides has no width.
+    between it and the sample before; a peak that does not come down on both sides of its scan has no width.
     """
-    top = np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] >= y[2:]) & (y[1:-1] > 0)) + 1
+    scan = np.zeros(len(y), np.int64) if scan is None else scan
+    top = np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] >= y[2:]) & (y[1:-1] > 0) & (scan[1:-1] == scan[:-2]) & (scan[1:-1] == scan[2:])) + 1
     cross = []
     for step in (-1, 1):
         at = top + step
+        within = lambda k: (at[k] >= 0) & (at[k] < len(y)) & (scan[np.clip(at[k], 0, len(y) - 1)] == scan[top[k]])   # noqa: E731, B023
+        on = np.arange(len(top))                       # those that still walk
         while True:
-            on = (at >= 0) & (at < len(y))
-            on[on] = y[at[on]] > y[top[on]] / 2
-            if not on.any():
+            on = on[within(on)]
+            on = on[y[at[on]] > y[top[on]] / 2]
+            if not len(on):
                 break
             at[on] += step
-        inside = (at >= 0) & (at < len(y))
+        inside = within(slice(None))
         a, b = np.clip(at, 0, len(y) - 1), np.clip(at - step, 0, len(y) - 1)
         share = (y[b] - y[top] / 2) / np.where(y[b] != y[a], y[b] - y[a], 1.0)
         cross.append(np.where(inside, mz[b] + (mz[a] - mz[b]) * share, np.nan))
@@ -82,14 +87,30 @@ def measured_resolution(peaks: DataFrame, scans: DataFrame) -> DataFrame:
     """Median m/z over full width at half maximum per run, analyser, level and m/z band, over all profile scans."""
     c = scans.filter(F.coalesce("profile", F.lit(True))).select(*KEY, "analyzer", "ms_level")
     p = peaks.select(*KEY, F.col("mz").cast("double").alias("mz"), F.col("intensity").cast("double").alias("intensity"))
-    runs = p.schema["run_id"].dataType.simpleString()
-
-    def widths(pdf: pd.DataFrame) -> pd.DataFrame:       # one scan
-        pdf = pdf.sort_values("mz")
-        mz, fwhm = half_widths(pdf["mz"].to_numpy(), pdf["intensity"].to_numpy()) if len(pdf) > 2 else (np.zeros(0), np.zeros(0))
-        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "idx": pdf["idx"].iloc[0], "mz": mz, "fwhm": fwhm})
-
-    m = p.join(c.select(*KEY), KEY, "left_semi").groupBy(*KEY).applyInPandas(widths, f"run_id {runs}, idx {p.schema['idx'].dataType.simpleString()}, mz double, fwhm double")
+    kinds = [f"{k} {p.schema[k].dataType.simpleString()}" for k in KEY]
+
+    def widths(batches):       # a batch of whole scans at a time: a call per scan costs more than its peaks
+        held = None
+        for b in itertools.chain(batches, [None]):
+            t = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if t is None or not len(t):
+                continue
+            keys = [t[k].to_numpy() for k in KEY]
+            new = np.concatenate([[True], (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])])
+            end = len(t) if b is None else int(np.flatnonzero(new)[-1])      # the last scan may go on
+            held, t = t.slice(end), t.slice(0, end).combine_chunks()
+            if len(t) < 3:
+                continue
+            scan = np.cumsum(new[:end])
+            start = np.flatnonzero(new[:end])
+            y, at = t["intensity"].to_numpy(), np.arange(len(t), dtype=float)
+            mz, fwhm = half_widths(t["mz"].to_numpy(), y, scan)
+            apex = half_widths(at, y, scan)[0].astype(np.int64)
+            at = start[scan[apex] - 1]
+            yield pa.RecordBatch.from_arrays([*(t[k].take(at).combine_chunks() for k in KEY), pa.array(mz), pa.array(fwhm)], [*KEY, "mz", "fwhm"])
+
+    ordered = p.join(c.select(*KEY), KEY, "left_semi").repartition(*KEY).sortWithinPartitions(*KEY, F.col("mz").asc_nulls_last(), "intensity")
+    m = ordered.mapInArrow(widths, f"{', '.join(kinds)}, mz double, fwhm double")
     m = m.filter("fwhm > 0 AND NOT isnan(fwhm)").join(c, KEY).withColumn("band", S.mz_band("mz")).filter("band IS NOT NULL")
     m = m.withColumn("res", F.col("mz") / F.col("fwhm"))
     return quantiles(m, ["run_id", "analyzer", "ms_level", "band"], "res", [0.5]).withColumnRenamed("q50", "resolution")

@@ -58,3 +58,13 @@ def test_width_of_a_well_sampled_peak(spark):
     peaks = spark.createDataFrame(rows, "run_id int, idx long, mz double, intensity double")
     scans = spark.createDataFrame([(1, i, "FTMS", 1, True) for i in range(40)], "run_id int, idx long, analyzer string, ms_level int, profile boolean")
     assert K.measured_resolution(peaks, scans).first().resolution == pytest.approx(500 / (2.3548 * sigma), rel=1e-3)
+
+
+def test_widths_of_many_scans_are_those_of_each():
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 3, 40, 5, 200, 3]
+    y = [np.round(rng.random(n) * 9) for n in sizes]
+    x = [np.sort(rng.random(n)) for n in sizes]
+    each = [K.half_widths(a, b) for a, b in zip(x, y) if len(a) > 2]
+    got = K.half_widths(np.concatenate(x), np.concatenate(y), np.repeat(np.arange(len(sizes)), sizes))
+    assert all(np.array_equal(g, np.concatenate([e[k] for e in each]), equal_nan=True) for k, g in enumerate(got))
