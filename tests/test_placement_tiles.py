@@ -49,7 +49,7 @@ def test_cleavage_filter_equals_plain_python(spark, enzyme, specificity):
 
 
 def test_windows_of_a_long_protein_do_not_scan_it(spark):
-    """Before, every window scanned and copied its whole protein: these 60,000 of one of 3 million residues moved 180 GB."""
+    """Before, every window scanned and copied its whole protein: these 60,000 of one of 3 million residues would copy 180 GB."""
     n = 3_000_000
     p = spark.range(1).select(F.lit("P").alias("accession"), F.expr(f"repeat('AAAAK', {n // 5})").alias("sequence"))
     w = spark.range(60_000).select(F.lit("AAAA").alias("seq"), F.lit("P").alias("accession"), (F.col("id") * 50).cast("int").alias("pos"), F.lit(4).alias("len"),
