@@ -14,8 +14,10 @@ from ionweave.session import materialize, rewritten
 
 #: groups with more distinct order values than this are split into tiles
 TILE_ROWS = 200_000
-#: tiles a hot group is split into
+#: tiles that hot groups are split into, at least
 TILES = 256
+#: parts that the rows without a value are dealt to
+SPREAD = 1024
 
 
 def values(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -71,30 +73,25 @@ def ordered_scan(df: DataFrame, group: Sequence[str], order: str, scans: Sequenc
                  tile_rows: int | None = None, tiles: int | None = None) -> DataFrame:
     """Running sums, minima or maxima along ``order`` inside each group, for groups of any size.
 
-    ``df`` must hold one row per (group, order) and ``order`` must be numeric. A group with more than
-    ``tile_rows`` rows is cut at approximate quantiles; the scan runs inside the tiles and the tile
-    totals (at most ``tiles`` per group) are scanned above them. The input is materialised first, so
-    the cuts are computed once and both levels see the same tiles.
+    ``df`` must hold one row per (group, order). With a group of more than ``tile_rows`` rows, the rows are
+    dealt out by ranges of (group, order), at least ``tiles`` and as many as hold ``tile_rows`` each; a group's
+    rows in a range are a tile. The scan runs inside the tiles and the tile totals are scanned above them.
+    The tiles are materialised, so both levels see the same ones.
     """
     tile_rows = TILE_ROWS if tile_rows is None else tile_rows
     tiles = TILES if tiles is None else tiles
     group = list(group)
     base = materialize(df)
-    hot = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > tile_rows)
-    if hot.limit(1).count() == 0:
+    largest, rows = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+    if (largest or 0) <= tile_rows:
         def frame(s: Scan):
             w = W.partitionBy(*group).orderBy(F.desc(order) if s.reverse else F.asc(order))
             return w.rowsBetween(W.unboundedPreceding, -1 if s.exclusive else 0)
         plain = [getattr(F, s.fn)(s.col).over(frame(s)) for s in scans]
         return base.select(*df.columns, *[
             (F.coalesce(v, F.lit(0)) if s.fn == "sum" else v).alias(s.out) for s, v in zip(scans, plain)])
-    cut_points = [i / tiles for i in range(1, tiles)]
-    cuts = materialize(
-        base.join(hot, group, "left_semi").groupBy(*group)
-        .agg(F.array_distinct(F.percentile_approx(F.col(order).cast("double"), cut_points, 10 * tiles)).alias("_q")))
-    tiled = base.join(cuts, group, "left").withColumn(
-        "_tile", F.when(F.col("_q").isNull(), F.lit(0))
-        .otherwise(F.size(F.filter("_q", lambda q: q < F.col(order).cast("double"))))).drop("_q")
+    ranged = base.repartitionByRange(max(tiles, -(-rows // tile_rows)), *group, order)
+    tiled = materialize(ranged.withColumn("_tile", F.spark_partition_id()))
     totals, applied = [], []
     for i, s in enumerate(scans):
         totals.append(getattr(F, s.fn)(s.col).alias(f"_t{i}"))
@@ -103,7 +100,10 @@ def ordered_scan(df: DataFrame, group: Sequence[str], order: str, scans: Sequenc
     down = W.partitionBy(*group).orderBy("_tile").rowsBetween(1, W.unboundedFollowing)
     tot = tot.select(*group, "_tile", *[
         getattr(F, s.fn)(f"_t{i}").over(down if s.reverse else up).alias(f"_c{i}") for i, s in enumerate(scans)])
-    out = tiled.join(tot, [*group, "_tile"])
+    # a group may be NULL
+    t, c = tiled.alias("t"), tot.alias("c")
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*group, "_tile"]]
+    out = t.join(c, same).select("t.*", *[f"c._c{i}" for i in range(len(scans))])
     here = W.partitionBy(*group, "_tile").orderBy(order)
     back = W.partitionBy(*group, "_tile").orderBy(F.desc(order))
     for i, s in enumerate(scans):
@@ -129,11 +129,21 @@ def value_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
         Scan("below", "sum", "n", exclusive=True), Scan("above", "sum", "n", reverse=True, exclusive=True)])
 
 
+def join_values(df: DataFrame, per_value: DataFrame, on: Sequence[str], value: str) -> DataFrame:
+    """Left join of rows with a table per (group, value), dealt out by all of the key: tables that come out of a window are
+    partitioned by group, and the rows would follow. Rows without a value, which meet none, are dealt out evenly."""
+    plain = [c for c, kind in df.dtypes if "map<" not in kind]
+    part = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(SPREAD))
+    keys = [*on, "_part"]
+    rows = df.withColumn("_part", F.when(F.col(value).isNull(), part(*plain)).otherwise(part(value)))
+    return rows.join(per_value.withColumn("_part", part(value)).repartition(*keys), keys, "left").drop("_part")
+
+
 def mid_rank(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
     """Adds the average rank (1 = smallest) of ``value`` inside its group; ties share it."""
     r = value_ranks(df.filter(F.col(value).isNotNull()), group, value)
     r = r.select(*group, value, (F.col("below") + (F.col("n") + 1) / 2).alias(out))
-    return df.join(r, [*group, value], "left")
+    return join_values(df, r, [*group, value], value)
 
 
 def bh_qvalues(df: DataFrame, group: Sequence[str], p: str, out: str = "qvalue") -> DataFrame:
@@ -142,7 +152,7 @@ def bh_qvalues(df: DataFrame, group: Sequence[str], p: str, out: str = "qvalue")
     r = value_ranks(df.filter(F.col(p).isNotNull()), group, p).join(sizes, list(group))
     r = r.withColumn("_raw", F.col(p) * F.col("_m") / (F.col("below") + F.col("n")))
     r = ordered_scan(r.select(*group, p, "_raw"), group, p, [Scan(out, "min", "_raw", reverse=True)])
-    return df.join(r.select(*group, p, F.least(F.col(out), F.lit(1.0)).alias(out)), [*group, p], "left")
+    return join_values(df, r.select(*group, p, F.least(F.col(out), F.lit(1.0)).alias(out)), [*group, p], p)
 
 
 def islands(df: DataFrame, group: Sequence[str], order: str, gap: Column | float, out: str = "island") -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ionweave.functions import constants as K, scalar as S, stats
 from ionweave.operators import filters, ranking, scoring, tagging as T
+from ionweave.operators.core import join_values
 from ionweave.plans import tag_run, views as V
 from ionweave.plans.registry import query
 from ionweave.session import materialize
@@ -452,7 +453,7 @@ def r8(spark, sf):
     v = V.table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("text"))
     v = ranking.sort_view(v, "text").withColumn("cell", F.col("text").try_cast("double"))
     pos = ranking.row_position(v.filter("cell IS NOT NULL"), "cell").select("cell", "position")
-    return v.join(pos, "cell", "left").select("o_orderkey", "cell", F.coalesce("position", F.lit(-1)).alias("position"))
+    return join_values(v, pos, ["cell"], "cell").select("o_orderkey", "cell", F.coalesce("position", F.lit(-1)).alias("position"))
 
 
 @query("R9_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 200")

@@ -76,3 +76,30 @@ def test_parallel_set_cover_equals_greedy(spark):
         want.add(best)
         open_ -= sets[best]
     assert got == want
+
+
+@pytest.mark.parametrize("tile_rows", [1000, 5])
+def test_tiles_keep_the_rows_of_no_group(spark, tile_rows):
+    rows = [(g, v, v % 3 + 1) for g in (None, 1) for v in range(60)]
+    df = spark.createDataFrame(rows, "g int, v int, n int")
+    got = core.ordered_scan(df, ["g"], "v", [Scan("up", "sum", "n"), Scan("above", "sum", "n", reverse=True, exclusive=True)], tile_rows=tile_rows, tiles=7).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.up == sum(v % 3 + 1 for v in range(r.v + 1)) and r.above == sum(v % 3 + 1 for v in range(r.v + 1, 60))
+
+
+def test_rows_without_a_value_are_not_in_one_task(spark):
+    df = spark.range(3000).selectExpr("id", "1 AS g", "CASE WHEN id % 3 = 0 THEN id END AS v")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for out in (core.mid_rank(df, ["g"], "v", "r"), core.bh_qvalues(df.withColumn("v", F.col("v") / 3000), ["g"], "v", "r")):
+            out = out.withColumn("part", F.spark_partition_id())
+            none = out.filter("v IS NULL").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()
+            assert sum(x.n for x in none) == 2000 and out.filter("r IS NULL").count() == 2000
+            assert len(none) >= 4 and max(x.n for x in none) < 1000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
