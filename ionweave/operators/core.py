@@ -39,6 +39,12 @@ def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     return left.hint("merge").join(right, list(on), how)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by key to as many tasks as a shuffle has. Adaptive execution merges partitions of few bytes into one task,
+    however much is made of their rows; a number that is given stays."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lo: Column, hi: Column,
                value: str, width: float, how: str = "inner", small_right: bool = False) -> DataFrame:
     """Join rows of ``left`` with rows of ``right`` where right.value lies in [lo, hi] (columns of left).

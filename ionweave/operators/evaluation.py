@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ionweave.functions import constants as K, scalar as S, stats
-from ionweave.operators.core import Scan, connected_components, even_hash, keyed_join, ordered_scan, range_join, value_ranks
+from ionweave.operators.core import Scan, connected_components, dealt, even_hash, keyed_join, ordered_scan, range_join, value_ranks
 from ionweave.operators.precursor import preceding_ms1
 
 FLANK_TOL = 0.5
@@ -19,33 +19,41 @@ ENZYME_WORDS = {"trypsin": "Trypsin", "trypsin/p": "Trypsin", "lys-c": "Lys-C",
                 "unspecific": "unspecific", "none": "unspecific"}
 
 
-def tag_is_correct(tag: str, nterm: str, cterm: str, peptide: str, tol: float = FLANK_TOL, offset: float = K.WATER, prefix: str | None = None) -> Column:
+def tag_is_correct(tag: str, nterm: str, cterm: str, peptide: str, tol: float = FLANK_TOL, offset: float = K.WATER, prefix: str | None = None,
+                   folded: str | None = None) -> Column:
     """The tag or its reverse occurs in the folded peptide and one flank mass agrees at that place.
 
-    ``prefix``: a column with the peptide's prefix masses, which are made for every tag and place without it.
+    ``prefix``: a column with the peptide's prefix masses, which are made for every tag and place without it; ``folded``: one with
+    the normalized tag, which is made at every mention without it.
     """
-    t, p = S.normalize_tag(tag), F.col(peptide)
+    t, p = F.col(folded) if folded else S.normalize_tag(tag), F.col(peptide)
     pre = F.col(prefix) if prefix else S.prefix_masses(p)
     n, c = F.col(nterm), F.col(cterm)
     L = F.length(t)
-    spots = lambda word: F.when(F.contains(p, word), F.filter(F.sequence(F.lit(0), F.length(p) - L), lambda i: F.substring(p, i + 1, L) == word)).otherwise(
-        F.array().cast("array<int>"))
     total = F.element_at(pre, -1)
     at = lambda i: F.get(pre, i)
-    fwd = F.exists(spots(t), lambda i: (F.abs(n - at(i)) <= tol) | (F.abs(c - (total - at(i + L))) <= tol))
-    rev = F.exists(spots(F.reverse(t)), lambda i: (F.abs(c - (at(i) - offset)) <= tol) | (F.abs(n - (total - at(i + L) + offset)) <= tol))
+
+    def occurs(word, fits):
+        """``fits`` holds at a place of ``word``. Most words have one place at most, which needs no walk along the peptide."""
+        first = F.call_function("locate", word, p, F.lit(1))
+        second = F.call_function("locate", word, p, first + 1)
+        spots = F.filter(F.sequence(F.lit(0), F.length(p) - L), lambda i: F.substring(p, i + 1, L) == word)
+        return F.when(first == 0, False).when(second == 0, fits(first - 1)).otherwise(F.exists(spots, fits))
+
+    fwd = occurs(t, lambda i: (F.abs(n - at(i)) <= tol) | (F.abs(c - (total - at(i + L))) <= tol))
+    rev = occurs(F.reverse(t), lambda i: (F.abs(c - (at(i) - offset)) <= tol) | (F.abs(n - (total - at(i + L) + offset)) <= tol))
     return F.coalesce((L > 0) & (fwd | rev), F.lit(False))
 
 
 def mark_correct(tags: DataFrame, psms: DataFrame, tol: float = FLANK_TOL) -> DataFrame:
     """Tags of spectra with a known peptide, with ``correct_seq`` and ``correct`` (the flank rule)."""
-    gt = psms.groupBy("key").agg(F.min("peptide").alias("peptide")).withColumn("_p", S.normalize_peptide("peptide"))
+    gt = dealt(psms.select("key", "peptide"), "key").groupBy("key").agg(F.min("peptide").alias("peptide")).withColumn("_p", S.normalize_peptide("peptide"))
     m = keyed_join(tags, gt.withColumn("_pre", S.prefix_masses("_p")), ["key"])
-    t = S.normalize_tag("tag")
-    m = m.withColumn("correct_seq", F.contains("_p", t) | F.contains("_p", F.reverse(t)))
-    ok = {s: tag_is_correct("tag", "nterm_mass", "cterm_mass", "_p", tol, o, "_pre") for s, o in REVERSED_OFFSET.items()}
+    m = m.withColumn("_t", S.normalize_tag("tag"))
+    m = m.withColumn("correct_seq", F.contains("_p", "_t") | F.contains("_p", F.reverse("_t")))
+    ok = {s: tag_is_correct("tag", "nterm_mass", "cterm_mass", "_p", tol, o, "_pre", "_t") for s, o in REVERSED_OFFSET.items()}
     series = F.coalesce("ion_series", F.lit("by")) if "ion_series" in tags.columns else F.lit("by")
-    return m.withColumn("correct", F.when(~F.col("correct_seq"), False).when(series == "cz", ok["cz"]).otherwise(ok["by"])).drop("_p", "_pre")
+    return m.withColumn("correct", F.when(~F.col("correct_seq"), False).when(series == "cz", ok["cz"]).otherwise(ok["by"])).drop("_t", "_p", "_pre")
 
 
 def score_tags(marked: DataFrame, psms: DataFrame, ks: list[int] = [1, 5, 10, 50]) -> DataFrame:
@@ -371,7 +379,7 @@ def peptide_agreement(pred: DataFrame, psms: DataFrame) -> DataFrame:
 def tags_from_predictions(pred: DataFrame, k: int) -> DataFrame:
     """(key, tag, pos, nterm_mass, cterm_mass): every length-k substring of a predicted peptide with flanks."""
     # dealt out before the rows multiply: a small file is read by one task
-    p = pred.select("key", "peptide").repartition("key").select("key", S.normalize_peptide("peptide").alias("p")).filter(F.length("p") >= k).withColumn("_m", S.prefix_masses("p"))
+    p = dealt(pred.select("key", "peptide"), "key").select("key", S.normalize_peptide("peptide").alias("p")).filter(F.length("p") >= k).withColumn("_m", S.prefix_masses("p"))
     x = p.withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("p") - k)))
     return x.select("key", F.expr(f"substring(p, pos + 1, {k})").alias("tag"), "pos", F.get("_m", F.col("pos")).alias("nterm_mass"), (F.element_at("_m", -1) - F.get("_m", F.col("pos") + k)).alias("cterm_mass"))
 
@@ -419,10 +427,11 @@ def truth_qc(psms: DataFrame, by: list[str], min_psms: int = 100, min_ratio: flo
 
 def attribute_tags(tags: DataFrame, pairs: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame]:
     """Tags as pep1, pep2, both or neither, and per spectrum the rank-1 and top-k flags."""
-    p = pairs.select("key", S.normalize_peptide("pep1").alias("_1"), S.normalize_peptide("pep2").alias("_2"))
+    p = dealt(pairs.select("key", "pep1", "pep2"), "key").select("key", S.normalize_peptide("pep1").alias("_1"), S.normalize_peptide("pep2").alias("_2"))
     m = keyed_join(tags, p.withColumn("_m1", S.prefix_masses("_1")).withColumn("_m2", S.prefix_masses("_2")), ["key"])
-    m = m.withColumn("c1", tag_is_correct("tag", "nterm_mass", "cterm_mass", "_1", prefix="_m1")).withColumn("c2", tag_is_correct("tag", "nterm_mass", "cterm_mass", "_2", prefix="_m2"))
-    m = m.withColumn("attribution", F.when(F.col("c1") & F.col("c2"), "both").when(F.col("c1"), "pep1").when(F.col("c2"), "pep2").otherwise("neither")).drop("_1", "_2", "_m1", "_m2")
+    m = m.withColumn("_t", S.normalize_tag("tag"))
+    m = m.withColumn("c1", tag_is_correct("tag", "nterm_mass", "cterm_mass", "_1", prefix="_m1", folded="_t")).withColumn("c2", tag_is_correct("tag", "nterm_mass", "cterm_mass", "_2", prefix="_m2", folded="_t"))
+    m = m.withColumn("attribution", F.when(F.col("c1") & F.col("c2"), "both").when(F.col("c1"), "pep1").when(F.col("c2"), "pep2").otherwise("neither")).drop("_t", "_1", "_2", "_m1", "_m2")
     t = F.col("rank") <= k
     g = m.groupBy("key").agg(F.bool_or((F.col("rank") == 1) & F.col("c1")).alias("pep1_rank1"), F.bool_or(t & F.col("c1")).alias("pep1_topk"), F.bool_or(t & F.col("c2")).alias("pep2_topk"),
                              F.min(F.when(F.col("rank") == 1, F.col("attribution"))).alias("rank1_attribution"))

@@ -100,3 +100,14 @@ def test_edges_deal_out_peaks_once(spark):
     prepared = session.materialize(T.prepared_peaks(peaks, spectra, params))
     edges = T.residue_edges(prepared, T.alphabet(spark, params), params)
     assert plan(edges).split("== Initial Plan ==")[0].count("Exchange hashpartitioning") <= 1 and edges.count() > 0
+
+
+def test_work_per_tag_is_not_merged_into_one_task(spark):
+    rows = [(i, "PEPTLDEKPEPT", "TPEPTPEP") for i in range(40)]
+    p = spark.createDataFrame(rows, "key long, pep1 string, pep2 string").coalesce(1)
+    t = E.tags_from_predictions(p.select("key", F.col("pep1").alias("peptide")), 4).withColumn("rank", F.lit(1))
+    m = E.attribute_tags(t, p)[0]
+    assert m.rdd.getNumPartitions() == 8
+    # PEPT stands twice in the first peptide and once in the second, at other masses
+    got = {(r.pos, r.tag): r.attribution for r in m.filter("key = 7").collect()}
+    assert got[(0, "PEPT")] == got[(8, "PEPT")] == got[(1, "EPTL")] == "pep1"
