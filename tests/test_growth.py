@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionweave import session
-from ionweave.operators import core, evaluation as E, precursor as H, tagging as T
+from ionweave.operators import core, evaluation as E, precursor as H, shortlist, tagging as T
 
 
 def plan(df):
@@ -111,3 +111,27 @@ def test_work_per_tag_is_not_merged_into_one_task(spark):
     # PEPT stands twice in the first peptide and once in the second, at other masses
     got = {(r.pos, r.tag): r.attribution for r in m.filter("key = 7").collect()}
     assert got[(0, "PEPT")] == got[(8, "PEPT")] == got[(1, "EPTL")] == "pep1"
+
+
+def test_subsets_are_compared_by_mask_first(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = {}
+    for k in range(120):
+        sets[k] = set(rng.choice(200, 25, replace=False).tolist()) | {777}
+        if k % 4 == 1:
+            sets[k] = set(list(sets[k - 1])[: 3 + k % 9])
+        if k % 10 == 7:
+            sets[k] = set(sets[k - 2])
+    order = sorted(sets, key=lambda k: (-len(sets[k]), k))
+    rank = {k: i + 1 for i, k in enumerate(order)}
+    ranked = spark.createDataFrame([(0, k, f"P{k}", len(sets[k]), False, rank[k]) for k in sets], "run_id int, protein long, accession string, spectra long, decoy boolean, rank int")
+    ev = spark.createDataFrame([(0, s, k) for k in sets for s in sets[k]], "run_id int, spectrum long, protein long")
+    pairs = []
+    monkeypatch.setattr(shortlist, "rewritten", lambda df: pairs.append(df.count()) or session.rewritten(df) if df.columns == ["run_id", "rank", "n", "sup"] else session.rewritten(df))
+    got = {r.protein: r.subset_of for r in shortlist.parsimony_subset(ranked, ev, 1).collect()}
+    better = {k: [q for q in sets if rank[q] < rank[k] and sets[k] <= sets[q]] for k in sets}
+    for k in sets:
+        kept = [rank[q] for q in better[k] if not better[q]]
+        assert got[k] == (f"P{order[min(kept) - 1]}" if kept else None)
+    strict = sum(sets[k] < sets[q] for k in sets for q in sets)
+    assert len(pairs) == 1 and pairs[0] <= 2 * strict
