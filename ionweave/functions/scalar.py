@@ -12,7 +12,7 @@ def _c(x) -> Column:
 
 def fold_residues(s) -> Column:
     """Upper-case letters only, I read as L, ambiguity codes as ``#``."""
-    return F.translate(F.upper(F.regexp_replace(_c(s), "[^A-Za-z]", "")), "IXBZJUO", "L######")
+    return F.translate(F.upper(F.regexp_replace(_c(s), "[^A-Za-z]+", "")), "IXBZJUO", "L######")
 
 
 def base_sequence(tag) -> Column:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,49 @@ OBSERVED_FLOOR = 5
 
 def build_kmer_taxa(proteins: DataFrame, k: int = 7, taxon: str = "taxon") -> DataFrame:
     """(kmer, taxon) once per taxon per distinct k-mer, reduced map-side before the shuffle."""
-    return kmers(proteins, k, [taxon]).select("kmer", F.col(taxon).alias("taxon")).distinct()
+    if k > 8:
+        return kmers(proteins, k, [taxon]).select("kmer", F.col(taxon).alias("taxon")).distinct()
+    p = proteins.select(F.coalesce("sequence", F.lit("")).alias("sequence"), F.col(taxon).alias("taxon"))
+    kind = p.schema["taxon"].dataType.simpleString()
+    return p.mapInArrow(lambda batches: _distinct_kmers(batches, k), f"kmer string, taxon {kind}").distinct()
+
+
+#: Letters whose k-mers are reduced at a time.
+KMER_LETTERS = 1 << 21
+
+
+def _distinct_kmers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k-mers (up to 8 letters, a byte each in a number) of each taxon's sequences, equal ones of a stretch once."""
+    for batch in batches:
+        seqs, taxa = batch.column(0), batch.column(1).dictionary_encode()
+        codes = taxa.indices.to_numpy(zero_copy_only=False)
+        codes = np.where(np.isnan(codes), -1, codes).astype(np.int64)
+        for code in np.unique(codes).tolist():
+            own = seqs.take(pa.array(np.flatnonzero(codes == code)))
+            value = taxa.dictionary.take(pa.array([code if code >= 0 else None], pa.int64()))
+            # between sequences stands a mark that no k-mer holds
+            text = "#".join(own.to_pylist())
+            for at in range(0, len(text), KMER_LETTERS):
+                found = _kmers_of(text[at:at + KMER_LETTERS + k - 1], k)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([found, value.take(pa.array(np.zeros(len(found), np.int64)))], ["kmer", "taxon"])
+
+
+def _kmers_of(text: str, k: int) -> pa.Array:
+    if not text.isascii():
+        return pa.array({text[i:i + k] for i in range(len(text) - k + 1) if not set("#\n\r\x85\u2028\u2029") & set(text[i:i + k])}, pa.string())
+    raw = np.frombuffer(text.encode("ascii"), np.uint8)
+    n = len(raw) - k + 1
+    if n < 1:
+        return pa.array([], pa.string())
+    bad = np.concatenate([[0], np.cumsum((raw == 35) | (raw == 10) | (raw == 13))])
+    word = np.zeros(n, np.uint64)
+    for i in range(k):
+        word = (word << np.uint64(8)) | raw[i:i + n]
+    word = np.unique(word[bad[k:] == bad[:n]])
+    letters = word.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - k:]
+    offsets = np.arange(0, k * len(word) + 1, k, dtype=np.int32)
+    return pa.StringArray.from_buffers(len(word), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters)))
 
 
 def write_kmer_taxa(kmer_taxa: DataFrame, table: str, buckets: int = 256, path: str | None = None) -> None:

@@ -1,6 +1,8 @@
 """Spill from units (members) equals spill from the matrix of pairs, and a unit costs its members."""
 import random
 
+from pyspark.sql import functions as F
+
 from ionweave.operators import species as X
 
 
@@ -36,3 +38,14 @@ def test_a_unit_of_many_members(spark):
     for t, r in out.items():
         above = [s for s in seen.values() if out[s.taxid].call == "present" and (s.observed, -s.taxid) > (r.observed, -t)]
         assert abs(r.spill - sum(0.001 * (s.n_hat if s.n_hat is not None else s.observed) for s in above)) < 1e-9
+
+
+def test_kmers_of_a_stretch_come_once(spark, monkeypatch):
+    monkeypatch.setattr(X, "KMER_LETTERS", 16)
+    rows = [("a", "PEPTLDEKPEPTLDEK" * 4), ("a", "PEP#TLDEKAC\nDEFGHKK"), ("b", "ACDEFGHKé"), ("b", None), (None, "PEPTLDEK"), ("c", "PEP")]
+    want = {(s[i:i + 7], t) for t, s in rows if s for i in range(len(s) - 6) if not set("#\n") & set(s[i:i + 7])}
+    p = spark.createDataFrame(rows, "taxon string, sequence string")
+    got = X.build_kmer_taxa(p)
+    assert {(r.kmer, r.taxon) for r in got.collect()} == want and got.count() == len(want)
+    raw = [(r, t) for b in X._distinct_kmers(iter(p.select(F.coalesce("sequence", F.lit("")).alias("sequence"), "taxon").toArrow().to_batches(max_chunksize=6)), 7) for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert set(raw) == want and len(raw) < 80
