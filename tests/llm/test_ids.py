@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from ionweave.llm import idcoder as C
-from ionweave.llm.tokens import default_tokenizer, word_ids
+from ionweave.llm.tokens import WordIds, default_tokenizer, word_ids
 from tests.llm.common import EDGE, edge, none, saved
 
 
@@ -41,6 +41,20 @@ def test_words_equal_the_library(text):
     assert np.frombuffer(next(iter(word_ids(default_tokenizer()).of([text]))), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_parts_equal_the_library():
+    tok, words = Tokenizer.from_file(default_tokenizer()), word_ids(default_tokenizer())
+    odd = ["İ,\nİ.", "“hello”, “hello” “hello”.", "don't, İx'll", "Ça, ÇA\tß²ª", "x\u0338= =\u0338,", "中，文, 中", "", " ", "<|endoftext|> a,", None, "a"]
+    for texts in (odd, odd[::-1], *[[t] for t in odd]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in words.of(texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_a_word_is_kept_once_whatever_stands_beside_it():
+    words = WordIds(default_tokenizer())
+    some = [f"{a}{b}ing" for a in ("bar", "tol", "mun") for b in ("qua", "sel", "dro")]
+    list(words.of([" ".join(a + w + b for w in some for a in ("", "(", "[") for b in ("", ",", ".", ";", ")", "]"))]))
+    assert len(words.young) <= len(some) + 9
+
+
 def test_query_on_edges(spark, tmp_path):
     from ionweave.llm.idcoder import op1_token_files
 
