@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm.base import columns_only, query, table
+from ionweave.llm.base import columns_only, query, table, written
 
 WORD = re.compile(r"[^\W_]+")
 SIZES = (3, 4, 5)
@@ -88,26 +88,45 @@ class ToxicityModel:
     bias: float
 
 
+def tell_apart(counts: np.ndarray, n: np.ndarray, params: ToxicityParams) -> np.ndarray:
+    """The buckets to train, ascending; ``counts``: documents of each class that hold a bucket, ``n``: documents of each class."""
+    frequency = [counts[c] / n[c] for c in (0, 1)]
+    mean = (frequency[0] + frequency[1]) / 2
+    z = np.abs(frequency[1] - frequency[0]) / np.sqrt(mean * (1 - mean) * (1 / n[0] + 1 / n[1]) + 1e-9)
+    least = min(max(4.0, params.contrast * n.sum() ** 0.5), 8.0)
+    chosen = np.argsort(-z, kind="stable")[:params.features]
+    return np.sort(chosen[z[chosen] >= least])
+
+
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, params: ToxicityParams) -> ToxicityModel:
-    """Adam on the mean cross-entropy over all bags. Classes are weighted alike; the bias then moves to ``prior``."""
+    """The model of whole bags."""
+    n = np.bincount(labels, minlength=2)
+    counts = np.zeros((2, params.buckets), np.int64)
+    for (b, _), k in zip(bags, labels, strict=True):
+        counts[k, b] += 1
+    chosen = tell_apart(counts, n, params) if n.all() else np.zeros(0, np.int64)
+    return train_chosen([narrow(b, w, chosen) for b, w in bags], labels, chosen, prior, params)
+
+
+def narrow(b: np.ndarray, w: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a bag holds of the ``chosen`` buckets, by their places there."""
+    at = np.searchsorted(chosen, b)
+    kept = np.flatnonzero(at < len(chosen))
+    kept = kept[chosen[at[kept]] == b[kept]]
+    return at[kept], w[kept]
+
+
+def train_chosen(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, chosen: np.ndarray, prior: float, params: ToxicityParams) -> ToxicityModel:
+    """Adam on the mean cross-entropy over all narrowed bags. Classes are weighted alike; the bias then moves to ``prior``."""
     share = min(max(prior, 1e-6), 1 - 1e-6)
     shift = float(np.log(share / (1 - share)))
     n = np.bincount(labels, minlength=2)
     if not n.all():
         return ToxicityModel(np.zeros(params.buckets, np.float32), shift)
-    frequency = [np.bincount(np.concatenate([b for (b, _), k in zip(bags, labels, strict=True) if k == c]), minlength=params.buckets) / n[c] for c in (0, 1)]
-    mean = (frequency[0] + frequency[1]) / 2
-    z = np.abs(frequency[1] - frequency[0]) / np.sqrt(mean * (1 - mean) * (1 / n[0] + 1 / n[1]) + 1e-9)
-    least = min(max(4.0, params.contrast * len(labels) ** 0.5), 8.0)
-    chosen = np.argsort(-z, kind="stable")[:params.features]
-    chosen = np.sort(chosen[z[chosen] >= least])
-    place = np.full(params.buckets, -1)
-    place[chosen] = np.arange(len(chosen))
     x = np.zeros((len(bags), len(chosen)), np.float32)
     for row, (b, w) in zip(x, bags, strict=True):
-        kept = place[b] >= 0
-        row[place[b[kept]]] = w[kept]
-    scale = np.sqrt((x ** 2).mean(0)) + 1e-9
+        row[b] = w
+    scale = np.sqrt(np.einsum("ij,ij->j", x, x) / np.float32(len(x))) + np.float32(1e-9)
     x /= scale
     rng = np.random.default_rng(params.seed)
     emb = rng.normal(0, 0.1, (len(chosen), params.dim)).astype(np.float32)
@@ -134,6 +153,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
 
 class WordValues(dict):
     """Word -> mean value of its buckets; at most ``most`` words are kept."""
+    #: New words whose n-grams are held at once.
+    CHUNK = 8192
 
     def __init__(self, model: ToxicityModel, most: int = 200_000):
         super().__init__()
@@ -142,8 +163,9 @@ class WordValues(dict):
     def learn(self, words: set[str]) -> None:
         if len(self) > self.most:
             self.clear()
-        new = [w for w in words if w not in self]
-        if new:
+        missing = [w for w in words if w not in self]
+        for i in range(0, len(missing), self.CHUNK):
+            new = missing[i:i + self.CHUNK]
             own, bucket = word_buckets(new, len(self.model.value))
             n = np.bincount(own, minlength=len(new))
             self.update(zip(new, (np.bincount(own, weights=self.model.value[bucket], minlength=len(new)) / n).tolist(), strict=True))
@@ -157,34 +179,53 @@ class WordValues(dict):
 
 
 def fit(sampled: DataFrame, prior: float, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Trains on (text, toxic) rows, a bounded sample: tasks turn them into bags, the driver trains on these."""
+    """Trains on (text, toxic) rows, a bounded sample: tasks turn them into bags and count their buckets; the driver gets the counts,
+    chooses the buckets, and trains on what the bags hold of these."""
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = [document_buckets(t, params.buckets) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"toxic": b["toxic"].cast(pa.int32()), "b": pa.array([x.astype(np.int32) for x, _ in pairs], pa.list_(pa.int32())),
                                               "w": pa.array([x.astype(np.float32) for _, x in pairs], pa.list_(pa.float32()))})
 
-    got = sampled.select("text", "toxic").mapInArrow(bags, "toxic int, b array<int>, w array<float>").toArrow().combine_chunks()
-    out = sorted(zip(got["toxic"].to_pylist(), (np.asarray(b.values) for b in got["b"]), (np.asarray(w.values, np.float64) for w in got["w"]), strict=True),
-                 key=lambda x: (x[0], len(x[1]), x[1].tobytes()))        # the same order whichever task was first
-    return train([(b, w) for _, b, w in out], np.array([k for k, _, _ in out], np.int64), prior, params)
+    rows = written(sampled.select("text", "toxic").mapInArrow(bags, "toxic int, b array<int>, w array<float>"), "bags")
+    n = np.zeros(2, np.int64)
+    for k, times in rows.groupBy("toxic").count().collect():
+        n[k] = times
+    counts = np.zeros((2, params.buckets), np.int64)
+    if n.all():
+        held = rows.select("toxic", F.explode("b").alias("b")).groupBy("toxic", "b").count().toArrow()     # twice the buckets at most
+        counts[held["toxic"].to_numpy(), held["b"].to_numpy()] = held["count"].to_numpy()
+        chosen = tell_apart(counts, n, params)
+    else:
+        chosen = np.zeros(0, np.int64)
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [(np.asarray(b.values), np.asarray(w.values)) for b, w in zip(batch["b"], batch["w"], strict=True)]
+            pairs = [narrow(b, w, chosen) for b, w in whole]
+            yield pa.RecordBatch.from_pydict({
+                "toxic": batch["toxic"], "n": pa.array([len(b) for b, _ in whole], pa.int32()), "head": pa.array([b[:16].tobytes() for b, _ in whole], pa.binary()),
+                "b": pa.array([b.astype("<i4").tobytes() for b, _ in pairs], pa.binary()), "w": pa.array([w.astype("<f4").tobytes() for _, w in pairs], pa.binary())})
+
+    got = rows.mapInArrow(narrowed, "toxic int, n int, head binary, b binary, w binary").toArrow()
+    out = sorted(zip(*(got[c].to_pylist() for c in got.column_names), strict=True))        # the same order whichever task was first
+    return train_chosen([(np.frombuffer(b, "<i4"), np.frombuffer(w, "<f4")) for *_, b, w in out], np.array([k for k, *_ in out], np.int64), chosen, prior, params)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str], name: str = "score") -> DataFrame:
-    """The columns ``keep`` of ``docs`` and the score (0 to 1) as ``name``; only ``text`` is looked at."""
+    """The columns ``keep`` of ``docs`` and the score (0 to 1) as ``name``; only ``text`` is looked at, and nothing else goes to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)   # one number per bucket: its size is a parameter
-    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         values = WordValues(shared.value)
-        for b in batches:
-            texts, scores = b["_scored_text"], []
+        for texts in batches:
+            out = []
             for i in range(0, len(texts), 250):
-                scores += values.scores(texts.slice(i, 250).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(scores, pa.float64())], [*keep, name])
+                out += values.scores(texts.slice(i, 250).to_pylist())
+            yield pa.array(out, pa.float64())
 
-    cols = [F.col(f"`{n}`") for n in keep] + [F.col("text").alias("_scored_text")]
-    return docs.select(*cols).mapInArrow(run, f"{schema}, `{name}` double")
+    return docs.select(*[F.col(f"`{n}`") for n in keep], scores("text").alias(name))
 
 
 def fold(doc_id: Column) -> Column:

@@ -206,3 +206,18 @@ def test_misspellings_share_their_grams():
     clean, seen, unseen = values.scores([base, base + " horrible idiots", base + " horribble idiotts"])
     assert clean < 0.5 < unseen <= seen + 0.2
     assert T.train([], np.zeros(0, np.int64), 0.0, params).bias < -10
+
+
+def test_only_texts_go_to_python_and_only_chosen_buckets_to_the_driver(spark, monkeypatch):
+    params = T.ToxicityParams(buckets=1 << 12)
+    words = ["".join(w) for w in zip("abcdefghij" * 4, "klmnopqrst" * 4, "uvwxyzabcd" * 4, strict=True)]
+    rows = [(" ".join(words[(k + j) % 10] + str(k % 7) for j in range(8)) + (" vile" if k % 2 else ""), k % 2) for k in range(200)]
+    labels, bags = np.array([k for _, k in rows]), [T.document_buckets(t, params.buckets) for t, _ in rows]
+    whole = T.train(bags, labels, 0.5, params)
+    got, inner = [], T.train_chosen
+    monkeypatch.setattr(T, "train_chosen", lambda bags, *more: got.extend(bags) or inner(bags, *more))
+    model = T.fit(spark.createDataFrame(rows, "text string, toxic int"), 0.5, params)
+    assert np.allclose(model.value, whole.value, atol=1e-3) and abs(model.bias - whole.bias) < 1e-3 and whole.value.any()
+    assert sum(len(b) for b, _ in got) < 0.5 * sum(len(b) for b, _ in bags)
+    plan = T.score(spark.createDataFrame([(1, "a vile text")], "doc_id long, text string"), model, ["doc_id", "text"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and len(re.findall(r"ArrowEvalPython \[scores\(text#\d+\)", plan)) == 1
