@@ -44,14 +44,12 @@ def locate(tags: DataFrame, proteins: DataFrame, both: bool = True, rules: DataF
         at = at.filter("length(kmer) >= len").select("accession", "pos", F.expr("substring(kmer, 1, len)").alias("kmer"))
     at = at.filter("NOT contains(kmer, '#')")
     out = base.join(wanted_only(at, base), "kmer")
-    return out.select("seq", "accession", "pos", "len", "reversed").distinct()
+    # what follows a look-up goes protein by protein, so repeats are dropped where the rows of a protein meet
+    return out.select("seq", "accession", "pos", "len", "reversed").repartition("accession").distinct()
 
 
-def cleavage_sites(proteins: DataFrame, enzyme: str = "Trypsin") -> DataFrame:
-    """(accession, b, n): cleavage boundaries with their number along the protein; both ends included.
-
-    ``b`` counts residues before the cut.
-    """
+def _boundaries(enzyme: str) -> Column:
+    """Cleavage boundaries of ``sequence`` in order, both ends included: residues before the cut."""
     after, residues, not_before = ENZYMES[enzyme]
     if not residues:
         pattern = "(?=.)"
@@ -60,35 +58,62 @@ def cleavage_sites(proteins: DataFrame, enzyme: str = "Trypsin") -> DataFrame:
     else:
         pattern = f"(?<=.)(?=[{residues}])"
     parts = F.split("sequence", pattern)
-    ends = F.aggregate(F.transform(parts, lambda x: F.length(x)), F.array(F.lit(0)),
+    return F.aggregate(F.transform(parts, lambda x: F.length(x)), F.array(F.lit(0)),
                        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    return proteins.select("accession", F.posexplode(ends).alias("n", "b"))
 
 
-#: Residues of the smallest tiles of a sequence, and how much longer those of the next level are.
+def cleavage_sites(proteins: DataFrame, enzyme: str = "Trypsin") -> DataFrame:
+    """(accession, b, n): cleavage boundaries with their number along the protein; both ends included.
+
+    ``b`` counts residues before the cut.
+    """
+    return proteins.select("accession", F.posexplode(_boundaries(enzyme)).alias("n", "b"))
+
+
+#: Residues of the parts of a sequence that rows meet. ``TILE_STEP`` is not read any more.
 TILE, TILE_STEP = 512, 16
 
 
 def residues_between(rows: DataFrame, proteins: DataFrame, lo: Column, hi: Column, out: str) -> DataFrame:
     """Adds the residues [lo, hi) of each row's protein, cut off at its end.
 
-    A row meets one tile of its sequence and not all of it, so neither copies nor scans grow with the protein. A tile also holds as many
-    residues as it has after its own, so that a stretch no longer than the tile lies in the one that holds its start; longer stretches
-    take the tiles of the first level that is long enough.
+    Rows meet their protein once, as an array of its parts, and read only the parts that hold the stretch, so neither copies nor scans
+    grow with the protein.
     """
-    size = lambda level: F.lit(TILE) * F.pow(F.lit(TILE_STEP), level).cast("long")
-    level = lambda n: F.greatest(F.lit(0), F.ceil(F.log(float(TILE_STEP), F.greatest(n, F.lit(1)) / TILE) - 1e-12)).cast("int")
-    each = proteins.select("accession", "sequence", F.explode(F.sequence(F.lit(0), level(F.length("sequence")))).alias("_level"))
-    cut = F.concat(F.lit("(?s)(.{1,"), size(F.col("_level")).cast("string"), F.lit("})(?=(.{0,"), size(F.col("_level")).cast("string"), F.lit("}))"))
-    texts = F.zip_with(F.regexp_extract_all("sequence", cut, F.lit(1)), F.regexp_extract_all("sequence", cut, F.lit(2)), lambda own, after: F.concat(own, after))
-    tiles = each.select("accession", "_level", F.posexplode(F.concat(texts, F.array(F.lit("")))).alias("_tile", "_text"))
-    p = rows.withColumn("_lo", lo).withColumn("_len", F.greatest(hi - F.col("_lo"), F.lit(0)))
-    # a stretch that ends past the protein may ask for a level that the protein does not have
-    top = proteins.groupBy("accession").agg(F.max(level(F.length("sequence"))).alias("_top"))
-    p = keyed_join(p, top, ["accession"]).withColumn("_level", F.least(level(F.col("_len")), "_top"))
-    p = p.withColumn("_tile", F.floor(F.col("_lo") / size(F.col("_level"))).cast("int"))
-    text = F.substring("_text", (F.col("_lo") % size(F.col("_level")) + 1).cast("int"), F.col("_len").cast("int"))
-    return keyed_join(p, tiles, ["accession", "_level", "_tile"]).withColumn(out, text).drop("_lo", "_len", "_top", "_level", "_tile", "_text")
+    parts = F.regexp_extract_all("sequence", F.lit(f"(?s)(.{{1,{TILE}}})"), F.lit(1))
+    p = rows.withColumn("_lo", lo.cast("int")).withColumn("_hi", F.greatest(hi.cast("int"), F.col("_lo")))
+    p = keyed_join(p, proteins.select("accession", parts.alias("_parts")), ["accession"])
+    first = F.floor(F.col("_lo") / TILE).cast("int")
+    held = F.array_join(F.slice("_parts", first + 1, F.floor(F.col("_hi") / TILE).cast("int") - first + 1), "")
+    return p.withColumn(out, F.substring(held, F.col("_lo") % TILE + 1, F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi", "_parts")
+
+
+def _cuts(proteins: DataFrame, enzyme: str) -> DataFrame:
+    """(accession, cuts, at, methionine): boundaries of a protein; per TILE residues, how many lie at or before their start; whether it
+    begins with methionine."""
+    cuts = proteins.select("accession", F.length("sequence").alias("_n"), (F.substring("sequence", 1, 1) == "M").alias("methionine"), _boundaries(enzyme).alias("cuts"))
+    starts = F.sequence(F.lit(0), F.floor(F.col("_n") / TILE).cast("int") + 1)
+    return cuts.select("accession", "cuts", "methionine", F.transform(starts, lambda t: F.size(F.filter("cuts", lambda b: b <= t * TILE))).alias("at"))
+
+
+def _cuts_near(pos: Column, more: int) -> Column:
+    """The boundaries of the tile of ``pos``, the last one up to its start, and ``more`` on both sides."""
+    tile = F.floor(pos / TILE).cast("int")
+    first = F.greatest(F.lit(1), F.get(F.col("at"), tile) - more)
+    return F.slice("cuts", first, F.greatest(F.lit(0), F.get(F.col("at"), tile + 1) + more - first + 1))
+
+
+def enzyme_windows(occ: DataFrame, proteins: DataFrame, enzyme: str = "Trypsin", missed: int = 0) -> DataFrame:
+    """The rows of ``digest_windows`` for the sites of an enzyme. Occurrences meet their protein's boundaries once, as one row, and read
+    those near them; windows stay where their protein is."""
+    o = keyed_join(occ, _cuts(proteins, enzyme), ["accession"])
+    o = o.select(*occ.columns, _cuts_near(F.col("pos"), missed + 1).alias("_near"))
+    starts = F.slice(F.reverse(F.filter("_near", lambda b: b <= F.col("pos"))), 1, missed + 1)
+    ends = F.slice(F.filter("_near", lambda b: b > F.col("pos")), 1, missed + 1)
+    # the outer form, since a filter for empty arrays would go into the join, which then copies all boundaries for every row
+    w = o.select(*occ.columns, ends.alias("_ends"), F.posexplode_outer(starts).alias("_i", "start"))
+    w = w.select(*occ.columns, "_i", "start", F.posexplode_outer("_ends").alias("_j", "end"))
+    return w.filter(F.col("_i") + F.col("_j") <= missed).filter(F.col("end") >= F.col("pos") + F.col("len")).drop("_i", "_j")
 
 
 def digest_windows(occ: DataFrame, sites: DataFrame, missed: int = 0) -> DataFrame:
@@ -140,17 +165,14 @@ def cleavage_filter(windows: DataFrame, proteins: DataFrame, enzyme: str, specif
     """Windows both (full), one (semi) or none (none) of whose ends the enzyme explains.
 
     An end is explained where the enzyme has a boundary; a start also behind a first methionine. Windows meet the
-    boundaries by position and never the sequence.
+    boundaries of their protein once, read those near their ends, and never the sequence.
     """
     if specificity == "none" or enzyme == "unspecific":
         return windows
-    sites = cleavage_sites(proteins, enzyme).select("accession", "b").distinct()
-    met = proteins.filter(F.substring("sequence", 1, 1) == "M").select("accession", F.lit(1).alias("b"))
-    starts = sites.unionByName(met).distinct().select("accession", F.col("b").alias("start"), F.lit(True).alias("_n_ok"))
-    ends = sites.select("accession", F.col("b").alias("end"), F.lit(True).alias("_c_ok"))
-    both = "inner" if specificity == "full" else "left"
-    w = keyed_join(keyed_join(windows, starts, ["accession", "start"], both), ends, ["accession", "end"], both)
-    return w.filter("_n_ok OR _c_ok").select(*windows.columns)
+    w = keyed_join(windows, _cuts(proteins, enzyme), ["accession"])
+    explained = lambda end: F.coalesce(F.array_contains(_cuts_near(F.col(end), 0), F.col(end)), F.lit(False))
+    n_ok, c_ok = explained("start") | (F.col("methionine") & (F.col("start") == 1)), explained("end")
+    return w.filter(n_ok & c_ok if specificity == "full" else n_ok | c_ok).select(*windows.columns)
 
 
 def reconcile(tags: DataFrame, windows: DataFrame, proteins: DataFrame, tol: float = 0.02, ppm: bool = False,

@@ -19,8 +19,7 @@ def _occ(spark, sf):
 
 
 def _windows(spark, sf, missed=1):
-    p = V.proteins(spark, sf)
-    return L.digest_windows(_occ(spark, sf), L.cleavage_sites(p), missed)
+    return L.enzyme_windows(_occ(spark, sf), V.proteins(spark, sf), "Trypsin", missed)
 
 
 def _tags(spark, sf):
