@@ -54,7 +54,7 @@ def readings(tags: DataFrame, rules: DataFrame) -> DataFrame:
 BROADCAST_KEYS = 1_000_000
 
 
-def wanted_only(rows: DataFrame, keys: DataFrame, key: str = "kmer", limit: int | None = None) -> DataFrame:
+def wanted_only(rows: DataFrame, keys: DataFrame, key: str | list[str] = "kmer", limit: int | None = None) -> DataFrame:
     """The rows whose ``key`` is among ``keys``. Up to ``limit`` keys, by count, are sent to the rows, so the rest of a database is
     dropped where it is read, before any exchange; of a table bucketed by the key nothing is exchanged either way."""
     limit = BROADCAST_KEYS if limit is None else limit

@@ -1,6 +1,8 @@
 """Placing tags on proteins: occurrences, digest windows, flank reconciliation, localisation."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ionweave.functions import constants as K, scalar as S
@@ -244,9 +246,15 @@ def localize(placements: DataFrame, peaks: DataFrame, tol: float, ppm: bool = Fa
     the same charge would lose water or ammonia (``strict``; loc_excluded counts them). Each ion is looked up once plain and once
     shifted; a placement's matches are one array, over which its sites are scored.
     """
-    model = model or ("unique" if unique else "count")
-    if model not in ("count", "unique", "strict"):
-        raise ValueError(model)
+    return localize_models(placements, peaks, tol, ppm, fixed, key, charges, [model or ("unique" if unique else "count")]).drop("model")
+
+
+def localize_models(placements: DataFrame, peaks: DataFrame, tol: float, ppm: bool = False, fixed: dict[str, float] | None = None,
+                    key: list[str] = ["run_id", "idx"], charges: int = 1, models: Sequence[str] = ("count", "unique", "strict")) -> DataFrame:
+    """The rows of ``localize`` under each of the models, with ``model``. Ions are looked up once for all of them, among the peaks of
+    spectra that are asked for."""
+    if not set(models) <= {"count", "unique", "strict"}:
+        raise ValueError(models)
     task = [*key, "peptide", "delta_mass", "region_lo", "region_hi"]
     asked = materialize(placements.filter("region_hi >= region_lo").select(F.col("id").alias("_given"), F.struct(*task).alias("_task")))
     # equal peptides with equal gaps in a spectrum are one question, answered once under the id of one of them
@@ -259,16 +267,28 @@ def localize(placements: DataFrame, peaks: DataFrame, tol: float, ppm: bool = Fa
     ion = cut.select("id", *key, "i", ions.alias("ion")).withColumn("z", F.explode(F.sequence(F.lit(1), F.lit(charges))))
     ion = ion.select("id", *key, "i", "z", "ion.*", ((F.col("ion.m") + F.col("z") * K.PROTON) / F.col("z")).alias("want"))
     t = S.tolerance("want", tol, ppm)
-    hit = range_join(ion, peaks.select(*key, F.col("mz").alias("mz_p")), key, F.col("want") - t, F.col("want") + t, "mz_p", 2.0)
+    # other spectra drop out before the exchange
+    near = wanted_only(peaks.select(*key, F.col("mz").alias("mz_p")), heads.select("_task.*"), key)
+    hit = range_join(ion, near, key, F.col("want") - t, F.col("want") + t, "mz_p", 2.0)
     hit = hit.groupBy("id", "i", "z", "kind", "shifted").agg(
         F.min_by("mz_p", F.struct(F.abs(F.col("mz_p") - F.col("want")), F.col("mz_p"))).alias("peak"), F.first("m").alias("m"), F.first(S.tolerance("want", tol, ppm) * F.col("z")).alias("tol"))
     found = hit.groupBy("id").agg(F.collect_list(F.struct("i", "z", "kind", "shifted", "peak", "m", "tol")).alias("all"))
+    per = materialize(p.select("id", "region_lo", "region_hi").join(found, "id", "left").withColumn("all", F.coalesce("all", F.array().cast(found.schema["all"].dataType))))
+    out = None
+    for model in models:
+        part = _best_sites(per, model).withColumn("model", F.lit(model))
+        out = part if out is None else out.unionByName(part)
+    return asked.join(heads, "_task").join(out, "id").drop("id", "_task").withColumnRenamed("_given", "id").select(*out.columns)
+
+
+def _best_sites(per: DataFrame, model: str) -> DataFrame:
+    """The best site of each question (id, region_lo, region_hi, all: its matches) under a model."""
     if model == "strict":
         lost = lambda h, u: (u.shifted == 0) & (u.z == h.z) & ((F.abs(u.m - K.WATER - h.m) <= h.tol) | (F.abs(u.m - AMMONIA - h.m) <= h.tol))
         kept = F.filter("all", lambda h: (h.shifted == 0) | ~F.exists("all", lambda u: lost(h, u)))
     else:
         kept = F.col("all")
-    per = p.select("id", "region_lo", "region_hi").join(found.withColumn("kept", kept), "id", "left")
+    per = per.withColumn("kept", kept)
     # a cut after i residues carries the gap in b when the site j < i, in y when j >= i
     carries = lambda h, j: F.when(h.kind == "b", (j < h.i).cast("int")).otherwise((j >= h.i).cast("int"))
 
@@ -276,13 +296,11 @@ def localize(placements: DataFrame, peaks: DataFrame, tol: float, ppm: bool = Fa
         own = F.filter("kept", lambda h: h.shifted == carries(h, j))
         return F.size(own if model == "count" else F.array_distinct(F.transform(own, lambda h: h.peak)))
 
-    per = per.withColumn("kept", F.coalesce("kept", F.array().cast(found.withColumn("kept", kept).schema["kept"].dataType)))
     per = per.withColumn("s", F.transform(F.sequence("region_lo", "region_hi"), score)).withColumn("top", F.array_max("s"))
     rival = F.array_max(F.filter("s", lambda x: x < F.col("top")))
-    best = per.select("id", (F.col("region_lo") + F.array_position("s", F.col("top")) - 1).cast("int").alias("loc_site"), F.col("top").cast("long").alias("loc_score"),
+    return per.select("id", (F.col("region_lo") + F.array_position("s", F.col("top")) - 1).cast("int").alias("loc_site"), F.col("top").cast("long").alias("loc_score"),
                       F.size(F.filter("s", lambda x: x == F.col("top"))).cast("long").alias("loc_ties"), (F.col("top") - F.coalesce(rival, F.lit(0))).cast("long").alias("loc_lead"),
-                      (F.coalesce(F.size("all"), F.lit(0)) - F.size("kept")).cast("long").alias("loc_excluded"))
-    return asked.join(heads, "_task").join(best, "id").drop("id", "_task").withColumnRenamed("_given", "id").select(*best.columns)
+                      (F.size("all") - F.size("kept")).cast("long").alias("loc_excluded"))
 
 
 def classify_placement(nterm_match: Column, cterm_match: Column, delta: Column, fixed_n: float, fixed_c: float, tol: float) -> Column:

@@ -95,12 +95,7 @@ def l7(spark, sf):
 @query("L7_localize_models")
 def l7b(spark, sf):
     """The three models side by side, two fragment charges; their twin is in the tests."""
-    p, k = L.materialize(_placements(spark, sf)), V.peaks(spark, sf)
-    out = None
-    for model in ("count", "unique", "strict"):
-        part = L.localize(p, k, 0.5, charges=2, model=model).withColumn("model", F.lit(model))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return L.localize_models(_placements(spark, sf), V.peaks(spark, sf), 0.5, charges=2)
 
 
 @query("L8_classify_placement", "SELECT l_returnflag, l_linestatus, CASE WHEN nm AND cm THEN 'exact' WHEN (NOT nm AND cm AND abs(d - 4) <= 1.5) OR (nm AND NOT cm AND abs(d - 7) <= 0.5) THEN 'label_exact' ELSE 'gapped' END AS class, count(*) AS n "
